@@ -19,7 +19,7 @@ def _states(src: str, table: str, key: str, sub: str | None, seed: int) -> str:
         x = _round(f"({key} & {LOW32})", seed, table, lane, 0)
         x = _round(f"xor({x}, ({key} >> 32) & {LOW32})", seed, table, lane, 1)
         if sub is not None:
-            x = _round(f"xor({x}, ({sub})::BIGINT)", seed, table, lane, "sub")
+            x = _round(f"xor({x}, ({sub})::BIGINT & {LOW32})", seed, table, lane, "sub")
         for r in (2, 3):
             x = _round(x, seed, table, lane, r)
         lanes.append(x)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from oracle_sql_pack.generated import CTES, with_tables
+from oracle_sql_pack.quality import quality_sql
+from oracle_sql_pack.reports import report_sql
 
 FIXED_DIMS = {
     ("ecommerce", "dim_channel"): ("fact_orders", "channel_key", "n_orders"),
@@ -27,10 +29,7 @@ def generated_sql() -> dict[str, str]:
                 SELECT d.*, u.{count} FROM {table} d
                 LEFT JOIN (SELECT {key}, count(*) AS {count} FROM {fact} GROUP BY {key}) u USING ({key})""")
             elif (industry, table) == ("saas", "dim_product"):
-                out[name] = with_tables("saas", ["dim_product", "fact_usage"], """
-                SELECT d.*, u.n_usage FROM dim_product d
-                LEFT JOIN (SELECT customer_key % 5 + 1 AS product_key, count(*) AS n_usage
-                           FROM fact_usage GROUP BY 1) u USING (product_key)""")
+                continue
             elif (industry, table) == ("retail", "fact_inventory"):
                 out[name] = with_tables("retail_small", [table], f"SELECT * FROM {table}")
             else:
@@ -39,4 +38,4 @@ def generated_sql() -> dict[str, str]:
 
 
 def all_sql() -> dict[str, str]:
-    return {**generated_sql()}
+    return {**report_sql(), **generated_sql(), **quality_sql()}

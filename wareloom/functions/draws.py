@@ -56,7 +56,7 @@ def row_state(seed: int, table: str, key: Column, sub: Column | None = None) ->
         x = _round(low, seed, table, lane, 0)
         x = _round(x.bitwiseXOR(high), seed, table, lane, 1)
         if sub is not None:
-            x = _round(x.bitwiseXOR(sub.cast("bigint")), seed, table, lane, "sub")
+            x = _round(x.bitwiseXOR(sub.cast("bigint").bitwiseAND(F.lit(LOW32))), seed, table, lane, "sub")
         for r in (2, 3):
             x = _round(x, seed, table, lane, r)
         out.append(x)

@@ -120,3 +120,14 @@ def hash_rank(df: DataFrame, draw: str, ties: list[str], n: int, keep: int | Non
 def sample_rows(df: DataFrame, draw: str, ties: list[str], k: int, n: int) -> DataFrame:
     """Exactly k of n rows without replacement; ``_rank`` is the sample position."""
     return hash_rank(df, draw, ties, n, keep=k)
+
+
+def evaluate_once(df: DataFrame) -> DataFrame:
+    """The same rows, as a border that filters above do not cross.
+
+    Catalyst moves a filter below a projection by copying the projected expressions
+    into the predicate. Over long chains of derived columns the copies multiply and
+    the stage grows beyond what the JVM compiles. A selection of the full range
+    [0, 1) keeps every row and costs one random number per row.
+    """
+    return df.sample(withReplacement=False, fraction=1.0, seed=0)
