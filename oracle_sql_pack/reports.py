@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from oracle_sql_pack.base import WINDOW, between, chance, choice, drawn, key_drawn, money, rows, skew, weighted
 from oracle_sql_pack.generated import with_tables
+from wareloom.functions.draws import SPAN
 
 KPI_SQL = {
     "rep_retail_kpi": ("retail", ["fact_sales"], """
@@ -79,8 +81,80 @@ QUERY_SQL = {
 }
 
 
+LABELS = {
+    "rep_retail_top5": ("product_key", "revenue"), "rep_ecom_status": ("status", "n"),
+    "rep_bank_types": ("transaction_type", "n"), "rep_health_visits": ("visit_type", "n"), "rep_saas_plans": ("plan_key", "n"),
+}
+# One-row key figures: column -> whether it is shown with two decimals.
+COLUMNS = {
+    "rep_retail_kpi": {"total_revenue": 0, "avg_transaction": 1, "n_transactions": 0},
+    "rep_ecom_kpi": {"n_orders": 0, "gmv": 0, "aov": 1},
+    "rep_bank_flow": {"deposits": 0, "withdrawals": 0, "net_flow": 0},
+    "rep_health_kpi": {"n_encounters": 0, "total_charges": 0, "avg_charge": 1},
+    "rep_saas_kpi": {"mrr": 0, "arr": 0, "n_active": 0},
+    "rep_saas_kpi_latest": {"mrr": 0, "arr": 0, "n_active": 0},
+    "rep_logi_kpi": {"n_shipments": 0, "total_weight": 0, "total_miles": 0, "total_cost": 0},
+    "rep_logi_ontime": {"on_time_pct": 1},
+}
+
+
+def insights_sql() -> dict[str, str]:
+    out = {}
+    for industry in ("retail", "ecommerce", "banking", "healthcare", "saas", "logistics"):
+        parts, needed = [], []
+        for name, (i, tables, body) in KPI_SQL.items():
+            if i != industry:
+                continue
+            needed += tables
+            head = f"'{name.removeprefix('rep_')}' AS section, '{tables[0]}' AS table_name"
+            if name in LABELS:
+                label, value = LABELS[name]
+                parts.append(f"SELECT {head}, {label}::VARCHAR AS metric, {value}::VARCHAR AS value FROM ({body})")
+            else:
+                for c, is_double in COLUMNS[name].items():
+                    text = f"{c}::DECIMAL(38,2)::VARCHAR" if is_double else f"{c}::VARCHAR"
+                    parts.append(f"SELECT {head}, '{c}' AS metric, {text} AS value FROM ({body})")
+        out[f"rep_insights_{industry}"] = with_tables(industry, needed, " UNION ALL ".join(parts))
+    return out
+
+
+def draw_sql() -> dict[str, str]:
+    nc = "(SELECT count(*) FROM customer)"
+    growth = 1.05
+    m = "((year(e) - year(s)) * 12 + month(e) - month(s) + 1)"
+    g = drawn(rows("(SELECT count(*) FROM lineitem)"), "retail.fact_sales", "id + 1", ["date_key", "date_key:day"])
+    return {
+        "growth_curve": f"""
+            WITH o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n_orders FROM orders GROUP BY 1)
+            SELECT month, n_orders, floor((SELECT arg_min(n_orders, month) FROM o)::DOUBLE * pow({growth}::DOUBLE,
+                   date_diff('month', (SELECT min(month) FROM o), month)::DOUBLE))::BIGINT AS expected_orders FROM o""",
+        "growth_dates": f"""
+            WITH {WINDOW}, g AS (SELECT id, s, e, h_date_key_day AS hd, date_trunc('month', s)::DATE AS s0,
+              least(greatest(floor(ln(1.0::DOUBLE + (h_date_key::DOUBLE / {SPAN}::DOUBLE) * (pow({growth}::DOUBLE, {m}) - 1.0::DOUBLE))
+                    / ln({growth}::DOUBLE))::INTEGER, 0), {m} - 1)::INTEGER AS k FROM ({g}), win),
+            b AS (SELECT *, greatest((s0 + to_months(k))::DATE, s) AS lo, least(last_day((s0 + to_months(k))::DATE), e) AS hi FROM g)
+            SELECT id + 1 AS sale_id, 1 + date_diff('day', s, lo) + hd % (date_diff('day', lo, hi) + 1) AS date_key FROM b""",
+        "draw_skewed_keys": f"""
+            SELECT {skew('h_customer', nc, 'draws', 'customer')} AS customer_key, count(*) AS n_draws
+            FROM ({drawn('SELECT o_orderkey FROM orders', 'draws', 'o_orderkey', ['customer'])}) GROUP BY 1""",
+        "draw_sample": f"""
+            SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY h, o_orderkey) AS position
+            FROM ({key_drawn('SELECT * FROM orders', 'sample', 'o_orderkey', 'h')})
+            QUALIFY position <= (SELECT count(*) FROM orders) // 10""",
+        "draw_primitives": f"""
+            SELECT o_orderkey, {between('h_int', -5, 5)} AS int_draw, {money(between('h_money', 100, 99999))} AS money_draw,
+                   {choice('h_choice', ['a', 'b', 'c'])} AS choice_draw, {weighted('h_weighted', {'x': 70, 'y': 20, 'z': 10})} AS weighted_draw,
+                   {chance('h_chance', 0.05)} AS chance_draw, h_first % 30 AS pair_first,
+                   (h_first % 30 + 1 + h_second % 29) % 30 AS pair_second, 'Q' || quarter(o_orderdate) AS quarter,
+                   printf('ORD-%06d', o_orderkey) AS order_label
+            FROM ({drawn('SELECT * FROM orders', 'draws', 'o_orderkey', ['int', 'money', 'choice', 'weighted', 'chance', 'first', 'second'])})""",
+    }
+
+
 def report_sql() -> dict[str, str]:
     out = {n: with_tables(i, t, q) for n, (i, t, q) in {**KPI_SQL, **QUERY_SQL}.items()}
+    out.update(insights_sql())
+    out.update(draw_sql())
     columns = {
         "retail_small": {"dim_date": 12, "dim_customer": 10, "dim_product": 7, "dim_store": 9, "fact_sales": 9, "fact_inventory": 6},
         "ecommerce": {"dim_date": 12, "dim_customer": 10, "dim_product": 6, "dim_channel": 3, "fact_orders": 7, "fact_order_items": 6, "fact_web_events": 7},

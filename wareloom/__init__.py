@@ -1,6 +1,6 @@
 """Synthetic warehouses and data quality as lazy Spark DataFrame operators."""
 
 from wareloom.config import GenConfig
-from wareloom.plans.dataset import GENERATORS, generate
+from wareloom.plans.dataset import GENERATORS, dirty, generate, run
 
-__all__ = ["GENERATORS", "GenConfig", "generate"]
+__all__ = ["GENERATORS", "GenConfig", "dirty", "generate", "run"]

@@ -179,9 +179,10 @@ def quarter_label(day: Column) -> Column:
     return F.concat(F.lit("Q"), F.quarter(day).cast("string"))
 
 
-def growth_count(base: int, rate: float, months: Column) -> Column:
+def growth_count(base: int | Column, rate: float, months: Column) -> Column:
     """Volume after compound monthly growth, rounded down."""
-    return F.floor(F.lit(float(base)) * F.power(F.lit(1.0 + rate), months.cast("double"))).cast("bigint")
+    base = base if isinstance(base, Column) else F.lit(base)
+    return F.floor(base.cast("double") * F.power(F.lit(1.0 + rate), months.cast("double"))).cast("bigint")
 
 
 def distinct_pair(first: Column, second: Column, n: int) -> tuple[Column, Column]:

@@ -131,3 +131,68 @@ def evaluate_once(df: DataFrame) -> DataFrame:
     [0, 1) keeps every row and costs one random number per row.
     """
     return df.sample(withReplacement=False, fraction=1.0, seed=0)
+
+
+def value_rank(
+    df: DataFrame, value: str, ties: list[str], group: list[str] | None = None,
+    kind: str = "row_number", descending: bool = True, buckets: int = 1024,
+) -> DataFrame:
+    """Add ``_rank`` of ``value`` and the group's size ``_n`` without one task per group.
+
+    The value range of a group is cut into equal steps, rows are ranked inside a
+    step and shifted by what lies in the steps before. ``kind`` is row_number (ties
+    broken by ``ties``), rank or dense_rank (``_n`` then counts distinct values).
+    Values must not be NULL.
+    """
+    group = group or []
+    v = F.col(value).cast("double")
+    bounds = df.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(
+        F.min(v).alias("_lo"), F.max(v).alias("_hi")
+    )
+    if group:
+        keyed = df.join(bounds, _same(group))
+    else:
+        keyed = df.withColumns({"_lo": bounds.select("_lo").scalar(), "_hi": bounds.select("_hi").scalar()})
+    position = (F.col("_hi") - v if descending else v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    step = F.least(F.floor(position * F.lit(buckets)), F.lit(buckets - 1))
+    keyed = keyed.withColumn("_step", F.when(F.col("_hi") > F.col("_lo"), step).otherwise(F.lit(0)).cast("int"))
+    keyed = keyed.drop("_lo", "_hi", *[f"_g{i}" for i in range(len(group))])
+    amount = F.countDistinct(value) if kind == "dense_rank" else F.count(F.lit(1))
+    sizes = keyed.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_step").alias("_s")).agg(
+        amount.alias("_size")
+    )
+    # One row per group and step; the window of a group holds at most ``buckets`` rows.
+    before = W.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_s").rowsBetween(
+        W.unboundedPreceding, W.currentRow
+    )
+    whole = W.partitionBy(*[f"_g{i}" for i in range(len(group))])
+    offsets = sizes.withColumns({
+        "_before": F.sum("_size").over(before) - F.col("_size"), "_n": F.sum("_size").over(whole)
+    }).drop("_size")
+    joined = keyed.join(offsets, _same(group) & (F.col("_step") == F.col("_s")) if group else F.col("_step") == F.col("_s"))
+    order = F.desc(value) if descending else F.asc(value)
+    if kind == "row_number":
+        inner = F.row_number().over(W.partitionBy(*group, "_step").orderBy(order, *ties))
+    else:
+        function = F.rank if kind == "rank" else F.dense_rank
+        inner = function().over(W.partitionBy(*group, "_step").orderBy(order))
+    out = joined.withColumn("_rank", F.col("_before") + inner)
+    return out.drop("_step", "_s", "_before", *[f"_g{i}" for i in range(len(group))])
+
+
+def _same(group: list[str]) -> Column:
+    cond = F.lit(True)
+    for i, g in enumerate(group):
+        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return cond
+
+
+def ntile_of(rank: Column, n: Column, tiles: int) -> Column:
+    """The tile of a 1-based row number among n rows; the first tiles take the remainder."""
+    size, extra = div(n, tiles), n % F.lit(tiles)
+    wide = extra * (size + F.lit(1))
+    return (
+        F.when(rank <= wide, F.call_function("div", rank - F.lit(1), size + F.lit(1)))
+        .otherwise(extra + F.call_function("div", rank - F.lit(1) - wide, F.greatest(size, F.lit(1))))
+        + F.lit(1)
+    ).cast("int")

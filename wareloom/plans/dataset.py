@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from wareloom.config import GenConfig
+from wareloom.operators import profile, quality
 from wareloom.plans import banking, ecommerce, healthcare, logistics, retail, saas
+from wareloom.plans.model import KEYS
 
 GENERATORS = {
     "retail": retail.TABLES,
@@ -19,8 +22,77 @@ GENERATORS = {
 
 def generate(spark: SparkSession, cfg: GenConfig) -> dict[str, DataFrame]:
     """All tables of an industry as lazy DataFrames; dimensions come first."""
-    return {name: table(spark, cfg) for name, table in GENERATORS[cfg.industry].items()}
+    return {name: table(spark, cfg, name) for name in GENERATORS[cfg.industry]}
 
 
 def table(spark: SparkSession, cfg: GenConfig, name: str) -> DataFrame:
     return GENERATORS[cfg.industry][name](spark, cfg)
+
+
+def known_rows(cfg: GenConfig, name: str) -> int | None:
+    """Row count where it follows from the configuration alone."""
+    n = cfg.n
+    counts = {
+        "retail": {
+            "fact_sales": lambda: n("transactions"), "fact_inventory": lambda: n("products") * n("stores"),
+        },
+        "ecommerce": {
+            "fact_orders": lambda: n("orders"),
+            "fact_web_events": lambda: n("orders") * ecommerce.EVENTS_PER_ORDER,
+        },
+        "banking": {
+            "fact_transactions": lambda: n("transactions"), "fact_loans": lambda: n("customers") // 3,
+            "fact_cards": lambda: n("transactions") // 2,
+        },
+        "healthcare": {"fact_encounters": lambda: n("encounters"), "fact_billing": lambda: n("encounters")},
+        "saas": {"fact_usage": lambda: n("customers") * cfg.n_days // 3},
+        "logistics": {"fact_shipments": lambda: n("shipments"), "fact_deliveries": lambda: n("shipments")},
+    }[cfg.industry].get(name)
+    return counts() if counts else None
+
+
+def _row_key(cfg: GenConfig, name: str) -> tuple:
+    """(key expression, whether it counts 1..n) of a table's rows."""
+    if name == "fact_inventory":
+        return (F.col("product_key") - 1) * cfg.n("stores") + F.col("store_key"), True
+    if name == "fact_subscriptions":
+        return F.col("customer_key") * saas.KEY_DAYS + F.col("snapshot_date_key"), False
+    (key,), _ = KEYS[cfg.industry][name]
+    return F.col(key), name != "fact_churn"
+
+
+def dirty(tables: dict[str, DataFrame], cfg: GenConfig) -> dict[str, DataFrame]:
+    """The tables in landing form with the configured rate of errors.
+
+    A ``dim_`` name selects the dimension rules, any other name the fact rules.
+    """
+    if cfg.quality_rate == 0:
+        return dict(tables)
+    out = {}
+    for name, df in tables.items():
+        key, dense = _row_key(cfg, name)
+        df = quality.landing(df).withColumn("_row_key", key.cast("bigint"))
+        if name.startswith("dim_"):
+            df = quality.inject_dimension(df, cfg.quality_rate, cfg.seed, "_row_key")
+        else:
+            rows = known_rows(cfg, name)
+            rows = tables[name].count() if rows is None else rows
+            df = quality.inject_fact(df, cfg.quality_rate, cfg.seed, "_row_key", rows, dense=dense)
+        out[name] = df.drop("_row_key")
+    return out
+
+
+def summary(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows and columns per table with a total."""
+    return profile.summary(tables)
+
+
+def run(spark: SparkSession, cfg: GenConfig) -> dict[str, DataFrame]:
+    """Generate, dirty, write and report; returns the tables as written."""
+    from wareloom import report
+    from wareloom.sources import files
+
+    written = files.write_dataset(spark, dirty(generate(spark, cfg), cfg), cfg)
+    if cfg.generate_report:
+        report.write_report(report.build(spark, written, cfg), cfg.output_dir)
+    return written

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wareloom.operators import clean, identity, profile, quality, validate
-from wareloom.operators.ranking import evaluate_once
-from wareloom.plans import dataset, kpis, scaled, sqlpack
+from wareloom import report
+from wareloom.functions.draws import (
+    Draws, distinct_pair, growth_count, key_draw, money, padded_id, quarter_label,
+)
+from wareloom.operators.ranking import evaluate_once, sample_rows
+from wareloom.plans import analyses, dataset, kpis, scaled, sqlpack
 from wareloom.plans.model import KEYS
 from wareloom.plans.scaled import load
 
@@ -332,9 +336,86 @@ def _summary(industry):
     return query
 
 
-def _on_tables(industry, needed, function):
+def _insights(industry):
+    """The key figures of an industry as report rows."""
     def query(spark, folder):
         cfg = scaled.config(spark, folder, industry)
+        needed = sorted({t for i, ts, _ in kpis.KPIS.values() if i == industry for t in ts})
+        parts = report.insights({t: dataset.table(spark, cfg, t) for t in needed}, cfg)
+        return validate.union_all(parts)
+
+    return query
+
+
+def _dirty_summary(industry):
+    """Missing and spelled-out missing cells per table of a dirtied data set."""
+    def query(spark, folder):
+        changes = {"quality": "heavy"}
+        small = industry == "retail"
+        cfg = scaled.small_stores(spark, folder, **changes) if small else scaled.config(spark, folder, industry, **changes)
+        return profile.missing(dataset.dirty(dataset.generate(spark, cfg), cfg))
+
+    return query
+
+
+def growth_curve(spark, folder):
+    """Orders per month beside the volume that compound growth from the first month gives."""
+    orders = load(spark, folder, "orders").groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("month")).agg(
+        F.count(F.lit(1)).alias("n_orders")
+    )
+    first = orders.agg(F.min_by("n_orders", "month")).scalar()
+    start = orders.agg(F.min("month")).scalar()
+    months = F.months_between("month", start).cast("int")
+    return orders.select("month", "n_orders", growth_count(first, 0.05, months).alias("expected_orders"))
+
+
+def growth_dates(spark, folder):
+    """Sales dates drawn along the growth curve (opt-in)."""
+    cfg = scaled.config(spark, folder, "retail", growth_dates=True)
+    return dataset.table(spark, cfg, "fact_sales").select("sale_id", "date_key")
+
+
+def draw_skewed_keys(spark, folder):
+    """How often each customer key is drawn for the orders, hot keys first served."""
+    u = Draws(SEED, "draws")
+    n = scaled.extent(spark, folder).counts["customer"]
+    orders = u.attach(load(spark, folder, "orders").select("o_orderkey"), F.col("o_orderkey"))
+    return orders.select(u.skewed_key("customer", n).alias("customer_key")).groupBy("customer_key").agg(
+        F.count(F.lit(1)).alias("n_draws")
+    )
+
+
+def draw_sample(spark, folder):
+    """Exactly a tenth of the orders, without replacement."""
+    n = scaled.extent(spark, folder).counts["orders"]
+    orders = load(spark, folder, "orders").select("o_orderkey", "o_totalprice")
+    drawn = orders.withColumn("_draw", key_draw(SEED, "sample", F.col("o_orderkey")))
+    return sample_rows(drawn, "_draw", ["o_orderkey"], n // 10, n).drop("_draw").withColumnRenamed("_rank", "position")
+
+
+def draw_primitives(spark, folder):
+    """The scalar draws side by side for every order."""
+    u = Draws(SEED, "draws")
+    d = u.attach(load(spark, folder, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderkey"))
+    first, second = distinct_pair(u.index("first", 30), u.index("second", 29), 30)
+    day = F.to_date("o_orderdate")
+    return d.select(
+        "o_orderkey",
+        u.randint("int", -5, 5).alias("int_draw"),
+        money(u.randint("money", 100, 99999)).alias("money_draw"),
+        u.choice("choice", ["a", "b", "c"]).alias("choice_draw"),
+        u.weighted("weighted", {"x": 70, "y": 20, "z": 10}).alias("weighted_draw"),
+        u.chance("chance", 0.05).alias("chance_draw"),
+        first.alias("pair_first"), second.alias("pair_second"),
+        quarter_label(day).alias("quarter"),
+        padded_id("ORD", F.col("o_orderkey"), 6).alias("order_label"),
+    )
+
+
+def _on_tables(industry, needed, function):
+    def query(spark, folder):
+        small = "fact_inventory" in needed
+        cfg = scaled.small_stores(spark, folder) if small else scaled.config(spark, folder, industry)
         return function({t: dataset.table(spark, cfg, t) for t in needed})
 
     return query
@@ -368,9 +449,16 @@ def quality_queries() -> dict[str, Query]:
 def report_queries() -> dict[str, Query]:
     out = {name: _on_tables(*spec) for name, spec in kpis.KPIS.items()}
     out.update({name: _sql(name) for name in sqlpack.QUERIES})
+    out.update({f"rep_insights_{industry}": _insights(industry) for industry in dataset.GENERATORS})
+    out.update({f"dataset_dirty_{industry}": _dirty_summary(industry) for industry in dataset.GENERATORS})
+    out.update({q.__name__: q for q in (growth_curve, growth_dates, draw_skewed_keys, draw_sample, draw_primitives)})
     out.update({f"dataset_summary_{industry}": _summary(industry) for industry in dataset.GENERATORS})
     return out
 
 
+def analysis_queries() -> dict[str, Query]:
+    return {name: _on_tables(*spec) for name, spec in analyses.ANALYSES.items()}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**report_queries(), **generated_queries(), **quality_queries()}
+    return {**report_queries(), **analysis_queries(), **generated_queries(), **quality_queries()}
