@@ -42,34 +42,50 @@ def multiplier(*parts) -> int:
     return (word(*parts, "multiplier") & 0x3FFFFFFF) | 0x40000001
 
 
-def _round(x: Column, *parts) -> Column:
-    product = x.bitwiseXOR(F.lit(word(*parts))) * F.lit(multiplier(*parts))
-    return F.shiftright(product, 16).bitwiseAND(F.lit(LOW32))
+def _round(x: str, *parts) -> str:
+    return f"(shiftright(({x} ^ {word(*parts)}L) * {multiplier(*parts)}L, 16) & {LOW32}L)"
 
 
-def row_state(seed: int, table: str, key: Column, sub: Column | None = None) -> tuple[Column, Column]:
-    """The two 32-bit state columns of a row. ``sub`` separates copies of one key."""
-    key = key.cast("bigint")
-    low, high = key.bitwiseAND(F.lit(LOW32)), F.shiftright(key, 32).bitwiseAND(F.lit(LOW32))
+def _state_text(seed: int, table: str, key: str, sub: str | None) -> list[str]:
+    """SQL text of the two state columns. Text keeps the build at one call per column."""
+    key = f"cast({key} AS bigint)"
     out = []
     for lane in (1, 2):
-        x = _round(low, seed, table, lane, 0)
-        x = _round(x.bitwiseXOR(high), seed, table, lane, 1)
+        x = _round(f"({key} & {LOW32}L)", seed, table, lane, 0)
+        x = _round(f"({x} ^ (shiftright({key}, 32) & {LOW32}L))", seed, table, lane, 1)
         if sub is not None:
-            x = _round(x.bitwiseXOR(sub.cast("bigint").bitwiseAND(F.lit(LOW32))), seed, table, lane, "sub")
+            x = _round(f"({x} ^ (cast({sub} AS bigint) & {LOW32}L))", seed, table, lane, "sub")
         for r in (2, 3):
             x = _round(x, seed, table, lane, r)
         out.append(x)
-    return out[0], out[1]
+    return out
+
 
+def _lanes_text(a: str, b: str) -> str:
+    return f"(shiftleft({a}, 20) | shiftright({b}, 12))"
+
+
+def _column_round(x: Column, *parts) -> Column:
+    product = x.bitwiseXOR(F.lit(word(*parts))) * F.lit(multiplier(*parts))
+    return F.shiftright(product, 16).bitwiseAND(F.lit(LOW32))
 
-def join_lanes(a: Column, b: Column) -> Column:
-    return F.shiftleft(a, 20).bitwiseOR(F.shiftright(b, 12))
 
+def key_draw(seed: int, name: str, key: str | Column, sub: str | None = None) -> Column:
+    """One 52-bit draw straight from a key, for use without state columns.
 
-def key_draw(seed: int, name: str, key: Column) -> Column:
-    """One 52-bit draw straight from a key, for use without state columns."""
-    return join_lanes(*row_state(seed, name, key))
+    The key is SQL text, or a Column where it is a lambda variable.
+    """
+    if isinstance(key, str):
+        return F.expr(_lanes_text(*_state_text(seed, name, key, sub)))
+    key = key.cast("bigint")
+    lanes = []
+    for lane in (1, 2):
+        x = _column_round(key.bitwiseAND(F.lit(LOW32)), seed, name, lane, 0)
+        x = x.bitwiseXOR(F.shiftright(key, 32).bitwiseAND(F.lit(LOW32)))
+        for r in (1, 2, 3):
+            x = _column_round(x, seed, name, lane, r)
+        lanes.append(x)
+    return F.shiftleft(lanes[0], 20).bitwiseOR(F.shiftright(lanes[1], 12))
 
 
 class Draws:
@@ -78,20 +94,26 @@ class Draws:
     def __init__(self, seed: int, table: str, prefix: str = "_s"):
         self.seed, self.table, self.prefix = seed, table, prefix
 
-    def attach(self, df: DataFrame, key: Column, sub: Column | None = None) -> DataFrame:
-        """Add the state columns, so that every draw of the row shares them."""
-        s1, s2 = row_state(self.seed, self.table, key, sub)
-        return df.withColumns({f"{self.prefix}1": s1, f"{self.prefix}2": s2})
+    def attach(self, df: DataFrame, key: str, sub: str | None = None) -> DataFrame:
+        """Add the state columns, so that every draw of the row shares them.
+
+        ``key`` is SQL text; ``sub`` separates copies of one key.
+        """
+        s1, s2 = _state_text(self.seed, self.table, key, sub)
+        return df.withColumns({f"{self.prefix}1": F.expr(s1), f"{self.prefix}2": F.expr(s2)})
 
     def bits(self, name: str) -> Column:
         """Uniform integer in [0, 2**52)."""
+        return F.expr(self.bits_text(name))
+
+    def bits_text(self, name: str) -> str:
         lanes = []
         for lane in (1, 2):
-            x = F.col(f"{self.prefix}{lane}")
+            x = f"{self.prefix}{lane}"
             for r in (0, 1):
                 x = _round(x, self.seed, self.table, name, lane, r)
             lanes.append(x)
-        return join_lanes(*lanes)
+        return _lanes_text(*lanes)
 
     def index(self, name: str, n: int) -> Column:
         """Uniform integer in [0, n)."""
@@ -151,7 +173,8 @@ def threshold(p: float) -> int:
 
 def pick(values: Sequence, index: Column) -> Column:
     """The zero-based ``index``-th element of a literal list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + F.lit(1)).cast("int"))
+    items = ", ".join("'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v) for v in values)
+    return F.element_at(F.expr(f"array({items})"), (index + F.lit(1)).cast("int"))
 
 
 def div(value: Column, by) -> Column:

@@ -1,4 +1,8 @@
-"""Text expressions: title case, typing errors, row fingerprints."""
+"""Text expressions: title case, typing errors, row fingerprints.
+
+The ``*_text`` functions return SQL text over a value given as SQL text: an edit then
+costs one call to build, however many functions it is made of.
+"""
 
 from __future__ import annotations
 
@@ -6,38 +10,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wareloom.functions.draws import div
-
 
-def title_case(c: Column) -> Column:
-    """Upper-case the first letter of every run of letters, lower-case the rest.
+def title_text(v: str) -> str:
+    """Title case of a value: upper-case the first letter of every run of letters.
 
     A run ends at any character that is not a letter, so ``o'neil mc-donald``
     becomes ``O'Neil Mc-Donald`` (``initcap`` would only split at spaces).
     """
-    runs = F.regexp_extract_all(c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(1))
-    cased = F.transform(runs, lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 2**31 - 1))))
-    return F.array_join(cased, "")
-
-
-def collapse_spaces(c: Column) -> Column:
-    return F.regexp_replace(F.trim(c), " +", " ")
-
-
-def typo(c: Column, draw: Column) -> Column:
-    """One edit at an inner position: swap with the next character, delete or double it."""
-    n = F.length(c)
-    pos = (div(draw, 3) % (n - F.lit(2)).cast("bigint")).cast("int") + F.lit(1)  # zero-based, 1..n-2
-    head, here = F.left(c, pos), F.substring(c, pos + F.lit(1), F.lit(1))
-    rest = F.substring(c, pos + F.lit(2), n)
-    after = F.substring(c, pos + F.lit(3), n)
-    nxt = F.substring(c, pos + F.lit(2), F.lit(1))
-    how = draw % F.lit(3)
-    return (
-        F.when(how == 0, F.concat(head, nxt, here, after))
-        .when(how == 1, F.concat(head, rest))
-        .otherwise(F.concat(head, here, here, rest))
-    )
+    runs = rf"regexp_extract_all({v}, r'(\p{{L}}+|[^\p{{L}}]+)', 1)"
+    return f"array_join(transform({runs}, r -> concat(upper(left(r, 1)), lower(substring(r, 2)))), '')"
+
+
+def title_case(v: str) -> Column:
+    return F.expr(title_text(v))
+
+
+def collapsed_text(v: str) -> str:
+    """A value without outer and repeated spaces."""
+    return f"regexp_replace(trim({v}), ' +', ' ')"
+
+
+def typo_text(v: str, h: str) -> str:
+    """One edit at an inner position: swap with the next character, delete or double it.
+
+    Values under three characters stay. The zero-based position is 1 to length - 2.
+    """
+    pos = f"cast(1 + (({h} div 3) % (length({v}) - 2)) AS int)"
+    head, here = f"left({v}, {pos})", f"substring({v}, {pos} + 1, 1)"
+    swapped = f"concat({head}, substring({v}, {pos} + 2, 1), {here}, substring({v}, {pos} + 3))"
+    deleted = f"concat({head}, substring({v}, {pos} + 2))"
+    doubled = f"concat({head}, {here}, substring({v}, {pos} + 1))"
+    return (f"CASE WHEN length({v}) < 3 THEN {v} WHEN {h} % 3 = 0 THEN {swapped} "
+            f"WHEN {h} % 3 = 1 THEN {deleted} ELSE {doubled} END")
 
 
 def canonical_text(df: DataFrame, col: str) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wareloom.functions.text import collapse_spaces, title_case
+from wareloom.functions.text import collapsed_text, title_case
 from wareloom.operators.quality import COUNTRY_SPELLINGS
 
 # What counts as missing in text, after trimming and upper-casing.
@@ -15,7 +15,7 @@ NULL_TEXTS = ["", "N/A", "NULL"]
 
 def clean_text(df: DataFrame, cols: list[str]) -> DataFrame:
     """Trim, collapse repeated spaces and title-case."""
-    return df.withColumns({c: title_case(collapse_spaces(F.col(c))) for c in cols})
+    return df.withColumns({c: title_case(collapsed_text(f"`{c}`")) for c in cols})
 
 
 def clean_country(df: DataFrame, col: str = "country") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wareloom.functions.draws import div, join_lanes, row_state
+from wareloom.functions.draws import div, key_draw
 from wareloom.functions.text import fingerprint
 
 CHUNK = 65_536  # copies of one row that a task expands
@@ -38,5 +38,6 @@ def identify(df: DataFrame, seed: int) -> DataFrame:
     """Add ``_row_key``, a 52-bit key drawn from the row's content and copy number."""
     cols = df.columns
     numbered = number_copies(df).withColumn("_print", fingerprint(df, cols))
-    state = row_state(seed, "identity", F.col("_print"), F.col("_dup_no"))
-    return numbered.select(*cols, "_print", "_dup_no", join_lanes(*state).alias("_row_key"))
+    return numbered.select(
+        *cols, "_print", "_dup_no", key_draw(seed, "identity", "_print", "_dup_no").alias("_row_key")
+    )

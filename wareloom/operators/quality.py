@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wareloom.functions.draws import Draws, constant_draw, key_draw, pick, threshold
-from wareloom.functions.text import title_case, typo
+from wareloom.functions.draws import Draws, constant_draw, key_draw, threshold
+from wareloom.functions.text import title_text, typo_text
 from wareloom.operators.ranking import hash_rank
 
 # Fixed values.
@@ -50,80 +50,62 @@ def landing(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
 
 
-Edit = Callable[[Column, Column], Column]
+Edit = Callable[[str, str], str]  # SQL text of the new value from those of value and draw
 
 
-def edited(value: Column, edits: list[tuple]) -> Column:
+def edited(value: str, edits: list[tuple[str, int, Edit]]) -> Column:
     """A cell after its edits.
 
     Untouched cells, the great majority, only pay for the draws. For the others the
     edits run one after the other on a value that is bound once by ``transform``,
     so the expression grows with the sum of the edits and not with their product.
     """
-    hit_any = F.lit(False)
-    for h, bound, _ in edits:
-        hit_any = hit_any | (h < F.lit(bound))
+    hit_any = " OR ".join(f"{h} < {bound}L" for h, bound, _ in edits)
     if len(edits) == 1:
         h, _, function = edits[0]
-        return F.when(hit_any, function(value, h)).otherwise(value)
-    cell = F.struct(value.alias("v"), *[h.alias(f"h{i}") for i, (h, _, _) in enumerate(edits)])
+        return F.expr(f"CASE WHEN {hit_any} THEN {function(value, h)} ELSE {value} END")
+    fields = ", ".join(f"'h{i}', {h}" for i, (h, _, _) in enumerate(edits))
+    text = "x.v"
+    for i, (_, bound, function) in enumerate(edits):
+        step = f"CASE WHEN x.h{i} < {bound}L THEN {function(f'b{i}', f'x.h{i}')} ELSE b{i} END"
+        text = bind(text, f"b{i}", step)
+    slow = bind(f"named_struct('v', {value}, {fields})", "x", text)
+    return F.expr(f"CASE WHEN {hit_any} THEN {slow} ELSE {value} END")
 
-    def run(x: Column) -> Column:
-        v = x["v"]
-        for i, (_, bound, function) in enumerate(edits):
-            v = _step(v, x[f"h{i}"], bound, function)
-        return v
 
-    return F.when(hit_any, bind(cell, run)).otherwise(value)
+def bind(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` bound to the value, which is evaluated once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def bind(value: Column, function: Callable[[Column], Column]) -> Column:
-    """``function(value)`` with the value evaluated once."""
-    return F.get(F.transform(F.array(value), function), F.lit(0))
+def vary_case(v: str, h: str) -> str:
+    return f"CASE {h} % 3 WHEN 0 THEN upper({v}) WHEN 1 THEN lower({v}) ELSE {title_text(v)} END"
 
 
-def _step(v: Column, h: Column, bound: int, function: Edit) -> Column:
-    return bind(v, lambda b: F.when(h < F.lit(bound), function(b, h)).otherwise(b))
+def vary_spaces(v: str, h: str) -> str:
+    return f"CASE {h} % 3 WHEN 0 THEN concat('  ', {v}) WHEN 1 THEN concat({v}, '  ') ELSE replace({v}, ' ', '  ') END"
 
 
-def vary_case(v: Column, h: Column) -> Column:
-    how = h % F.lit(3)
-    return F.when(how == 0, F.upper(v)).when(how == 1, F.lower(v)).otherwise(title_case(v))
-
-
-def long_enough(function: Edit) -> Edit:
-    return lambda v, h: F.when(F.length(v) >= 3, function(v, h)).otherwise(v)
-
-
-def vary_spaces(v: Column, h: Column) -> Column:
-    how = h % F.lit(3)
-    return (
-        F.when(how == 0, F.concat(F.lit("  "), v))
-        .when(how == 1, F.concat(v, F.lit("  ")))
-        .otherwise(F.replace(v, F.lit(" "), F.lit("  ")))
-    )
-
-
-def vary_country(v: Column, h: Column) -> Column:
-    out = None
+def vary_country(v: str, h: str) -> str:
+    out = "CASE"
     for spellings in COUNTRY_SPELLINGS.values():
-        variant, known = pick(spellings, h % F.lit(len(spellings))), v.isin(spellings)
-        out = F.when(known, variant) if out is None else out.when(known, variant)
-    return out.otherwise(v)
+        names = ", ".join(f"'{s}'" for s in spellings)
+        out += f" WHEN {v} IN ({names}) THEN element_at(array({names}), cast({h} % {len(spellings)} + 1 AS int))"
+    return f"{out} ELSE {v} END"
 
 
-def spell_null(v: Column, h: Column) -> Column:
-    out, bound = None, 0
+def spell_null(v: str, h: str) -> str:
+    out, bound = "CASE", 0
     for text, weight in NULL_SPELLINGS.items():
         bound += weight
-        below, spelled = h % F.lit(100) < F.lit(bound), F.lit(text).cast("string")
-        out = F.when(below, spelled) if out is None else out.when(below, spelled)
-    return out
+        spelled = "cast(NULL AS string)" if text is None else f"'{text}'"
+        out += f" WHEN {h} % 100 < {bound} THEN {spelled}"
+    return f"{out} END"
 
 
 def scale_by(factor: float, t: T.DataType) -> Edit:
-    exact = F.lit(factor).cast("decimal(5,4)") if isinstance(t, T.DecimalType) else F.lit(factor)
-    return lambda v, h: (v * exact).cast(t)
+    exact = f"cast('{factor}' AS decimal(5,4))" if isinstance(t, T.DecimalType) else f"cast({factor}D AS double)"
+    return lambda v, h: f"cast({v} * {exact} AS {t.simpleString()})"
 
 
 def is_quantity(col: str) -> bool:
@@ -137,7 +119,7 @@ def is_amount(col: str) -> bool:
 class Noise:
     """Draws for the rows of one table; ``key`` must identify a row together with the copy number."""
 
-    def __init__(self, seed: int, rate: float, key: Column, protected: Iterable[str] = (), copy: Column | None = None):
+    def __init__(self, seed: int, rate: float, key: str, protected: Iterable[str] = (), copy: str | None = None):
         self.u = Draws(seed, "quality", "_q")
         self.seed, self.rate = seed, clamp_rate(rate)
         self.key, self.copy, self.protected = key, copy, tuple(protected)
@@ -153,7 +135,7 @@ class Noise:
     # digits of the draw choose among variants, its size decides whether it hits.
 
     def _edit(self, name: str, rate: float, function: Edit) -> tuple:
-        return self.u.bits(name), threshold(rate), function
+        return self.u.bits_text(name), threshold(rate), function
 
     def _case(self, df, c):
         if isinstance(df.schema[c].dataType, T.StringType):
@@ -161,7 +143,7 @@ class Noise:
 
     def _typo(self, df, c):
         if isinstance(df.schema[c].dataType, T.StringType) and ("name" in c.lower() or "city" in c.lower()):
-            yield self._edit(f"typo:{c}", self.rate * TYPO_RATE, long_enough(typo))
+            yield self._edit(f"typo:{c}", self.rate * TYPO_RATE, typo_text)
 
     def _space(self, df, c):
         if isinstance(df.schema[c].dataType, T.StringType):
@@ -173,7 +155,7 @@ class Noise:
 
     def _negative(self, df, c):
         if isinstance(df.schema[c].dataType, T.NumericType) and is_quantity(c):
-            yield self._edit(f"negative:{c}", self.rate * VALUE_RATE, lambda v, h: -F.abs(v))
+            yield self._edit(f"negative:{c}", self.rate * VALUE_RATE, lambda v, h: f"-abs({v})")
 
     def _amount(self, df, c):
         t = df.schema[c].dataType
@@ -183,7 +165,7 @@ class Noise:
     def _null(self, is_dimension):
         def edits(df, c):
             t = df.schema[c].dataType
-            function = spell_null if isinstance(t, T.StringType) else lambda v, h: F.lit(None).cast(t)
+            function = spell_null if isinstance(t, T.StringType) else lambda v, h: f"cast(NULL AS {t.simpleString()})"
             yield self._edit(f"null:{c}", null_rate(c, self.rate, is_dimension), function)
 
         return edits
@@ -197,7 +179,7 @@ class Noise:
                 continue
             edits = [e for kind in kinds for e in kind(df, c)]
             if edits:
-                out[c] = edited(F.col(c), edits)
+                out[c] = edited(f"`{c}`", edits)
         return df.withColumns(out) if out else df
 
     def case(self, df: DataFrame) -> DataFrame:
@@ -275,14 +257,14 @@ def inject_duplicates(
         return original
     drawn = (
         df.sparkSession.range(k)
-        .select((key_draw(seed, "quality.duplicates", F.col("id")) % F.lit(n_rows)).alias("_pick"))
+        .select((key_draw(seed, "quality.duplicates", "id") % F.lit(n_rows)).alias("_pick"))
         .groupBy("_pick").agg(F.count(F.lit(1)).alias("_times"))
     )
     if dense:
         source = df.withColumn("_pick", F.col(key) - F.lit(first_key))
     else:
         ranked = hash_rank(
-            df.withColumn("_order", key_draw(seed, "quality.row order", F.col(key))), "_order", [key], n_rows
+            df.withColumn("_order", key_draw(seed, "quality.row order", key)), "_order", [key], n_rows
         )
         source = ranked.withColumn("_pick", F.col("_rank") - F.lit(1)).drop("_rank", "_order")
     copies = source.join(drawn, "_pick").select(
@@ -295,7 +277,7 @@ def inject_dimension(df: DataFrame, rate: float, seed: int, key: str, protected:
     """Case, typos, whitespace, country spellings and missing cells, in this order."""
     if clamp_rate(rate) == 0:
         return df
-    noise = Noise(seed, rate, F.col(key), protected)
+    noise = Noise(seed, rate, key, protected)
     return noise.detach(noise.dimension(noise.attach(df)))
 
 
@@ -306,7 +288,7 @@ def inject_fact(
     """Duplicates, value errors and missing cells, in this order."""
     if clamp_rate(rate) == 0:
         return df
-    noise = Noise(seed, rate, F.col(key), protected, copy=F.col(_COPY))
+    noise = Noise(seed, rate, key, protected, copy=_COPY)
     df = noise.attach(inject_duplicates(df, rate, seed, key, n_rows, first_key, dense))
     df = noise.detach(noise.fact(df))
     return df if keep_copy_no else df.drop(_COPY)
@@ -318,7 +300,7 @@ def inject_time_travelers(
     """End 1 to 10 days before the start in some rows; rows without a readable start stay."""
     if start_col not in df.columns or end_col not in df.columns:
         return df
-    h = key_draw(seed, f"time travel:{start_col}:{end_col}", F.col(key))
+    h = key_draw(seed, f"time travel:{start_col}:{end_col}", key)
     start = F.col(start_col).try_cast("date")
     wrong = F.date_sub(start, (h % F.lit(10) + F.lit(1)).cast("int")).cast("string")
     hit = (h < F.lit(threshold(rate))) & start.isNotNull()
@@ -333,6 +315,6 @@ def inject_orphans(
         return df
     top = F.lit(max_valid) if max_valid is not None else df.agg(F.max(fk_col)).scalar()
     shift = 1000 + constant_draw(seed, "orphan", fk_col) % 9000
-    hit = key_draw(seed, f"orphan:{fk_col}", F.col(key)) < F.lit(threshold(rate))
+    hit = key_draw(seed, f"orphan:{fk_col}", key) < F.lit(threshold(rate))
     t = df.schema[fk_col].dataType
     return df.withColumn(fk_col, F.when(hit, (top + F.lit(shift)).cast(t)).otherwise(F.col(fk_col)))

@@ -17,7 +17,7 @@ def keyed(spark: SparkSession, n: int, key: str) -> DataFrame:
 
 def seeded(spark: SparkSession, cfg: GenConfig, table: str, n: int, key: str) -> tuple[DataFrame, Draws]:
     u = Draws(cfg.seed, f"{cfg.industry}.{table}")
-    return u.attach(keyed(spark, n, key), F.col(key)), u
+    return u.attach(keyed(spark, n, key), key), u
 
 
 def date_key(u: Draws, cfg: GenConfig, name: str = "date_key") -> Column:

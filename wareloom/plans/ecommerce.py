@@ -82,12 +82,12 @@ def _lines(df: DataFrame, cfg: GenConfig) -> DataFrame:
     """Add product, quantity and cents to rows of (order_id, line)."""
     u = Draws(cfg.seed, "ecommerce.fact_order_items", "_i")
     p = Draws(cfg.seed, "ecommerce.dim_product", "_p")
-    df = u.attach(df, F.col("order_id") * F.lit(8) + F.col("line"))
+    df = u.attach(df, "order_id * 8 + line")
     df = df.withColumns({
         "product_key": u.skewed_key("product_key", cfg.n("products")),
         "_qty": u.randint("quantity", 1, 3),
     })
-    df = p.attach(df, F.col("product_key"))
+    df = p.attach(df, "product_key")
     return df.withColumn("_price", product_price(p)).withColumn("_total", F.col("_price") * F.col("_qty"))
 
 
@@ -105,7 +105,7 @@ def fact_orders(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     )
     values = _lines(lines, cfg).groupBy("order_id").agg(F.sum("_total").alias("_value"))
     u = Draws(cfg.seed, "ecommerce.fact_orders")
-    return u.attach(values, F.col("order_id")).select(
+    return u.attach(values, "order_id").select(
         "order_id",
         date_key(u, cfg).alias("date_key"),
         u.skewed_key("customer_key", cfg.n("customers")).alias("customer_key"),

@@ -139,7 +139,7 @@ def fact_procedures(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     )
     e = Draws(cfg.seed, "healthcare.fact_encounters", "_e")
     u = Draws(cfg.seed, "healthcare.fact_procedures")
-    df = u.attach(e.attach(df, F.col("encounter_id")), F.col("encounter_id") * F.lit(8) + F.col("_line"))
+    df = u.attach(e.attach(df, "encounter_id"), "encounter_id * 8 + _line")
     return df.select(
         "procedure_id",
         "encounter_id",
@@ -158,7 +158,7 @@ def fact_billing(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """One claim per encounter; the charges are recomputed from the encounter key."""
     df, u = seeded(spark, cfg, "fact_billing", cfg.n("encounters"), "encounter_id")
     e = Draws(cfg.seed, "healthcare.fact_encounters", "_e")
-    df = e.attach(df, F.col("encounter_id")).withColumns(_visit(e)).withColumn("_total", _charges())
+    df = e.attach(df, "encounter_id").withColumns(_visit(e)).withColumn("_total", _charges())
     df = df.withColumn("_allowed", share(F.col("_total"), u.randint("allowed_ratio", 3000, 8000)))
     df = df.withColumn("_paid", share(F.col("_allowed"), u.randint("paid_ratio", 7000, 10000)))
     return df.select(

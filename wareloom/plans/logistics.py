@@ -103,7 +103,7 @@ def fact_shipments(spark: SparkSession, cfg: GenConfig) -> DataFrame:
         u.randint("weight_lbs", 100, 10000).alias("_weight"),
         u.randint("cost_per_lb", 5000, 20000).alias("_rate"),
     )
-    df = r.attach(df, F.col("route_key"))
+    df = r.attach(df, "route_key")
     return df.select(
         "shipment_id", "date_key", "route_key", "vehicle_key", "origin_warehouse_key", "dest_warehouse_key",
         int_col(F.col("_weight")).alias("weight_lbs"),
@@ -120,8 +120,8 @@ def fact_deliveries(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     df, u = seeded(spark, cfg, "fact_deliveries", cfg.n("shipments"), "shipment_id")
     s = Draws(cfg.seed, "logistics.fact_shipments", "_h")
     r = Draws(cfg.seed, "logistics.dim_route", "_r")
-    df = s.attach(df, F.col("shipment_id")).withColumn("_route", _route_key(s, cfg))
-    df = r.attach(df, F.col("_route")).withColumns({
+    df = s.attach(df, "shipment_id").withColumn("_route", _route_key(s, cfg))
+    df = r.attach(df, "_route").withColumns({
         "_expected": _transit_days(r),
         "delivery_status": u.weighted("delivery_status", DELIVERY_STATUS),
         "_delta": u.randint("delay", -1, 3),
@@ -154,7 +154,7 @@ def fact_fleet_usage(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     n = cfg.n("vehicles")
     rows = expand_with_running_id(spark, cfg.n_days * n, lambda p: _in_use(cfg, p))
     u = Draws(cfg.seed, "logistics.fact_fleet_usage")
-    return u.attach(rows, F.col("position")).select(
+    return u.attach(rows, "position").select(
         F.col("running_id").alias("usage_id"),
         (div(F.col("position"), n) + F.lit(1)).alias("date_key"),
         (F.col("position") % F.lit(n) + F.lit(1)).alias("vehicle_key"),

@@ -74,7 +74,7 @@ LINE_KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 
 
 def _noise(key: str, protected, rate=RATE, copy=None) -> quality.Noise:
-    return quality.Noise(SEED, rate, F.col(key), protected, copy)
+    return quality.Noise(SEED, rate, key, protected, copy)
 
 
 def _apply(noise: quality.Noise, df: DataFrame, *steps) -> DataFrame:
@@ -379,7 +379,7 @@ def draw_skewed_keys(spark, folder):
     """How often each customer key is drawn for the orders, hot keys first served."""
     u = Draws(SEED, "draws")
     n = scaled.extent(spark, folder).counts["customer"]
-    orders = u.attach(load(spark, folder, "orders").select("o_orderkey"), F.col("o_orderkey"))
+    orders = u.attach(load(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
     return orders.select(u.skewed_key("customer", n).alias("customer_key")).groupBy("customer_key").agg(
         F.count(F.lit(1)).alias("n_draws")
     )
@@ -389,14 +389,14 @@ def draw_sample(spark, folder):
     """Exactly a tenth of the orders, without replacement."""
     n = scaled.extent(spark, folder).counts["orders"]
     orders = load(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    drawn = orders.withColumn("_draw", key_draw(SEED, "sample", F.col("o_orderkey")))
+    drawn = orders.withColumn("_draw", key_draw(SEED, "sample", "o_orderkey"))
     return sample_rows(drawn, "_draw", ["o_orderkey"], n // 10, n).drop("_draw").withColumnRenamed("_rank", "position")
 
 
 def draw_primitives(spark, folder):
     """The scalar draws side by side for every order."""
     u = Draws(SEED, "draws")
-    d = u.attach(load(spark, folder, "orders").select("o_orderkey", "o_orderdate"), F.col("o_orderkey"))
+    d = u.attach(load(spark, folder, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey")
     first, second = distinct_pair(u.index("first", 30), u.index("second", 29), 30)
     day = F.to_date("o_orderdate")
     return d.select(

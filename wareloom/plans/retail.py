@@ -85,7 +85,7 @@ def fact_sales(spark: SparkSession, cfg: GenConfig) -> DataFrame:
         u.randint("quantity", 1, 10).alias("_qty"),
         u.randint("discount_rate", 0, 2000).alias("_rate"),
     )
-    df = p.attach(df, F.col("product_key")).withColumn("_price", product_price(p))
+    df = p.attach(df, "product_key").withColumn("_price", product_price(p))
     gross = F.col("_price") * F.col("_qty")
     df = df.withColumn("_discount", share(gross, F.col("_rate")))
     return df.select(
@@ -105,7 +105,7 @@ def fact_inventory(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """
     stores = cfg.n("stores")
     u = Draws(cfg.seed, "retail.fact_inventory")
-    df = u.attach(spark.range(cfg.n("products") * stores), F.col("id"))
+    df = u.attach(spark.range(cfg.n("products") * stores), "id")
     return df.select(
         (div(F.col("id"), stores) + F.lit(1)).alias("product_key"),
         (F.col("id") % F.lit(stores) + F.lit(1)).alias("store_key"),

@@ -45,7 +45,7 @@ def _signup(u: Draws, cfg: GenConfig) -> Column:
 
 def _customers(spark: SparkSession, cfg: GenConfig) -> tuple[DataFrame, Draws]:
     u = Draws(cfg.seed, "saas.dim_customer", "_c")
-    return u.attach(keyed(spark, cfg.n("customers"), "customer_key"), F.col("customer_key")), u
+    return u.attach(keyed(spark, cfg.n("customers"), "customer_key"), "customer_key"), u
 
 
 def plan_price(plan_key: Column) -> Column:
@@ -99,7 +99,7 @@ def fact_subscriptions(spark: SparkSession, cfg: GenConfig) -> DataFrame:
         )
     )
     u = Draws(cfg.seed, "saas.fact_subscriptions")
-    df = u.attach(df, F.col("customer_key") * F.lit(KEY_DAYS) + F.col("snapshot_date_key"))
+    df = u.attach(df, f"customer_key * {KEY_DAYS} + snapshot_date_key")
     df = df.withColumn("plan_key", u.weighted("plan_key", PLAN_WEIGHTS).cast("bigint"))
     df = df.withColumn("_price", plan_price(F.col("plan_key")))
     return df.select(
@@ -135,7 +135,7 @@ def fact_churn(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     df = df.select("customer_key", _signup(c, cfg).alias("_signup"), c.bits("churn_sample").alias("_draw"))
     df = sample_rows(df, "_draw", ["customer_key"], int(n * CHURN_SHARE), n)
     u = Draws(cfg.seed, "saas.fact_churn")
-    df = u.attach(df.where(F.col("_signup") < F.lit(cfg.end_date)), F.col("customer_key"))
+    df = u.attach(df.where(F.col("_signup") < F.lit(cfg.end_date)), "customer_key")
     earliest = F.date_add("_signup", 30)
     span = F.greatest(F.date_diff(F.lit(cfg.end_date), earliest), F.lit(0)).cast("bigint")
     df = df.withColumn("_churn", F.date_add(earliest, (u.bits("churn_date") % (span + F.lit(1))).cast("int")))
