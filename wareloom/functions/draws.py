@@ -65,27 +65,9 @@ def _lanes_text(a: str, b: str) -> str:
     return f"(shiftleft({a}, 20) | shiftright({b}, 12))"
 
 
-def _column_round(x: Column, *parts) -> Column:
-    product = x.bitwiseXOR(F.lit(word(*parts))) * F.lit(multiplier(*parts))
-    return F.shiftright(product, 16).bitwiseAND(F.lit(LOW32))
-
-
-def key_draw(seed: int, name: str, key: str | Column, sub: str | None = None) -> Column:
-    """One 52-bit draw straight from a key, for use without state columns.
-
-    The key is SQL text, or a Column where it is a lambda variable.
-    """
-    if isinstance(key, str):
-        return F.expr(_lanes_text(*_state_text(seed, name, key, sub)))
-    key = key.cast("bigint")
-    lanes = []
-    for lane in (1, 2):
-        x = _column_round(key.bitwiseAND(F.lit(LOW32)), seed, name, lane, 0)
-        x = x.bitwiseXOR(F.shiftright(key, 32).bitwiseAND(F.lit(LOW32)))
-        for r in (1, 2, 3):
-            x = _column_round(x, seed, name, lane, r)
-        lanes.append(x)
-    return F.shiftleft(lanes[0], 20).bitwiseOR(F.shiftright(lanes[1], 12))
+def key_draw(seed: int, name: str, key: str, sub: str | None = None) -> Column:
+    """One 52-bit draw straight from a key (SQL text), for use without state columns."""
+    return F.expr(_lanes_text(*_state_text(seed, name, f"({key})", sub)))
 
 
 class Draws:
@@ -116,8 +98,8 @@ class Draws:
         return _lanes_text(*lanes)
 
     def index(self, name: str, n: int) -> Column:
-        """Uniform integer in [0, n)."""
-        return self.bits(name) % F.lit(int(n))
+        """Uniform integer in [0, n), typed as never NULL (a bare remainder is not)."""
+        return F.expr(f"coalesce({self.bits_text(name)} % {int(n)}L, 0L)")
 
     def randint(self, name: str, low: int, high: int) -> Column:
         """Uniform bigint in [low, high], both included."""
@@ -163,7 +145,7 @@ class Draws:
         else:
             rank = rank % F.lit(top)
         offset = constant_draw(self.seed, self.table, name, "offset") % n
-        return F.lit(1) + (F.lit(STRIDE % n) * rank + F.lit(offset)) % F.lit(n)
+        return F.lit(1) + F.coalesce((F.lit(STRIDE % n) * rank + F.lit(offset)) % F.lit(n), F.lit(0).cast("bigint"))
 
 
 def threshold(p: float) -> int:

@@ -59,4 +59,6 @@ def canonical_text(df: DataFrame, col: str) -> Column:
 def fingerprint(df: DataFrame, cols: list[str]) -> Column:
     """52-bit number of a row's content."""
     digest = F.md5(F.concat_ws("|", *[canonical_text(df, c) for c in cols]))
-    return F.conv(F.left(digest, F.lit(13)), 16, 10).cast("bigint")
+    # Never NULL, so joins on numbers drawn from it need no inferred null filter, which
+    # Catalyst would push down by copying the whole digest expression.
+    return F.coalesce(F.conv(F.left(digest, F.lit(13)), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))

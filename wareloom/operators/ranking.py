@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from wareloom.functions.draws import SPAN, div
+from wareloom.functions.draws import div
 
 BLOCK = 1024            # positions per block of a running id
 GROUP = 4096            # blocks per group of the two-level prefix sum
 FLAT_LIMIT = 65_536     # rows that one window task may hold
+TASK_ROWS = 8_000_000   # positions that one task expands
+BROADCAST_BLOCKS = 262_144
 BUCKET_ROWS = 16_384    # aim of rows per hash bucket
 MAX_BUCKETS = 65_536
 
@@ -43,43 +45,43 @@ def prefix_offsets(totals: DataFrame, key: str, value: str, n_keys: int) -> Data
 
 
 def expand_with_running_id(
-    spark: SparkSession, n: int, count_of: Callable[[Column], Column], block: int = BLOCK
+    spark: SparkSession, n: int, count_of: Callable[[str], Column], block: int = BLOCK
 ) -> DataFrame:
-    """(position, ordinal, running_id) with ``count_of(position)`` rows per position.
+    """(position, ordinal, running_id) with ``count_of("position")`` rows per position.
 
-    Running ids are 1, 2, 3, … in order of (position, ordinal). Since the count is
-    a pure function of the position, only one total per block is shuffled; the
-    rows themselves are expanded in place.
+    Running ids are 1, 2, 3, … in order of (position, ordinal). The plan starts from
+    one row per block; blocks expand in place, and since the range (or the hash of
+    the block) already groups a block in one task, neither the totals nor the running
+    sum inside a block shuffle the positions. Only block totals travel.
     """
     n_blocks = (n + block - 1) // block
-    totals = (
-        spark.range(n)
-        .groupBy(div(F.col("id"), block).alias("_block"))
-        .agg(F.sum(count_of(F.col("id")).cast("bigint")).alias("_total"))
-    )
-    offsets = prefix_offsets(totals, "_block", "_total", n_blocks)
+    tasks = max(spark.sparkContext.defaultParallelism, (n + TASK_ROWS - 1) // TASK_ROWS)
+
+    def positions(blocks: DataFrame) -> DataFrame:
+        first = F.col("_block") * F.lit(block)
+        last = F.least(first + F.lit(block), F.lit(n)) - F.lit(1)
+        return (
+            blocks.withColumn("position", F.explode(F.sequence(first, last)))
+            .withColumn("_c", count_of("position").cast("bigint"))
+            .where(F.col("_c") > 0)
+        )
 
-    def ordinals(p: Column) -> Column:
-        c = count_of(p).cast("bigint")
-        return F.when(c > 0, F.sequence(F.lit(1).cast("bigint"), c)).otherwise(F.array().cast("array<bigint>"))
+    def blocks() -> DataFrame:
+        return spark.range(0, n_blocks, 1, tasks).withColumnRenamed("id", "_block")
 
-    first = F.col("_block") * F.lit(block)
-    last = F.least(first + F.lit(block), F.lit(n)) - F.lit(1)
-    items = F.flatten(
-        F.transform(
-            F.sequence(first, last),
-            lambda p: F.transform(ordinals(p), lambda o: F.struct(p.alias("position"), o.alias("ordinal"))),
-        )
-    )
+    totals = positions(blocks()).groupBy("_block").agg(F.sum("_c").alias("_total"))
+    offsets = prefix_offsets(totals, "_block", "_total", n_blocks)
+    if n_blocks <= BROADCAST_BLOCKS:  # at most four megabytes
+        placed = blocks().join(F.broadcast(offsets), "_block")
+    else:
+        placed = blocks().join(offsets, "_block").repartition(tasks, "_block")
+    w = W.partitionBy("_block").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = F.col("_offset") + F.sum("_c").over(w) - F.col("_c")
     return (
-        spark.range(n_blocks).withColumnRenamed("id", "_block")
-        .join(offsets, "_block")
-        .select("_offset", F.posexplode(items).alias("_pos", "_item"))
-        .select(
-            F.col("_item.position").alias("position"),
-            F.col("_item.ordinal").alias("ordinal"),
-            (F.col("_offset") + F.col("_pos") + F.lit(1)).alias("running_id"),
-        )
+        positions(placed)
+        .withColumn("_before", before)  # before the expansion, which one select would place below the window
+        .select("position", "_before", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))).alias("ordinal"))
+        .select("position", "ordinal", (F.col("_before") + F.col("ordinal")).alias("running_id"))
     )
 
 
@@ -98,8 +100,9 @@ def hash_rank(df: DataFrame, draw: str, ties: list[str], n: int, keep: int | Non
     dropped before the shuffle.
     """
     bits = _bucket_bits(n)
-    width = SPAN >> bits
-    keyed = df.withColumn("_bucket", div(F.col(draw), width))
+    # A shift is never NULL; a division could be, and the join below would then push a
+    # null filter with a copy of the whole draw expression to the scan.
+    keyed = df.withColumn("_bucket", F.shiftright(F.col(draw), 52 - bits))
     if bits == 0:
         offsets = None
         ranked = keyed.withColumn("_offset", F.lit(0).cast("bigint"))

@@ -73,9 +73,10 @@ def dim_channel(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     return spark.createDataFrame(CHANNELS, "channel_key bigint, channel_name string, platform string")
 
 
-def _n_items(cfg: GenConfig, order_id: Column) -> Column:
+def _n_items(cfg: GenConfig, order_id: str) -> Column:
     """Items per order as a function of the order key alone."""
-    return F.lit(1) + key_draw(cfg.seed, "ecommerce.fact_orders.n_items", order_id) % F.lit(MAX_ITEMS)
+    h = key_draw(cfg.seed, "ecommerce.fact_orders.n_items", order_id)
+    return F.lit(1) + h % F.lit(MAX_ITEMS)
 
 
 def _lines(df: DataFrame, cfg: GenConfig) -> DataFrame:
@@ -100,7 +101,7 @@ def fact_orders(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     lines = (
         spark.range(1, cfg.n("orders") + 1)
         .select(F.col("id").alias("order_id"), F.explode(
-            F.sequence(F.lit(1).cast("bigint"), _n_items(cfg, F.col("id")))
+            F.sequence(F.lit(1).cast("bigint"), _n_items(cfg, "id"))
         ).alias("line"))
     )
     values = _lines(lines, cfg).groupBy("order_id").agg(F.sum("_total").alias("_value"))
@@ -117,7 +118,7 @@ def fact_orders(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def fact_order_items(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    items = expand_with_running_id(spark, cfg.n("orders"), lambda p: _n_items(cfg, p + F.lit(1)))
+    items = expand_with_running_id(spark, cfg.n("orders"), lambda p: _n_items(cfg, f"{p} + 1"))
     items = items.select(
         F.col("running_id").alias("item_id"),
         (F.col("position") + F.lit(1)).alias("order_id"),

@@ -125,13 +125,13 @@ def fact_encounters(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     )
 
 
-def _n_procedures(cfg: GenConfig, encounter_id: Column) -> Column:
+def _n_procedures(cfg: GenConfig, encounter_id: str) -> Column:
     h = key_draw(cfg.seed, "healthcare.fact_encounters.n_procedures", encounter_id)
     return F.lit(1) + h % F.lit(MAX_PROCEDURES)
 
 
 def fact_procedures(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    rows = expand_with_running_id(spark, cfg.n("encounters"), lambda p: _n_procedures(cfg, p + F.lit(1)))
+    rows = expand_with_running_id(spark, cfg.n("encounters"), lambda p: _n_procedures(cfg, f"{p} + 1"))
     df = rows.select(
         F.col("running_id").alias("procedure_id"),
         (F.col("position") + F.lit(1)).alias("encounter_id"),

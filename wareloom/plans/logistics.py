@@ -55,15 +55,15 @@ def dim_vehicle(spark: SparkSession, cfg: GenConfig) -> DataFrame:
         int_col(u.randint("capacity_lbs", 1000, 100000)).alias("capacity_lbs"),
         u.choice("fuel_type", FUELS).alias("fuel_type"),
         int_col(u.randint("year", 2015, 2024)).alias("year"),
-        _vehicle_status(cfg, F.col("vehicle_key")).alias("status"),
+        _vehicle_status(cfg, "vehicle_key").alias("status"),
     )
 
 
-def _status_draw(cfg: GenConfig, vehicle_key: Column) -> Column:
+def _status_draw(cfg: GenConfig, vehicle_key: str) -> Column:
     return key_draw(cfg.seed, "logistics.dim_vehicle.status", vehicle_key) % F.lit(100)
 
 
-def _vehicle_status(cfg: GenConfig, vehicle_key: Column) -> Column:
+def _vehicle_status(cfg: GenConfig, vehicle_key: str) -> Column:
     h = _status_draw(cfg, vehicle_key)
     active, maintenance = VEHICLE_STATUS["Active"], VEHICLE_STATUS["Maintenance"]
     return (
@@ -142,9 +142,9 @@ def fact_deliveries(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     )
 
 
-def _in_use(cfg: GenConfig, position: Column) -> Column:
+def _in_use(cfg: GenConfig, position: str) -> Column:
     """1 if the vehicle of a (day, vehicle) position is active and drove that day."""
-    vehicle = position % F.lit(cfg.n("vehicles")) + F.lit(1)
+    vehicle = f"{position} % {cfg.n('vehicles')} + 1"
     used = key_draw(cfg.seed, "logistics.fact_fleet_usage.used", position) < F.lit(threshold(DAILY_USE))
     return F.when(used & (_status_draw(cfg, vehicle) < VEHICLE_STATUS["Active"]), F.lit(1)).otherwise(F.lit(0))
 
