@@ -56,14 +56,15 @@ Edit = Callable[[str, str], str]  # SQL text of the new value from those of valu
 def edited(value: str, edits: list[tuple[str, int, Edit]]) -> Column:
     """A cell after its edits.
 
-    Untouched cells, the great majority, only pay for the draws. For the others the
-    edits run one after the other on a value that is bound once by ``transform``,
-    so the expression grows with the sum of the edits and not with their product.
+    Untouched cells, the great majority, only pay for the draws, once each. For the
+    others the edits run one after the other on a value and draws that ``transform``
+    binds once, so the expression grows with the sum of the edits and not with their
+    product, and the generated method stays small enough for the JVM to compile.
     """
     hit_any = " OR ".join(f"{h} < {bound}L" for h, bound, _ in edits)
-    if len(edits) == 1:
-        h, _, function = edits[0]
-        return F.expr(f"CASE WHEN {hit_any} THEN {function(value, h)} ELSE {value} END")
+    only = edits[0][2](value, "h0") if len(edits) == 1 else "h0"
+    if "h0" not in only:  # a single edit that does not look at its draw
+        return F.expr(f"CASE WHEN {hit_any} THEN {only} ELSE {value} END")
     fields = ", ".join(f"'h{i}', {h}" for i, (h, _, _) in enumerate(edits))
     text = "x.v"
     for i, (_, bound, function) in enumerate(edits):

@@ -27,21 +27,22 @@ MAX_BUCKETS = 65_536
 def prefix_offsets(totals: DataFrame, key: str, value: str, n_keys: int) -> DataFrame:
     """(key, _offset): the sum of ``value`` over all smaller keys.
 
-    ``totals`` has one row per key in [0, n_keys). Above ``FLAT_LIMIT`` keys the
-    sum is taken in two levels, so one task sees only the group totals.
+    ``totals`` has at most one row per key in [0, n_keys). Above ``FLAT_LIMIT`` keys
+    the sum is taken per group of keys and shifted by the groups before, level by
+    level, so one task never sees more than ``FLAT_LIMIT`` rows.
     """
     running = F.sum(value).over
     if n_keys <= FLAT_LIMIT:
         w = W.orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
         return totals.select(key, (running(w) - F.col(value)).alias("_offset"))
-    grouped = totals.withColumn("_group", div(F.col(key), GROUP))
+    group = f"{key}_group"  # a new name on every level
+    grouped = totals.withColumn(group, div(F.col(key), GROUP))
     heads = prefix_offsets(
-        grouped.groupBy("_group").agg(F.sum(value).alias("_total")),
-        "_group", "_total", (n_keys + GROUP - 1) // GROUP,
+        grouped.groupBy(group).agg(F.sum(value).alias("_head_total")), group, "_head_total", (n_keys + GROUP - 1) // GROUP
     ).withColumnRenamed("_offset", "_head")
-    w = W.partitionBy("_group").orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
+    w = W.partitionBy(group).orderBy(key).rowsBetween(W.unboundedPreceding, W.currentRow)
     inner = grouped.withColumn("_inner", running(w) - F.col(value))
-    return inner.join(heads, "_group").select(key, (F.col("_head") + F.col("_inner")).alias("_offset"))
+    return inner.join(heads, group).select(key, (F.col("_head") + F.col("_inner")).alias("_offset"))
 
 
 def expand_with_running_id(

@@ -20,6 +20,9 @@ CSV_OPTIONS = {
     "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
 }
 
+# A bare empty field reads as the null marker, a quoted one as the empty string.
+CSV_READ = {"nullValue": "\\N", "emptyValue": ""}
+
 
 def path_of(output_dir: str, fmt: str, table: str) -> str:
     return f"{output_dir.rstrip('/')}/{fmt}/{table}"
@@ -47,7 +50,7 @@ def read_table(spark: SparkSession, output_dir: str, table: str, fmt: str, schem
     source = path_of(output_dir, fmt, table)
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.options(**{**CSV_OPTIONS, "emptyValue": ""}).csv(source)
+        return reader.options(**{**CSV_OPTIONS, **CSV_READ}).csv(source)
     return reader.parquet(source) if fmt == "parquet" else reader.json(source)
 
 
