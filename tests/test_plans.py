@@ -42,6 +42,11 @@ def test_star_tables_need_no_join(spark, industry):
             assert "Join" not in plan(df), name
 
 
+def test_order_values_are_summed_without_a_shuffle(spark):
+    orders = generate(spark, GenConfig("ecommerce", counts={"orders": 1_000_000}))["fact_orders"]
+    assert "Exchange" not in plan(orders) and "Join" not in plan(orders)
+
+
 def test_running_ids_shuffle_totals_only(spark):
     df = ranking.expand_with_running_id(spark, 1_000_000, lambda p: F.expr(f"{p} % 3"))
     text = plan(df)

@@ -18,12 +18,22 @@ from wareloom.functions.draws import div
 BLOCK = 1024            # positions per block of a running id
 GROUP = 4096            # blocks per group of the two-level prefix sum
 FLAT_LIMIT = 65_536     # rows that one window task may hold
-TASK_ROWS = 8_000_000   # positions that one task expands
+TASK_ROWS = 8_000_000   # generated rows per task at most
+SMALL_TASK_ROWS = 50_000
 BROADCAST_BLOCKS = 262_144
 BUCKET_ROWS = 16_384    # aim of rows per hash bucket
 MAX_BUCKETS = 65_536
 
 
+def tasks_for(spark: SparkSession, n: int) -> int:
+    """Tasks for n generated rows: one per core, fewer for small and more for huge tables.
+
+    Small tables then become one file, and a lost task of a huge one is cheap to repeat.
+    """
+    few = min(spark.sparkContext.defaultParallelism, (n + SMALL_TASK_ROWS - 1) // SMALL_TASK_ROWS)
+    return max(1, few, (n + TASK_ROWS - 1) // TASK_ROWS)
+
+
 def prefix_offsets(totals: DataFrame, key: str, value: str, n_keys: int) -> DataFrame:
     """(key, _offset): the sum of ``value`` over all smaller keys.
 
@@ -56,7 +66,7 @@ def expand_with_running_id(
     sum inside a block shuffle the positions. Only block totals travel.
     """
     n_blocks = (n + block - 1) // block
-    tasks = max(spark.sparkContext.defaultParallelism, (n + TASK_ROWS - 1) // TASK_ROWS)
+    tasks = tasks_for(spark, n)
 
     def positions(blocks: DataFrame) -> DataFrame:
         first = F.col("_block") * F.lit(block)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from wareloom.config import GenConfig
 from wareloom.functions import pools
-from wareloom.functions.draws import Draws, SPAN, growth_day_index, quarter_label
+from wareloom.functions.draws import SPAN, Draws, growth_day_index, quarter_label
+from wareloom.operators.ranking import tasks_for
 
 
 def keyed(spark: SparkSession, n: int, key: str) -> DataFrame:
     """Surrogate keys 1..n; the only source of a generated table."""
-    return spark.range(1, n + 1).withColumnRenamed("id", key)
+    return spark.range(1, n + 1, 1, tasks_for(spark, n)).withColumnRenamed("id", key)
 
 
 def seeded(spark: SparkSession, cfg: GenConfig, table: str, n: int, key: str) -> tuple[DataFrame, Draws]:

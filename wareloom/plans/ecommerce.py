@@ -11,7 +11,9 @@ from wareloom.config import GenConfig
 from wareloom.functions import pools
 from wareloom.functions.draws import Draws, key_draw, money, padded_id
 from wareloom.operators.ranking import expand_with_running_id
-from wareloom.plans.common import city, date_key, dim_date, first_name, int_col, last_name, product_name, seeded, state
+from wareloom.plans.common import (
+    city, date_key, dim_date, first_name, int_col, keyed, last_name, product_name, seeded, state,
+)
 
 # Fixed values.
 CATEGORIES = ["Electronics", "Fashion", "Home", "Beauty", "Sports", "Books"]
@@ -95,14 +97,12 @@ def _lines(df: DataFrame, cfg: GenConfig) -> DataFrame:
 def fact_orders(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """Order headers; the value is the sum of the lines.
 
-    Lines are expanded next to their order and summed before the one shuffle; the
-    header columns are drawn afterwards from the order key, so nothing is joined.
+    Lines are expanded next to their order and summed there: the range of order keys
+    already groups them, so the sum needs no shuffle. The header columns are drawn
+    afterwards from the order key, so nothing is joined either.
     """
-    lines = (
-        spark.range(1, cfg.n("orders") + 1)
-        .select(F.col("id").alias("order_id"), F.explode(
-            F.sequence(F.lit(1).cast("bigint"), _n_items(cfg, "id"))
-        ).alias("line"))
+    lines = keyed(spark, cfg.n("orders"), "order_id").withColumn(
+        "line", F.explode(F.sequence(F.lit(1).cast("bigint"), _n_items(cfg, "order_id")))
     )
     values = _lines(lines, cfg).groupBy("order_id").agg(F.sum("_total").alias("_value"))
     u = Draws(cfg.seed, "ecommerce.fact_orders")

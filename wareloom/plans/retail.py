@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wareloom.config import GenConfig
 from wareloom.functions import pools
 from wareloom.functions.draws import Draws, div, money, padded_id, share
+from wareloom.operators.ranking import tasks_for
 from wareloom.plans.common import city, date_key, dim_date, first_name, int_col, last_name, product_name, seeded, state
 
 # Fixed values.
@@ -105,7 +106,8 @@ def fact_inventory(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """
     stores = cfg.n("stores")
     u = Draws(cfg.seed, "retail.fact_inventory")
-    df = u.attach(spark.range(cfg.n("products") * stores), "id")
+    pairs = cfg.n("products") * stores
+    df = u.attach(spark.range(0, pairs, 1, tasks_for(spark, pairs)), "id")
     return df.select(
         (div(F.col("id"), stores) + F.lit(1)).alias("product_key"),
         (F.col("id") % F.lit(stores) + F.lit(1)).alias("store_key"),
