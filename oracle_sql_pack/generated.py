@@ -456,5 +456,4 @@ def with_tables(industry: str, tables: list[str], body: str) -> str:
     for t in ctes:
         if t in needed:
             visit(t)
-    extra = body if body.lstrip().upper().startswith("SELECT") else body
-    return "WITH " + ",\n".join([WINDOW] + [f"{t} AS ({ctes[t]})" for t in ordered]) + "\n" + extra
+    return "WITH " + ",\n".join([WINDOW] + [f"{t} AS ({ctes[t]})" for t in ordered]) + "\n" + body

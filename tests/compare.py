@@ -105,7 +105,7 @@ def main(argv):
             if name in sql:
                 out = check(spark, con, folder, name, q, sql[name])
             else:
-                out = f"" if q(spark, folder).count() >= 0 else "no rows"
+                out = "" if q(spark, folder).count() >= 0 else "no rows"
         except Exception as e:  # report and go on with the next query
             out = f"{type(e).__name__}: {str(e)[:700]}"
         bad += bool(out)

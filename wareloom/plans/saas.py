@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wareloom.config import GenConfig
 from wareloom.functions import pools
-from wareloom.functions.draws import Draws, money, padded_id, pick
+from wareloom.functions.draws import Draws, padded_id, pick
 from wareloom.operators.ranking import sample_rows
 from wareloom.plans.common import date_key, dim_date, int_col, keyed, seeded
 
