@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_copies, sharding
+from . import exact_copies, quality, sharding
 from .common import read
 
 
@@ -18,5 +18,9 @@ def op7_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.dedup(read(spark, sf_dir, "documents"))
 
 
+def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
