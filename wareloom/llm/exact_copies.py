@@ -20,7 +20,12 @@ from .common import col, scratch, text_or_empty, written
 
 #: Rows of one (digest, doc_id) are expanded in runs of this length.
 RUN = 4096
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Many small stores: no preallocated files, as the setting's own description advises.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -46,7 +51,7 @@ def streamed_state(slim: DataFrame, path: str, files_per_trigger: int) -> DataFr
     """digest, n, keep_id, locator: the keyed state after the whole of the table at path went through the stream."""
     spark = slim.sparkSession
     place = scratch(spark, "copies-state")
-    with _settings(spark, {"spark.sql.streaming.stateStore.providerClass": PROVIDER}):
+    with _settings(spark, STATE_SETTINGS):
         stream = (
             spark.readStream.schema(slim.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
             .groupBy("digest").agg(F.sum("c").alias("n"), F.max(F.struct("doc_id", "file")).alias("last"))
