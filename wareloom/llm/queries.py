@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_copies, quality, sharding
+from . import exact_copies, pieces, quality, sharding, token_counts
 from .common import read
 
 
@@ -14,6 +14,21 @@ def op1_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"), shards=16)
 
 
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op5_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op7_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.dedup(read(spark, sf_dir, "documents"))
 
