@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_copies, pieces, quality, sharding, token_counts
+from . import exact_copies, passages, pieces, quality, sharding, token_counts
 from .common import read
 
 
@@ -29,6 +29,10 @@ def op5_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_rlz_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.dedup(read(spark, sf_dir, "documents"))
+
+
 def op7_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.dedup(read(spark, sf_dir, "documents"))
 

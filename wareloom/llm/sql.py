@@ -59,6 +59,26 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM placed JOIN walk USING (id) WHERE q < n
 """
 
+OP6 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (
+  SELECT rid, doc_id, unnest(k) AS k, generate_subscripts(k, 1) AS i FROM (
+    SELECT rid, doc_id, list_transform(range(1, len(w) - 18), lambda i: array_to_string(w[i:i + 19], ' ')) AS k
+    FROM d WHERE len(w) >= 20)
+), ranked AS (
+  SELECT rid, i, rank() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, i) > 1 AS again FROM win
+), covered AS (
+  SELECT DISTINCT rid, unnest(range(i, i + 20)) AS pos FROM ranked WHERE again
+), each_word AS (
+  SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d
+), kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS text FROM each_word ANTI JOIN covered USING (rid, pos) GROUP BY rid
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""
+
 OP7 = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
   row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept,
@@ -68,4 +88,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_feistel_shards": OP1, "op7_stream_exact_dedup": OP7}
+    return {"op1_feistel_shards": OP1, "op6_rlz_substring_dedup": OP6, "op7_stream_exact_dedup": OP7}
