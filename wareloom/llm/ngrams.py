@@ -72,20 +72,6 @@ def sets(texts: pd.Series) -> list[np.ndarray]:
     return out
 
 
-def counts(texts: pd.Series, classes: np.ndarray, k: int) -> pd.DataFrame:
-    """feature, n0 .. n(k-1): texts of each class that have a feature."""
-    total = np.zeros((k, DIMENSIONS), np.int64)
-    at = 0
-    for group in batches(as_bytes(texts)):
-        text, feature = indicators(group)
-        own = classes[at : at + len(group)][text]
-        for c in range(k):
-            total[c] += np.bincount(feature[own == c], minlength=DIMENSIONS)
-        at += len(group)
-    used = np.flatnonzero(total.any(axis=0))
-    return pd.DataFrame({"feature": used} | {f"n{c}": total[c][used] for c in range(k)})
-
-
 def margins(texts: pd.Series, weights: np.ndarray, unit: bool = True) -> np.ndarray:
     """texts x models: sums of the weights (models x DIMENSIONS) over a text's features, divided by the set's norm."""
     out = []

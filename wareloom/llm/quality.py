@@ -4,12 +4,12 @@ Features are hashed n-gram indicators (see ``ngrams``), scaled by the log-count
 hinge-loss model over the scaled, length-normalised sets is fitted by dual coordinate descent; its margin becomes
 a score in [0, 1] by a logistic curve fitted on rows that the hinge model has not seen.
 
-The log-count ratios are counted over every training row, in Spark. Dual coordinate descent visits one row at a
-time, so it runs in one task, on a bounded sample (``MAX_TRAIN`` rows, those with the least hash of doc_id); that
-bound is a parameter, and nothing else is sampled. Every row of the table is scored over its whole text.
+Dual coordinate descent visits one row at a time, so the model is fitted in one task, on a bounded sample of the labelled
+rows: the ``MAX_TRAIN`` with the least hash of doc_id. The bound is a parameter; as the sample is bounded, its ids are
+broadcast and no text is shuffled. Nothing else is sampled: every row of the table is scored over its whole text.
 
 Edge cases: a null or empty text has no features and gets the intercept's score; a label that is null or neither 0
-nor 1 trains nothing; of repeated label rows each counts; without training rows of both classes every score is 0.5;
+nor 1 trains nothing; of repeated rows with one id and label one teaches; without training rows of both classes every score is 0.5;
 an empty table gives no rows; columns of other names are ignored.
 """
 
@@ -35,46 +35,26 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, y, fold of the labelled rows that may be learned from."""
-    y = labels.select(col("doc_id").alias("_id"), col(label).cast("int").alias("y")).where("y IN (0, 1)")
-    d = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
-    return d.join(y, d["doc_id"] == y["_id"]).select("doc_id", "text", "y", fold(F.col("doc_id")).alias("fold"))
-
-
-def sampled(rows: DataFrame, limit: int, salt: int = 17) -> DataFrame:
-    """About limit rows at most, by a hash of doc_id: the same rows however the table is partitioned."""
-    n = rows.count()
-    share = min(1.0, limit / n) if n else 1.0
-    return rows if share == 1.0 else rows.where(
-        F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(share * (1 << 30)))
+def labelled(labels: DataFrame, label: str, limit: int, salt: int = 17) -> DataFrame:
+    """doc_id, y, fold of limit labelled rows at most that may be learned from, the same however the table is partitioned."""
+    rows = labels.select(col("doc_id").alias("doc_id"), col(label).cast("int").alias("y")).where("y IN (0, 1)")
+    rows = rows.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
+    return rows.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id", "y").limit(limit)
 
 
-def class_counts(rows: DataFrame) -> DataFrame:
-    """feature, n0, n1 over all rows; each task first adds up what it has read."""
-
-    def count(frames):
-        total = np.zeros((2, ngrams.DIMENSIONS), np.int64)
-        for f in frames:
-            c = ngrams.counts(f["text"], f["y"].to_numpy(), 2)
-            total[:, c["feature"]] += c[["n0", "n1"]].to_numpy().T
-        used = np.flatnonzero(total.any(axis=0))
-        yield pd.DataFrame({"feature": used, "n0": total[0][used], "n1": total[1][used]})
-
-    return rows.select("text", "y").mapInPandas(count, "feature long, n0 long, n1 long").groupBy("feature").agg(
-        F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """The sample's rows with their texts; the sample is bounded, so it is broadcast."""
+    d = docs.select(col("doc_id").alias("doc_id"), col("text").alias("text"))
+    return d.join(F.broadcast(sample), "doc_id")
 
 
-def log_ratio(counts: pd.DataFrame) -> np.ndarray:
+def log_ratio(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Log of the classes' smoothed feature shares; 0 for features that no training row has."""
-    n = np.ones((2, ngrams.DIMENSIONS))
-    n[:, counts["feature"]] += counts[["n0", "n1"]].to_numpy().T
-    share = np.log(n) - np.log(n.sum(axis=1, keepdims=True))
-    ratio = share[1] - share[0]
-    unseen = np.ones(ngrams.DIMENSIONS, bool)
-    unseen[counts["feature"]] = False
-    ratio[unseen] = 0
-    return ratio
+    n = np.zeros((2, ngrams.DIMENSIONS))
+    for c in (0, 1):
+        n[c] = np.bincount(np.concatenate([s for s, own in zip(sets, y) if own == c]), minlength=ngrams.DIMENSIONS)
+    share = np.log(n + 1) - np.log((n + 1).sum(axis=1, keepdims=True))
+    return np.where(n.any(axis=0), share[1] - share[0], 0.0)
 
 
 def dual_coordinate_descent(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
@@ -114,12 +94,10 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(train: DataFrame, limit: int = MAX_TRAIN) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int = MAX_TRAIN) -> dict | None:
     """Weights (already scaled by the ratios), intercept and curve; None without rows of both classes."""
-    ship(train.sparkSession)
-    # A row a feature at most: bounded by DIMENSIONS.
-    ratio = log_ratio(class_counts(train).toPandas())
-    sample = sampled(train, limit).select("doc_id", "text", "y", (F.col("fold") == 1).alias("curve"))
+    ship(docs.sparkSession)
+    sample = sample_texts(docs, labelled(labels, label, limit)).withColumn("curve", F.col("fold") == 1)
 
     def features(frames):
         for f in frames:
@@ -130,12 +108,13 @@ def fit(train: DataFrame, limit: int = MAX_TRAIN) -> dict | None:
         rows = pd.concat(list(frames))
         if rows.empty:
             return
-        rows = rows.sort_values("doc_id", kind="stable")
+        rows = rows.sort_values(["doc_id", "y"])
         sets = [np.frombuffer(b, np.int32) for b in rows["features"]]
         y, curve = rows["y"].to_numpy(), rows["curve"].to_numpy()
         own = np.flatnonzero(~curve)
         if len(set(y[own])) < 2:
             return
+        ratio = log_ratio([sets[i] for i in own], y[own])
         w, b = dual_coordinate_descent([sets[i] for i in own], y[own], ratio)
         scaled = w * ratio
         held = np.flatnonzero(curve) if len(set(y[curve])) == 2 else own
@@ -143,7 +122,9 @@ def fit(train: DataFrame, limit: int = MAX_TRAIN) -> dict | None:
         slope, offset = logistic_curve(margin, y[held])
         yield pd.DataFrame({"model": [json.dumps([b, slope, offset])], "weights": [scaled.astype(np.float32).tobytes()]})
 
-    sets = written(sample.mapInPandas(features, "doc_id long, y int, curve boolean, features binary"), "quality-sample")
+    # Repeated documents of one id teach once, so that the task below reads limit rows at most.
+    sets = written(sample.mapInPandas(features, "doc_id long, y int, curve boolean, features binary").groupBy(
+        "doc_id", "y", "curve").agg(F.min("features").alias("features")), "quality-sample")
     found = sets.coalesce(1).mapInPandas(learn, "model string, weights binary").collect()
     if not found:
         return None
@@ -164,14 +145,9 @@ def scorer(model: dict | None):
     return score
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
-    """Only rows outside the held-out fold teach."""
-    return labelled(docs, labels, label).where("fold <> 0")
-
-
 def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    model = fit(training_rows(docs, labels), limit)
+    model = fit(docs, labels, limit=limit)
     scored = docs.select(col("doc_id").alias("doc_id"), scorer(model)(col("text")).alias("score"))
     return scored.select(
         "doc_id", (F.coalesce(fold(F.col("doc_id")), F.lit(-1)) == 0).alias("held_out"), "score",
@@ -180,5 +156,5 @@ def score(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold:
 
 def keep_good(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN, threshold: float = THRESHOLD) -> DataFrame:
     """The documents with a score of threshold or more, all columns as they were."""
-    model = fit(training_rows(docs, labels), limit)
+    model = fit(docs, labels, limit=limit)
     return docs.where(scorer(model)(col("text")) >= threshold)
