@@ -36,6 +36,8 @@ WIDTH = 20
 GRAM = 8
 #: Text that one group of grams stands for, about: bounds the memory of a grouped task.
 GROUP_BYTES = 24 << 20
+#: Blocks of one task that are settled and packed together.
+PACK = 2_000_000
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -100,6 +102,20 @@ def packed(did, th, doc, a, e, h, u, groups: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pid", "payload"])
 
 
+def gathered(parts, groups: int):
+    """Batches' blocks, packed some PACK at a time."""
+    held, docs, size = [], 0, 0
+    for did, th, doc, a, e, h, u in parts:
+        if size and size + len(a) > PACK:
+            yield packed(*map(np.concatenate, zip(*held)), groups)
+            held, docs, size = [], 0, 0
+        held.append((did, th, doc + docs, a, e, h, u))
+        docs += len(did)
+        size += len(a)
+    if held:
+        yield packed(*map(np.concatenate, zip(*held)), groups)
+
+
 def unpacked(payload: bytes):
     n_docs, fresh, known = np.frombuffer(payload, np.int64, 3)
     n, at = fresh + known, 24
@@ -166,15 +182,18 @@ def spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     groups = max(4 * partitions(spark), -(-size // GROUP_BYTES))
 
     def parse(frames):
-        with np.errstate(over="ignore"):
+        def parts():
             for frame in frames:
                 frame = frame.drop_duplicates(["did", "th"])
                 for did, th, words, rolled, _ in _texts(frame):
                     doc, a, e, h, u = blocks(words, rolled, width)
-                    yield packed(did, th, doc, a - words.first[doc], e - words.first[doc], h, u, groups)
+                    yield did, th, doc, a - words.first[doc], e - words.first[doc], h, u
 
-    def boundaries(frames):
         with np.errstate(over="ignore"):
+            yield from gathered(parts(), groups)
+
+    def boundaries(frames):
+        def parts():
             for frame in frames:
                 for did, th, words, rolled, rows in _texts(frame):
                     starts, grams, owner = [], [], []
@@ -187,7 +206,10 @@ def spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
                     a, h, doc = (np.concatenate(x).astype(np.int64) for x in (starts, grams, owner))
                     place = a + words.first[doc]
                     u = rolled.hash(place, place + width)
-                    yield packed(did, th, doc, a, a + width, h.view(np.uint64), u, groups)
+                    yield did, th, doc, a, a + width, h.view(np.uint64), u
+
+        with np.errstate(over="ignore"):
+            yield from gathered(parts(), groups)
 
     deal = lambda df: df.groupBy("pid").applyInPandas(settle, SPANS)
     found = written(deal(texts.mapInPandas(parse, "pid int, payload binary")), "passages")

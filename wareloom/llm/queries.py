@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_copies, passages, pieces, quality, sharding, token_counts
+from . import exact_copies, near_copies, passages, pieces, quality, sharding, token_counts
 from .common import read
 
 
@@ -37,6 +37,10 @@ def op7_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.dedup(read(spark, sf_dir, "documents"))
+
+
 def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 

@@ -10,18 +10,20 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at a time; a longer text is a batch of its own.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
-_powers = np.ones(1, np.uint64)
+#: BASE * INVERSE = 1 modulo 2^64.
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
+_powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
-def powers(n: int) -> np.ndarray:
-    """BASE ** 0 .. BASE ** n modulo 2^64."""
-    global _powers
-    if len(_powers) <= n:
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n modulo 2^64."""
+    if len(_powers[base]) <= n:
         with np.errstate(over="ignore"):
-            _powers = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 16), BASE, np.uint64))))
-    return _powers
+            _powers[base] = np.concatenate(([np.uint64(1)], np.multiply.accumulate(np.full(max(n, 1 << 16), base, np.uint64))))
+    return _powers[base]
 
 
 def scramble(x: np.ndarray) -> np.ndarray:
@@ -34,16 +36,16 @@ def scramble(x: np.ndarray) -> np.ndarray:
 
 
 class Rolled:
-    """Hashes of any stretches of a sequence in constant time each."""
+    """Hashes of any stretches of a sequence in constant time each; they depend on the stretch's values only."""
 
     def __init__(self, values: np.ndarray):
-        self.n = len(values)
-        self.p = powers(self.n + 1)
-        self.sums = np.zeros(self.n + 1, np.uint64)
-        np.cumsum(values * self.p[: self.n], out=self.sums[1:])
+        n = len(values)
+        self.inverse = powers(INVERSE, n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(values * powers(BASE, n)[:n], out=self.sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        raw = (self.sums[end] - self.sums[start]) * self.p[self.n - end]
+        raw = (self.sums[end] - self.sums[start]) * self.inverse[start]
         return scramble(raw + (end - start).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
