@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_copies, near_copies, passages, pieces, quality, sharding, token_counts
+from . import exact_copies, near_copies, passages, pieces, quality, sharding, token_counts, vector_search
 from .common import read
 
 
@@ -25,6 +26,10 @@ def op2_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op4_block_join_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op5_wfst_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(read(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 

@@ -59,6 +59,20 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
 FROM placed JOIN walk USING (id) WHERE q < n
 """
 
+OP4 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(
+    list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda x, y: x + y)) AS score
+  FROM v AS q, v AS c WHERE q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10
+"""
+
 OP6 = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -88,4 +102,4 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_feistel_shards": OP1, "op6_rlz_substring_dedup": OP6, "op7_stream_exact_dedup": OP7}
+    return {"op1_feistel_shards": OP1, "op4_block_join_neighbours": OP4, "op6_rlz_substring_dedup": OP6, "op7_stream_exact_dedup": OP7}
