@@ -68,5 +68,10 @@ def text_or_empty(name: str = "text"):
     return F.coalesce(col(name), F.lit(""))
 
 
+def wrapped(docs: DataFrame, **columns) -> DataFrame:
+    """The rows as one struct column beside computed ones: no name of the input can clash."""
+    return docs.select(F.struct(*[col(c) for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in columns.items()])
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -16,7 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import col, scratch, text_or_empty, written
+from .common import col, scratch, text_or_empty, wrapped, written
 
 #: Rows of one (digest, doc_id) are expanded in runs of this length.
 RUN = 4096
@@ -114,6 +114,6 @@ def keep_last(docs: DataFrame) -> DataFrame:
     """The documents without copies, all columns: of equal texts the row with the largest doc_id."""
     _, groups = classes(docs)
     stay = groups.select(F.col("text_sha256").alias("_sha"), F.col("keep_id").alias("_id"))
-    tagged = docs.withColumn("_sha", F.sha2(text_or_empty(), 256))
-    held = tagged.join(stay, (tagged["_sha"] == stay["_sha"]) & tagged["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    return held.dropDuplicates(["_sha", "doc_id"]).select(*[col(c) for c in docs.columns])
+    tagged = wrapped(docs, sha=F.sha2(text_or_empty(), 256), doc_id=col("doc_id"))
+    held = tagged.join(stay, (tagged["sha"] == stay["_sha"]) & tagged["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return held.dropDuplicates(["sha", "doc_id"]).select("row.*")

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship, written
+from .common import col, ship, wrapped, written
 from .components import components
 from .words import Rolled, Words, batches, scramble
 
@@ -197,6 +197,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     stay = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least")).select(
         F.col("least.doc_id").alias("_id"), F.col("least.node").alias("_node"))
-    tagged = docs.withColumn("_at", node(F.coalesce(col("text"), F.lit("")).cast("binary")))
-    held = tagged.join(stay, (tagged["_at"] == stay["_node"]) & tagged["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
-    return held.dropDuplicates(["_at", "doc_id"]).select(*[col(c) for c in docs.columns])
+    tagged = wrapped(docs, at=node(F.coalesce(col("text"), F.lit("")).cast("binary")), doc_id=col("doc_id"))
+    held = tagged.join(stay, (tagged["at"] == stay["_node"]) & tagged["doc_id"].eqNullSafe(stay["_id"]), "left_semi")
+    return held.dropDuplicates(["at", "doc_id"]).select("row.*")

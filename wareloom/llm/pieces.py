@@ -232,6 +232,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     return docs.select(col("doc_id").alias("doc_id"), encoder(docs.sparkSession, path)(col("text")).alias("token_ids"))
 
 
+def encode_counted(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens and token_ids of every row."""
+    ids = encoder(docs.sparkSession, path)(col("text"))
+    return docs.select(col("doc_id").alias("doc_id"), ids.alias("token_ids")).select(
+        "doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids")
+
+
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and text of every row of encode()."""
     return encoded.select("doc_id", decoder(encoded.sparkSession, path)(F.col("token_ids")).alias("text"))

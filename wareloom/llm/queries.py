@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_copies, near_copies, passages, pieces, quality, sharding, token_counts, vector_search
+from . import exact_copies, mixing, near_copies, passages, pieces, quality, sharding, token_counts, toxicity, vector_search
 from .common import read
 
 
@@ -26,6 +26,14 @@ def op2_transducer_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+#: Wanted shares of tokens by domain.
+MIXTURE = {"good": 0.90, "poor": 0.07, "toxic": 0.03}
+
+
+def op3_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), MIXTURE)
+
+
 def op4_block_join_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_search.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -42,6 +50,10 @@ def op7_stream_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies.dedup(read(spark, sf_dir, "documents"))
 
 
+def op8_chained_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies.dedup(read(spark, sf_dir, "documents"))
 
