@@ -20,12 +20,14 @@ class Pairs:
         self.tokens, self.rank = tokens, rank
         self.prefixes = {t[:i] for t in tokens for i in range(1, len(t))}
         self.alone: dict[str, bool] = {}
+        self.parts: dict[str, tuple[str, str] | None] = {}
+        self.edges: tuple[dict, dict] = {}, {}
         self.known: dict[tuple[str, str], bool] = {}
 
-    def merge(self, symbols: list[str]) -> list[str]:
+    def merge(self, symbols: list[str], least: int = 1) -> list[str]:
         """The encoding by its definition: merge the best-ranked pair, leftmost first, while there is one."""
         parts, rank = symbols, self.rank
-        while len(parts) > 1:
+        while len(parts) > least:
             best, at = None, 0
             for i in range(len(parts) - 1):
                 r = rank(parts[i], parts[i + 1])
@@ -36,21 +38,81 @@ class Pairs:
             parts = parts[:at] + [parts[at] + parts[at + 1]] + parts[at + 2 :]
         return parts
 
+    def split(self, token: str) -> tuple[str, str] | None:
+        """The two parts of a token's last merge; None for a symbol, and for what never becomes one token."""
+        if token in self.parts:
+            return self.parts[token]
+        parts, found = list(token), None
+        if token in self.tokens and len(token) > 1:
+            parts = self.merge(parts, 2)
+            if len(parts) == 2 and self.rank(*parts) is not None:
+                found = parts[0], parts[1]
+        self.parts[token] = found
+        return found
+
     def usable(self, token: str) -> bool:
         found = self.alone.get(token)
         if found is None:
-            found = self.alone[token] = token in self.tokens and self.merge(list(token)) == [token]
+            found = self.alone[token] = token in self.tokens and (len(token) == 1 or self.split(token) is not None)
+        return found
+
+    def edge(self, token: str, side: int) -> list[tuple[str, float]]:
+        """The parts that form a token's left (0) or right (1) edge, smallest first, each with the rank that ends it."""
+        found = self.edges[side].get(token)
+        if found is None:
+            two = self.split(token)
+            if two is None:
+                found = [(token, float("inf"))]
+            else:
+                inner = self.edge(two[side], side)
+                found = [*inner[:-1], (inner[-1][0], self.rank(*two)), (token, float("inf"))]
+            self.edges[side][token] = found
         return found
 
     def valid(self, a: str, b: str) -> bool:
+        """Whether a and b stay apart: at no time do the parts that meet between them merge before their own tokens grow."""
         found = self.known.get((a, b))
         if found is None:
             if len(self.known) > KEEP:
                 self.known.clear()
-            found = self.known[a, b] = self.merge(list(a + b)) == [a, b]
+            left, right, i, j, found = self.edge(a, 1), self.edge(b, 0), 0, 0, True
+            while True:
+                (x, x_end), (y, y_end) = left[i], right[j]
+                r = self.rank(x, y)
+                if r is not None and r < x_end and r <= y_end:  # of equal ranks the leftmost goes first
+                    found = False
+                    break
+                if i == len(left) - 1 and j == len(right) - 1:
+                    break
+                if x_end <= y_end:
+                    i += 1
+                else:
+                    j += 1
+            self.known[a, b] = found
         return found
 
 
+class Recent(dict):
+    """A dictionary of two generations: what was not asked for while KEEP others came is forgotten."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict = {}
+
+    def make(self, key):
+        raise NotImplementedError
+
+    def __missing__(self, key):
+        if len(self) >= KEEP:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+
 class Transducer:
     """Lazily compiled deterministic transducer from symbols to changes of the token count.
 
@@ -64,35 +126,61 @@ class Transducer:
 
     def forget(self) -> None:
         start = (("", None, 0),)
-        self.states, self.index, self.arcs = [start], {start: 0}, {}
+        #: of each state: its rows, its arcs (symbol -> next state, change of the count), its last token
+        self.states, self.arcs, self.last = [start], [{}], [None]
+        self.index = {start: 0}
 
     def arc(self, state: int, symbol: str) -> tuple[int, int]:
         pairs, rows, delta, last = self.pairs, [], 0, None
+        tokens, prefixes = pairs.tokens, pairs.prefixes
         for suffix, before, fewer in self.states[state]:
             grown = suffix + symbol
-            if last is None and pairs.usable(grown) and (before is None or pairs.valid(before, grown)):
+            if last is None and grown in tokens and pairs.usable(grown) and (before is None or pairs.valid(before, grown)):
                 last, delta = grown, 1 - fewer
-            if grown in pairs.prefixes:
+            if grown in prefixes:
                 rows.append((grown, before, fewer))
         if last is None:
             raise ValueError(f"no token for {symbol!r}")
-        key = (("", last, 0), *((s, b, f + delta) for s, b, f in rows))
+        if delta:
+            key = (("", last, 0), *[(s, b, f + delta) for s, b, f in rows])
+        else:
+            key = (("", last, 0), *rows)
         new = self.index.get(key)
         if new is None:
             new = self.index[key] = len(self.states)
             self.states.append(key)
-        found = self.arcs[state, symbol] = (new, delta)
+            self.arcs.append({})
+            self.last.append(last)
+        found = self.arcs[state][symbol] = (new, delta)
         return found
 
     def count(self, symbols: str) -> int:
         """Tokens of the encoding: the sum along the path from the start state."""
-        if len(self.arcs) > KEEP:
+        if len(self.states) > KEEP:
             self.forget()
         state, total, arcs = 0, 0, self.arcs
         for c in symbols:
-            found = arcs.get((state, c))
+            found = arcs[state].get(c)
             if found is None:
                 found = self.arc(state, c)
             state, delta = found
             total += delta
         return total
+
+    def path(self, symbols: str) -> list[str]:
+        """The encoding: the tokens back along the path."""
+        if len(self.states) > KEEP:
+            self.forget()
+        state, lasts, arcs, last = 0, [], self.arcs, self.last
+        for c in symbols:
+            found = arcs[state].get(c)
+            if found is None:
+                found = self.arc(state, c)
+            state = found[0]
+            lasts.append(last[state])
+        out, at = [], len(lasts)
+        while at:
+            token = lasts[at - 1]
+            out.append(token)
+            at -= len(token)
+        return out[::-1]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import KEEP, Pairs
+from .bpe import Pairs, Recent, Transducer
 from .common import col, ship
 
 META = "▁"
@@ -59,7 +59,7 @@ def fields(data: bytes):
         at += size
 
 
-class Machine(dict):
+class Machine(Recent):
     """The compiled model; as a dictionary it holds the shortest paths (tuples of ids) of segments met so far."""
 
     def __init__(self, file: bytes):
@@ -95,56 +95,36 @@ class Machine(dict):
         self.unknown = unknown
         rank = {p: -s for p, s in score.items()}
         self.pairs = Pairs(self.pieces.keys(), lambda a, b: rank.get(a + b))
-        self.longest = max(map(len, self.pieces))
-        self.alphabet = set("".join(self.pieces))
+        self.transducer = Transducer(self.pairs)
+        # Characters that are pieces: others take byte fallback.
+        self.alphabet = {p for p in self.pieces if len(p) == 1}
         # Characters without a piece that are frequent in texts end a segment at once.
         import re
 
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.alphabet)
         self.split = re.compile(f"{META}*[^{META}{lone}]+|{META}+" + (f"|[{lone}]" if lone else "")).findall
 
-    def __missing__(self, segment: str) -> tuple[int, ...]:
-        if len(self) > KEEP:
-            self.clear()
-        ids = self[segment] = tuple(self.shortest_path(segment))
-        return ids
+    def make(self, segment: str) -> tuple[int, ...]:
+        return tuple(self.shortest_path(segment))
 
     def fallback(self, c: str) -> list[int]:
         return [self.byte_id[b] for b in c.encode()]
 
     def shortest_path(self, s: str) -> list[int]:
-        """Tropical shortest path through the composed lattice; nodes are (place, last piece)."""
-        if s in self.pieces and self.pairs.usable(s):
-            return [self.pieces[s]]
-        n, pairs = len(s), self.pairs
-        nodes: list[dict] = [{} for _ in range(n + 1)]  # last piece -> (weight, node before)
-        nodes[0][None] = (0, None)
-        for at in range(n):
-            if not nodes[at]:
-                continue
-            arcs = []
-            if s[at] not in self.alphabet:
-                arcs.append((at + 1, None, len(s[at].encode())))
+        """Tropical shortest path through the composed lattice.
+
+        Of the pieces that end at a place one at most has finite weight, so the determinised transducer carries the
+        path's weight and last piece, and the path is read off backwards.
+        """
+        out, run = [], ""
+        for c in s:
+            if c in self.alphabet:
+                run += c
             else:
-                for end in range(at + 1, min(n, at + self.longest) + 1):
-                    piece = s[at:end]
-                    if pairs.usable(piece):
-                        arcs.append((end, piece, 1))
-                    if piece not in pairs.prefixes:
-                        break
-            for before, (weight, _) in nodes[at].items():
-                for end, piece, w in arcs:
-                    if piece is None or before is None or pairs.valid(before, piece):
-                        key = piece
-                        if key not in nodes[end] or weight + w < nodes[end][key][0]:
-                            nodes[end][key] = (weight + w, (at, before))
-        piece = min(nodes[n], key=lambda p: nodes[n][p][0])
-        path, at = [], n
-        while at:
-            _, (start, before) = nodes[at][piece]
-            path.append(self.fallback(s[start:at]) if piece is None else [self.pieces[piece]])
-            at, piece = start, before
-        return [i for ids in reversed(path) for i in ids]
+                out += [self.pieces[p] for p in self.transducer.path(run)]
+                out += self.fallback(c)
+                run = ""
+        return out + [self.pieces[p] for p in self.transducer.path(run)]
 
     def encode(self, text: str) -> list[int]:
         if not text:

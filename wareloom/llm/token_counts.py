@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import KEEP, Pairs, Transducer
+from .bpe import Pairs, Recent, Transducer
 from .common import col, ship
 
 BATCH_CHARS = 4 << 20
@@ -154,7 +154,7 @@ def byte_alphabet() -> dict[str, str]:
     return {chr(b): chr(b) for b in own} | {chr(256 + i): chr(b) for i, b in enumerate(rest)}
 
 
-class Counter(dict):
+class Counter(Recent):
     """Token counts by pre-token; unknown ones are read by the transducer."""
 
     def __init__(self, file: bytes):
@@ -177,11 +177,8 @@ class Counter(dict):
             ranks[decode(a), decode(b)] = i
         self.transducer = Transducer(Pairs(tokens, lambda a, b: ranks.get((a, b))))
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > KEEP:
-            self.clear()
-        n = self[word] = self.transducer.count(word.encode().decode("latin-1"))
-        return n
+    def make(self, word: str) -> int:
+        return self.transducer.count(word.encode().decode("latin-1"))
 
     def segments(self, text: str) -> list[str]:
         parts = [text]
