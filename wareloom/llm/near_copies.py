@@ -6,10 +6,11 @@ k-mers in the same order; ``SKETCHES`` sketches make a text's buckets. Candidate
 k-mers within a band: with M k-mers on the longest common chain, similarity is M / (n1 + n2 - M), and two texts
 are linked from ``THRESHOLD`` on. Whatever lies outside the band would push the similarity below the threshold.
 
-Equal texts are one node. A bucket's members are first compared with one pivot, drawn by hash, another in each bucket;
+Equal texts are one node. A bucket's members are first compared with its pivot, the member that meets most others;
 components of the links so far are formed; then, in buckets that still hold several components, each member outside
-the largest is compared with all members of other components. So no pair of a bucket is left out unless it is
-in one class already, and no large class is expanded into pairs. Two texts with similarity 0.8 meet in a bucket with probability above
+the largest is compared with the members of other components, but for those whose k-mers found nowhere else prove that
+the similarity stays below the threshold. So no pair of a bucket is left out unless it is in one class already or
+cannot be linked, and no large class is expanded into pairs. Two texts with similarity 0.8 meet in a bucket with probability above
 1 - 1e-5 (0.8 ** 4 a sketch, 24 sketches).
 
 Result: a row a document with class_id, the least doc_id of its class, class_size and kept (one document of each class: the
@@ -128,6 +129,28 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInPandas(check, "a binary, b binary")
 
 
+def lone_kmers(texts: DataFrame) -> DataFrame:
+    """node, n, lone: the number of a text's k-mers, and of those that no other of the texts has.
+
+    Two texts share no lone k-mers, so these bound the similarity from above without a look at pairs.
+    """
+
+    def explode(frames):
+        for f in frames:
+            for i in range(0, len(f), 256):
+                found = kmers([t.encode() for t in f["text"][i : i + 256]])
+                sizes = [len(x) for x in found]
+                yield pd.DataFrame({"node": f["node"][i : i + 256].repeat(sizes).to_numpy(),
+                                    "kmer": np.concatenate(found).view(np.int64)})
+
+    grams = texts.select("node", "text").mapInPandas(explode, "node binary, kmer long")
+    owners = grams.groupBy("kmer").agg(F.min("node").alias("node"), F.count("*").alias("df"))
+    alone = owners.where("df = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    count = F.pandas_udf(lambda t: pd.Series([len(x) for x in kmers([v.encode() for v in t])], dtype="int64"), "long")
+    return texts.select("node", count("text").alias("n")).join(alone, "node", "left").select(
+        "node", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+
+
 def node(text):
     return F.unhex(F.md5(text))
 
@@ -148,12 +171,15 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # Equal texts are one node before anything is expanded.
     nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"))
     member = nodes.select("node", F.posexplode("keys").alias("band", "key"))
-    drawn = F.struct(F.xxhash64("node", "band").alias("h"), "node")
-    pivots = member.groupBy("band", "key").agg(F.min(drawn).alias("p"), F.count("*").alias("n")).where("n > 1").select(
+    shared = member.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    member = written(member.join(shared, ["band", "key"]), "near-buckets")
+    # The pivot of a bucket is the member that meets most others in all of its buckets: of a family of edited
+    # copies that is the text they were made from, which each of them resembles more than they do each other.
+    fame = member.groupBy("node").agg(F.sum("n").alias("fame"))
+    pivots = member.join(fame, "node").groupBy("band", "key").agg(F.max(F.struct("fame", "node")).alias("p")).select(
         "band", "key", F.col("p.node").alias("pivot"))
-    member = written(member.join(pivots, ["band", "key"]), "near-buckets")
     ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    first = member.where("node <> pivot").select(*ends("pivot", "node")).distinct()
+    first = written(member.join(pivots, ["band", "key"]).where("node <> pivot").select(*ends("pivot", "node")).distinct(), "near-pairs")
     involved = member.select("node").distinct()
     texts = written(keyed.groupBy("node").agg(F.min("text").alias("text")).join(involved, "node"), "near-texts")
     links = written(verified(first, texts), "near-links")
@@ -166,8 +192,16 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where(
         "parts > 1").select("band", "key", F.col("top.label").alias("largest"))
     open_ = written(known.join(largest, ["band", "key"]), "near-open")
-    minor = open_.where("label <> largest").select("band", "key", F.col("node").alias("x"), F.col("label").alias("x_label"))
-    rest = minor.join(open_, ["band", "key"]).where("x_label <> label").select(*ends("x", "node")).distinct()
+    lone = written(lone_kmers(texts.join(open_.select("node").distinct(), "node")), "near-lone")
+    live = open_.join(lone, "node")
+    # A text whose lone k-mers rule out any partner of the bucket's sizes takes no further part there.
+    least = live.groupBy("band", "key").agg(F.min("n").alias("least"))
+    live = live.join(least, ["band", "key"]).where(f"(n - lone) / {THRESHOLD}D - lone >= least - 1e-6")
+    minor = live.where("label <> largest").select(
+        "band", "key", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("lone").alias("x_lone"))
+    most = "least(n - lone, x_n - x_lone)"
+    rest = minor.join(live, ["band", "key"]).where("x_label <> label").where(
+        f"{most} >= {THRESHOLD}D * (n + x_n - {most}) - 1e-6").select(*ends("x", "node")).distinct()
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = written(verified(rest, texts), "near-links")
     if not more.isEmpty():
