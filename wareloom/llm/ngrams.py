@@ -37,14 +37,12 @@ def indicators(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         full = Words(texts)
         b = full.bytes.astype(np.uint32)
         grams = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435769) >> np.uint32(32 - GRAM_BITS)
-        at = np.repeat(np.arange(n), full.text_end - full.text_start + 1)[: len(b) - 2]
-        grams = grams[1:]  # the first byte separates texts
-        at = at[: len(grams)]
+        # Of a text's bytes and the line end behind it: a trigram must not reach into the next text.
+        inner = np.maximum(full.text_end - full.text_start - 1, 0)
+        at = np.repeat(np.arange(n), inner)
+        place = np.arange(inner.sum()) - np.repeat(np.cumsum(inner) - inner, inner) + np.repeat(full.text_start, inner)
         flags = np.zeros(n << GRAM_BITS, bool)
-        flags[(at << GRAM_BITS) + grams] = True
-        empty = np.flatnonzero(full.text_end == full.text_start)
-        if len(empty):
-            flags.reshape(n, -1)[empty] = False
+        flags[(at << GRAM_BITS) + grams[place]] = True
         where = np.flatnonzero(flags)
 
         again = np.flatnonzero((full.hash[1:] == full.hash[:-1]) & (full.text[1:] == full.text[:-1]))

@@ -105,10 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
                                 "features": [s.astype(np.int32).tobytes() for s in ngrams.sets(f["text"])]})
 
     def learn(frames):
-        rows = pd.concat(list(frames))
-        if rows.empty:
+        frames = list(frames)
+        if not frames:
             return
-        rows = rows.sort_values(["doc_id", "y"])
+        rows = pd.concat(frames).sort_values(["doc_id", "y"])
         sets = [np.frombuffer(b, np.int32) for b in rows["features"]]
         y, curve = rows["y"].to_numpy(), rows["curve"].to_numpy()
         own = np.flatnonzero(~curve)
