@@ -95,8 +95,8 @@ def _fit(rows, extra: np.ndarray, y: np.ndarray) -> Model:
     ratio = np.where(seen.any(axis=0), share[1] - share[0], 0.0)
     sign = np.where(y > 0, 1.0, -1.0)
     bound = 0.5 / np.maximum(np.where(y > 0, y.mean(), 1 - y.mean()), 1e-9)
-    x = [v * ratio[f] for f, v in rows]
-    norm = np.array([v @ v for v in x]) + (extra * extra).sum(axis=1) + 1.0
+    x = [v * ratio[f].astype(np.float32) for f, v in rows]
+    norm = np.array([float(v @ v) for v in x]) + (extra * extra).sum(axis=1) + 1.0
     w, more, b = np.zeros(SIZE), np.zeros(extra.shape[1]), 0.0
     alpha, rng = np.zeros(len(rows)), np.random.default_rng(1)
     for _ in range(PASSES):

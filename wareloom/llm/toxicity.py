@@ -29,7 +29,7 @@ from .quality import fold
 
 #: (category, column of labels, value that means the category)
 CHAIN = (("poor", "quality", 0), ("toxic", "toxic", 1))
-MAX_TRAIN = 8_000
+MAX_TRAIN = 4_000
 THRESHOLD = 0.5
 
 
