@@ -22,10 +22,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, partitions, ship
+from .common import col, ship
 
 QUERY_BLOCK = 2048
-CANDIDATE_BLOCK = 4096
+CANDIDATE_BLOCK = 2048
 TILE = 1024
 
 
@@ -107,7 +107,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     rows = usable(vectors)
     queries = rows.where(is_query)
     n, m = rows.count(), queries.count()
-    g, h = max(-(-n // CANDIDATE_BLOCK), 2 * partitions(spark)), max(-(-m // QUERY_BLOCK), 1)
+    g, h = max(-(-n // CANDIDATE_BLOCK), 1), max(-(-m // QUERY_BLOCK), 1)
     spot = lambda name, parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias(name)
     # A stated query set against all rows, in blocks: block (i, j) of the grid is cell i * h + j.
     c = rows.select("vec_id", "v", spot("i", g)).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(h - 1))))
