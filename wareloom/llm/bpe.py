@@ -10,7 +10,7 @@ whose transitions carry the change in the number of emitted tokens.
 from __future__ import annotations
 
 #: Compiled states, pairs and words are kept up to this many; beyond it they are forgotten and compiled again.
-KEEP = 400_000
+KEEP = 150_000
 
 
 class Pairs:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +46,15 @@ def ship(spark: SparkSession) -> None:
     sc._wareloom_shipped = True
 
 
+def trim() -> None:
+    """Give a worker's freed memory back to the system; workers live on, beside other tasks' workers."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it has
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear, toxicity
-from .common import col, ship, wrapped, written
+from .common import col, ship, trim, wrapped, written
 
 DOMAINS = ("good", "poor", "toxic")
 MAX_TRAIN = 4_000
@@ -58,8 +58,10 @@ def fit_posteriors(docs: DataFrame, domains: DataFrame, k: int, limit: int = MAX
             return
         rows, y, folds = toxicity.training_rows(frames, ["domain"])
         own = np.stack([(y[:, 0] == c).astype(int) for c in range(k)], axis=1)
-        models = [toxicity.fit_chain(rows, own[:, [c]], folds)[0] for c in range(k)]
-        yield pd.DataFrame({"models": [pickle.dumps(models)]})
+        models = pickle.dumps([toxicity.fit_chain(rows, own[:, [c]], folds)[0] for c in range(k)])
+        del rows, frames
+        trim()
+        yield pd.DataFrame({"models": [models]})
 
     found = data.coalesce(1).mapInPandas(learn, "models binary").collect()
     return pickle.loads(bytes(found[0]["models"])) if found else None

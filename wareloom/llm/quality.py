@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import col, ship, written
+from .common import col, ship, trim, written
 
 MAX_TRAIN = 12_000
 PASSES = 12
@@ -120,6 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
         held = np.flatnonzero(curve) if len(set(y[curve])) == 2 else own
         margin = np.array([scaled[sets[i]].sum() / np.sqrt(max(len(sets[i]), 1)) for i in held]) + b
         slope, offset = logistic_curve(margin, y[held])
+        del rows, sets, frames
+        trim()
         yield pd.DataFrame({"model": [json.dumps([b, slope, offset])], "weights": [scaled.astype(np.float32).tobytes()]})
 
     # Repeated documents of one id teach once, so that the task below reads limit rows at most.

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import linear
-from .common import col, ship, written
+from .common import col, ship, trim, written
 from .quality import fold
 
 #: (category, column of labels, value that means the category)
@@ -92,7 +92,10 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, limit: int = MAX_TRAIN)
     def learn(frames):
         frames = list(frames)
         if frames:
-            yield pd.DataFrame({"models": [pickle.dumps(fit_chain(*training_rows(frames, names)))]})
+            models = pickle.dumps(fit_chain(*training_rows(frames, names)))
+            del frames
+            trim()
+            yield pd.DataFrame({"models": [models]})
 
     found = data.coalesce(1).mapInPandas(learn, "models binary").collect()
     if found:
