@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 #: Stands for a NULL id in join keys; sorts before every real id.
 NULL_ID = -(2**63)
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -30,8 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once an application."""
+    """Give the executors' Python workers this package, once an application, and bound the batches they get.
+
+    A batch of the default 10,000 rows of long texts would take a worker's memory; a size that the user has set is kept.
+    """
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
+        spark.conf.set(BATCH_SETTING, "8m")
     if getattr(sc, "_wareloom_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, ship, wrapped, written
+from .common import col, ship, trim, wrapped, written
 from .components import components
 from .words import Rolled, Words, batches, scramble
 
@@ -166,6 +166,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for f in frames:
             found = [sketches(x) for x in kmers([t.encode() for t in f["text"]])]
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "node": f["node"], "keys": found})
+            del found
+        trim()
 
     rows = written(keyed.mapInPandas(sketch, "doc_id long, node binary, keys array<long>"), "near-rows")
     # Equal texts are one node before anything is expanded.
