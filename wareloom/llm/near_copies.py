@@ -8,8 +8,8 @@ are linked from ``THRESHOLD`` on. Whatever lies outside the band would push the
 
 Equal texts are one node. A bucket's members are first compared with its pivot, the member that meets most others;
 components of the links so far are formed; then, in buckets that still hold several components, each member outside
-the largest is compared with the members of other components, but for those whose k-mers found nowhere else prove that
-the similarity stays below the threshold. So no pair of a bucket is left out unless it is in one class already or
+the largest is compared with the members of other components, but for pairs whose rare k-mers prove that the
+similarity stays below the threshold (see ``remaining``). So no pair of a bucket is left out unless it is in one class already or
 cannot be linked, and no large class is expanded into pairs. Two texts with similarity 0.8 meet in a bucket with probability above
 1 - 1e-5 (0.8 ** 4 a sketch, 24 sketches).
 
@@ -37,6 +37,8 @@ K = 5
 THRESHOLD = 0.8
 SKETCHES = 24
 TAKE = 4
+#: A k-mer of more texts than this is not rare.
+RARE = 20
 MULTIPLIERS = scramble(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -129,11 +131,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInPandas(check, "a binary, b binary")
 
 
-def lone_kmers(texts: DataFrame) -> DataFrame:
-    """node, n, lone: the number of a text's k-mers, and of those that no other of the texts has.
-
-    Two texts share no lone k-mers, so these bound the similarity from above without a look at pairs.
-    """
+def kmer_rows(texts: DataFrame) -> DataFrame:
+    """node, kmer: a row a labelled k-mer of each text."""
 
     def explode(frames):
         for f in frames:
@@ -143,12 +142,44 @@ def lone_kmers(texts: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"node": f["node"][i : i + 256].repeat(sizes).to_numpy(),
                                     "kmer": np.concatenate(found).view(np.int64)})
 
-    grams = texts.select("node", "text").mapInPandas(explode, "node binary, kmer long")
-    owners = grams.groupBy("kmer").agg(F.min("node").alias("node"), F.count("*").alias("df"))
-    alone = owners.where("df = 1").groupBy("node").agg(F.count("*").alias("lone"))
-    count = F.pandas_udf(lambda t: pd.Series([len(x) for x in kmers([v.encode() for v in t])], dtype="int64"), "long")
-    return texts.select("node", count("text").alias("n")).join(alone, "node", "left").select(
-        "node", "n", F.coalesce("lone", F.lit(0)).alias("lone"))
+    return texts.select("node", "text").mapInPandas(explode, "node binary, kmer long")
+
+
+def remaining(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that may be linked, in buckets that still hold several components.
+
+    A k-mer of few texts (RARE at most) is rare. Two texts share at most as many k-mers as the smaller number of
+    not rare ones, plus the rare ones they share. So a pair without shared rare k-mers is ruled out by two numbers, before any
+    pair is formed where a bucket has no text of a fitting size; and pairs with shared rare k-mers are found through
+    these, RARE texts each at most.
+    """
+    label = open_.select("node", "label").distinct()
+    grams = written(kmer_rows(texts.join(label.select("node"), "node")), "near-kmers")
+    few = grams.groupBy("kmer").agg(F.count("*").alias("df")).where(f"df <= {RARE}")
+    rare = written(grams.join(few, "kmer"), "near-rare")
+    size = grams.groupBy("node").agg(F.count("*").alias("n")).join(
+        rare.groupBy("node").agg(F.count("*").alias("rare")), "node", "left").fillna(0, ["rare"]).join(label, "node")
+    size = written(size, "near-sizes")
+
+    # Without a shared rare k-mer: bucket by bucket, each member outside the largest component against the others.
+    live = open_.join(size.select("node", "n", "rare"), "node")
+    least = live.groupBy("band", "key").agg(F.min("n").alias("least"))
+    live = live.join(least, ["band", "key"]).where(f"(n - rare) / {THRESHOLD}D - rare >= least - 1e-6")
+    minor = live.where("label <> largest").select(
+        "band", "key", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("rare").alias("x_rare"))
+    most = "least(n - rare, x_n - x_rare)"
+    pairs = minor.join(live, ["band", "key"]).where("x_label <> label").where(
+        f"{most} >= {THRESHOLD}D * (n + x_n - {most}) - 1e-6").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b"))
+
+    # With shared rare k-mers.
+    held = rare.where("df > 1").select("node", "kmer").join(label, "node")
+    other = held.select("kmer", F.col("node").alias("x"), F.col("label").alias("x_label"))
+    both = held.join(other, "kmer").where("node < x AND label <> x_label").groupBy(
+        F.col("node").alias("a"), F.col("x").alias("b")).agg(F.count("*").alias("shared"))
+    end = lambda c: size.select(F.col("node").alias(c), F.col("n").alias(f"{c}_n"), F.col("rare").alias(f"{c}_rare"))
+    most = "(least(a_n - a_rare, b_n - b_rare) + shared)"
+    near = both.join(end("a"), "a").join(end("b"), "b").where(f"{most} >= {THRESHOLD}D * (a_n + b_n - {most}) - 1e-6")
+    return pairs.unionByName(near.select("a", "b")).distinct()
 
 
 def node(text):
@@ -194,16 +225,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where(
         "parts > 1").select("band", "key", F.col("top.label").alias("largest"))
     open_ = written(known.join(largest, ["band", "key"]), "near-open")
-    lone = written(lone_kmers(texts.join(open_.select("node").distinct(), "node")), "near-lone")
-    live = open_.join(lone, "node")
-    # A text whose lone k-mers rule out any partner of the bucket's sizes takes no further part there.
-    least = live.groupBy("band", "key").agg(F.min("n").alias("least"))
-    live = live.join(least, ["band", "key"]).where(f"(n - lone) / {THRESHOLD}D - lone >= least - 1e-6")
-    minor = live.where("label <> largest").select(
-        "band", "key", F.col("node").alias("x"), F.col("label").alias("x_label"), F.col("n").alias("x_n"), F.col("lone").alias("x_lone"))
-    most = "least(n - lone, x_n - x_lone)"
-    rest = minor.join(live, ["band", "key"]).where("x_label <> label").where(
-        f"{most} >= {THRESHOLD}D * (n + x_n - {most}) - 1e-6").select(*ends("x", "node")).distinct()
+    rest = remaining(open_, texts)
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = written(verified(rest, texts), "near-links")
     if not more.isEmpty():
