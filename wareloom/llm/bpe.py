@@ -9,16 +9,19 @@ whose transitions carry the change in the number of emitted tokens.
 
 from __future__ import annotations
 
-#: Compiled states, pairs and words are kept up to this many; beyond it they are forgotten and compiled again.
-KEEP = 150_000
+#: Pairs and words are kept up to KEEP, compiled states up to STATES; beyond it they are forgotten and compiled again.
+KEEP, STATES = 100_000, 120_000
+SYMBOLS = 0x110000
 
 
 class Pairs:
     """Merge rules and the neighbourhood relation they imply. rank(a, b) is None if a and b do not merge."""
 
     def __init__(self, tokens, rank):
-        self.tokens, self.rank = tokens, rank
-        self.prefixes = {t[:i] for t in tokens for i in range(1, len(t))}
+        self.rank = rank
+        #: each string to itself, so that the states share one copy
+        self.tokens = {t: t for t in tokens}
+        self.prefixes = {t[:i]: t[:i] for t in tokens for i in range(1, len(t))}
         self.alone: dict[str, bool] = {}
         self.parts: dict[str, tuple[str, str] | None] = {}
         self.edges: tuple[dict, dict] = {}, {}
@@ -126,21 +129,24 @@ class Transducer:
 
     def forget(self) -> None:
         start = (("", None, 0),)
-        #: of each state: its rows, its arcs (symbol -> next state, change of the count), its last token
-        self.states, self.arcs, self.last = [start], [{}], [None]
+        #: of each state: its rows, its last token; arcs: state * SYMBOLS + symbol -> next state * 2048 + change + 1024
+        self.states, self.last, self.arcs = [start], [None], {}
         self.index = {start: 0}
 
-    def arc(self, state: int, symbol: str) -> tuple[int, int]:
+    def arc(self, state: int, symbol: int) -> int:
         pairs, rows, delta, last = self.pairs, [], 0, None
-        tokens, prefixes = pairs.tokens, pairs.prefixes
+        tokens, prefixes, c = pairs.tokens, pairs.prefixes, chr(symbol)
         for suffix, before, fewer in self.states[state]:
-            grown = suffix + symbol
+            grown = suffix + c
             if last is None and grown in tokens and pairs.usable(grown) and (before is None or pairs.valid(before, grown)):
-                last, delta = grown, 1 - fewer
-            if grown in prefixes:
-                rows.append((grown, before, fewer))
+                last, delta = tokens[grown], 1 - fewer
+            known = prefixes.get(grown)
+            if known is not None:
+                rows.append((known, before, fewer))
         if last is None:
-            raise ValueError(f"no token for {symbol!r}")
+            raise ValueError(f"no token for {c!r}")
+        if not -1024 <= delta < 1024:
+            raise ValueError("a token is longer than a thousand symbols")
         if delta:
             key = (("", last, 0), *[(s, b, f + delta) for s, b, f in rows])
         else:
@@ -149,34 +155,33 @@ class Transducer:
         if new is None:
             new = self.index[key] = len(self.states)
             self.states.append(key)
-            self.arcs.append({})
             self.last.append(last)
-        found = self.arcs[state][symbol] = (new, delta)
+        found = self.arcs[state * SYMBOLS + symbol] = new * 2048 + delta + 1024
         return found
 
     def count(self, symbols: str) -> int:
         """Tokens of the encoding: the sum along the path from the start state."""
-        if len(self.states) > KEEP:
+        if len(self.states) > STATES:
             self.forget()
         state, total, arcs = 0, 0, self.arcs
-        for c in symbols:
-            found = arcs[state].get(c)
+        for c in map(ord, symbols):
+            found = arcs.get(state * SYMBOLS + c)
             if found is None:
                 found = self.arc(state, c)
-            state, delta = found
-            total += delta
+            state = found >> 11
+            total += (found & 2047) - 1024
         return total
 
     def path(self, symbols: str) -> list[str]:
         """The encoding: the tokens back along the path."""
-        if len(self.states) > KEEP:
+        if len(self.states) > STATES:
             self.forget()
         state, lasts, arcs, last = 0, [], self.arcs, self.last
-        for c in symbols:
-            found = arcs[state].get(c)
+        for c in map(ord, symbols):
+            found = arcs.get(state * SYMBOLS + c)
             if found is None:
                 found = self.arc(state, c)
-            state = found[0]
+            state = found >> 11
             lasts.append(last[state])
         out, at = [], len(lasts)
         while at:
