@@ -35,8 +35,8 @@ from .common import col, ship, trim, wrapped, written
 DOMAINS = ("good", "poor", "toxic")
 MAX_TRAIN = 4_000
 STEPS = 60
-#: A fit ends when no domain's gradient moves by more for two steps.
-TOLERANCE = 1e-6
+#: A fit ends when no domain is off its target by a larger share of its total, or none moves by more for two steps.
+TOLERANCE = 1e-5
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
@@ -96,8 +96,8 @@ def rate_expression(gradients: list[list[float]], k: int, low: float, high: floa
     if not gradients:
         return start
     steps = ", ".join(
-        f"named_struct('m', {t / (t + 3)!r}D, " + ", ".join(f"'g{i}', {g!r}D" for i, g in enumerate(step)) + ")"
-        for t, step in enumerate(gradients))
+        f"named_struct('m', {momentum!r}D, " + ", ".join(f"'g{i}', {g!r}D" for i, g in enumerate(step)) + ")"
+        for momentum, *step in gradients)
     move = " + ".join(f"p[{i}] * g.g{i}" for i in range(k))
     new = f"least({high!r}D, greatest({low!r}D, s.y - ({move})))"
     return (
@@ -118,12 +118,14 @@ def fit_rates(mass: DataFrame, weights: list[float], budget: float = 1.0, low: f
     now = totals("1D")
     if now.sum() <= 0:
         return rate_expression([], k, low, high)
-    goal, live, gradients = target * budget * now.sum(), now > 0, []
+    goal, live, gradients, run, before = target * budget * now.sum(), now > 0, [], 0, np.inf
     for _ in range(STEPS):
         error = totals(rate_expression(gradients, k, low, high, ahead=True)) - goal
         step = np.where(live, error / np.where(live, now, 1), 0)
-        gradients.append([round(float(x), 9) for x in step])
-        if len(gradients) > 2 and np.ptp(gradients[-3:], axis=0).max() < TOLERANCE:
+        size = float((step * step * now).sum())
+        run, before = (run + 1 if size < before else 0), size  # an overshoot starts the momentum anew
+        gradients.append([run / (run + 3), *[round(float(x), 9) for x in step]])
+        if abs(step).max() < TOLERANCE or len(gradients) > 2 and np.ptp([g[1:] for g in gradients[-3:]], axis=0).max() < TOLERANCE:
             break
     return rate_expression(gradients, k, low, high)
 
