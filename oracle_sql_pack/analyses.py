@@ -24,7 +24,7 @@ ANALYSIS_SQL = {
         FROM (SELECT customer_key, (SELECT max(date_key) FROM dim_date) - max(date_key) AS recency_days,
                      count(*) AS frequency, sum(revenue) AS monetary FROM fact_sales GROUP BY 1)
         JOIN dim_customer USING (customer_key)"""),
-    "ana_retail_turnover": ("retail_small", ["fact_sales", "fact_inventory"], """
+    "ana_retail_turnover": ("retail", ["fact_sales", "fact_inventory"], """
         WITH b AS (SELECT i.product_key, stock, coalesce(sold, 0)::BIGINT AS sold
                    FROM (SELECT product_key, sum(stock_on_hand)::BIGINT AS stock FROM fact_inventory GROUP BY 1) i
                    LEFT JOIN (SELECT product_key, sum(quantity)::BIGINT AS sold FROM fact_sales GROUP BY 1) s USING (product_key))

@@ -100,5 +100,5 @@ def rows(n: str) -> str:
 WINDOW = """win AS (
   SELECT e, (e - (m * 30)::INTEGER)::DATE AS s, m * 30 + 1 AS d, m
   FROM (SELECT max(o_orderdate)::DATE AS e,
-               least(60, greatest(1, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) // 30)) AS m
+               greatest(1, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE) // 30) AS m
         FROM orders))"""

@@ -16,12 +16,11 @@ from wareloom.plans import banking, ecommerce, healthcare, logistics, retail, sa
 N = {
     "retail": {
         "customers": "(SELECT count(*) FROM customer)", "products": "(SELECT count(*) FROM part)",
-        "stores": "(SELECT count(*) FROM supplier)", "transactions": "(SELECT count(*) FROM lineitem)",
-        "inventory_stores": "(SELECT count(*) FROM nation)",
+        "stores": "(SELECT count(*) FROM supplier)", "transactions": "(SELECT count(*) FROM orders)",
     },
     "ecommerce": {
         "customers": "(SELECT count(*) FROM customer)", "products": "(SELECT count(*) FROM part)",
-        "orders": "(SELECT count(*) // 5 FROM orders)",
+        "orders": "(SELECT count(*) FROM orders)",
     },
     "banking": {
         "customers": "(SELECT count(*) FROM customer)", "accounts": "(SELECT count(*) FROM part)",
@@ -31,7 +30,7 @@ N = {
         "patients": "(SELECT count(*) FROM customer)", "doctors": "(SELECT count(*) FROM supplier)",
         "hospitals": "(SELECT count(*) FROM supplier)", "encounters": "(SELECT count(*) FROM orders)",
     },
-    "saas": {"customers": "(SELECT count(*) // 10 FROM customer)"},
+    "saas": {"customers": "(SELECT count(*) FROM customer)"},
     "logistics": {
         "routes": "(SELECT count(*) FROM part)", "vehicles": "(SELECT count(*) FROM supplier)",
         "warehouses": "(SELECT count(*) FROM supplier)", "shipments": "(SELECT count(*) FROM orders)",
@@ -421,8 +420,6 @@ def _logistics() -> dict[str, str]:
 
 CTES = {
     "retail": _retail(N["retail"]["stores"]),
-    # Product × store tables take the nation count as store count, so that their size grows linearly.
-    "retail_small": _retail(N["retail"]["inventory_stores"]),
     "ecommerce": _ecommerce(),
     "banking": _banking(),
     "healthcare": _healthcare(),

@@ -95,16 +95,17 @@ LINE = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l
 
 
 def identified_lineitem() -> str:
-    """Line items with the 52-bit key of content and copy number."""
+    """Line items with the key of content and copy number."""
     def text(c):
         if c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"):
             return f"CAST({c}::DECIMAL(24,6) AS VARCHAR)"
         if c == "l_shipdate":
-            return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+            return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
         return f"{c}::VARCHAR"
 
-    digest = "md5(concat_ws('|', " + ", ".join(text(c) for c in LINE) + "))"
-    src = (f"SELECT *, ('0x' || substr({digest}, 1, 13))::BIGINT AS _print, "
+    cells = ", ".join(f"coalesce(length({text(c)})::VARCHAR || ':' || {text(c)}, '-')" for c in LINE)
+    digest = f"md5(concat_ws('|', {cells}))"
+    src = (f"SELECT *, ('0x' || substr({digest}, 1, 15))::BIGINT AS _print, "
            f"row_number() OVER (PARTITION BY {', '.join(LINE)}) AS _dup_no FROM lineitem")
     from oracle_sql_pack.base import _states
     return (f"SELECT * EXCLUDE (_a, _b, _print, _dup_no), ((_a << 20) | (_b >> 12)) AS _row_key "
@@ -217,7 +218,8 @@ GIVEN_NUMERIC = {
     "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
     "customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
     "part": ["p_partkey", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_totalprice"],
-    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey"], "events": ["event_id", "user_id", "value"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
+    "events": ["event_id", "user_id", "value"],
     "documents": ["doc_id", "n_chars"], "embeddings": ["vec_id", "label"], "pages": ["page_id"],
     "benchmark": ["item_id"], "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn"],
 }

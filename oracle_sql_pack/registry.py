@@ -18,8 +18,6 @@ HELPERS = {"order_lines", "encounter_lines", "dim_customer_draws"}
 def generated_sql() -> dict[str, str]:
     out = {}
     for industry, tables in CTES.items():
-        if industry == "retail_small":
-            continue
         for table in tables:
             if table in HELPERS:
                 continue
@@ -29,11 +27,7 @@ def generated_sql() -> dict[str, str]:
                 out[name] = with_tables(industry, [table, fact], f"""
                 SELECT d.*, u.{count} FROM {table} d
                 LEFT JOIN (SELECT {key}, count(*) AS {count} FROM {fact} GROUP BY {key}) u USING ({key})""")
-            elif (industry, table) == ("saas", "dim_product"):
-                continue
-            elif (industry, table) == ("retail", "fact_inventory"):
-                out[name] = with_tables("retail_small", [table], f"SELECT * FROM {table}")
-            else:
+            elif table != "dim_date" and (industry, table) != ("saas", "dim_product"):
                 out[name] = with_tables(industry, [table], f"SELECT * FROM {table}")
     return out
 

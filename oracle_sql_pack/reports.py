@@ -122,7 +122,7 @@ def draw_sql() -> dict[str, str]:
     nc = "(SELECT count(*) FROM customer)"
     growth = 1.05
     m = "((year(e) - year(s)) * 12 + month(e) - month(s) + 1)"
-    g = drawn(rows("(SELECT count(*) FROM lineitem)"), "retail.fact_sales", "id + 1", ["date_key", "date_key:day"])
+    g = drawn(rows("(SELECT count(*) FROM orders)"), "retail.fact_sales", "id + 1", ["date_key", "date_key:day"])
     return {
         "growth_curve": f"""
             WITH o AS (SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n_orders FROM orders GROUP BY 1)
@@ -156,7 +156,7 @@ def report_sql() -> dict[str, str]:
     out.update(insights_sql())
     out.update(draw_sql())
     columns = {
-        "retail_small": {"dim_date": 12, "dim_customer": 10, "dim_product": 7, "dim_store": 9, "fact_sales": 9, "fact_inventory": 6},
+        "retail": {"dim_date": 12, "dim_customer": 10, "dim_product": 7, "dim_store": 9, "fact_sales": 9, "fact_inventory": 6},
         "ecommerce": {"dim_date": 12, "dim_customer": 10, "dim_product": 6, "dim_channel": 3, "fact_orders": 7, "fact_order_items": 6, "fact_web_events": 7},
         "banking": {"dim_date": 12, "dim_customer": 11, "dim_account": 7, "dim_branch": 6, "fact_transactions": 8, "fact_loans": 10, "fact_cards": 7},
         "healthcare": {"dim_date": 12, "dim_patient": 10, "dim_doctor": 6, "dim_hospital": 7, "dim_diagnosis": 4, "fact_encounters": 9, "fact_procedures": 6, "fact_billing": 7},
@@ -165,7 +165,7 @@ def report_sql() -> dict[str, str]:
     }
     for industry, tables in columns.items():
         parts = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows, {c} AS n_columns FROM {t}" for t, c in tables.items())
-        out[f"dataset_summary_{industry.removesuffix('_small')}"] = with_tables(
+        out[f"dataset_summary_{industry}"] = with_tables(
             industry, list(tables),
             f"SELECT * FROM ({parts}) UNION ALL SELECT 'Total', sum(n_rows)::BIGINT, NULL FROM ({parts})")
     return out

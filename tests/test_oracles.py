@@ -4,8 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 from compare import check
+from oracle_sql_pack import registry as sql_registry
+from wareloom.plans import registry
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.all_queries(), sql_registry.all_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

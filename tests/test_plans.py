@@ -5,9 +5,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from wareloom import GENERATORS, GenConfig, dirty, generate
 from wareloom.operators import ranking, validate
+from wareloom.plans import registry
 
 HUGE_METHOD = 8000  # bytes; larger methods are not compiled by the JVM
 
@@ -54,9 +54,9 @@ def test_running_ids_shuffle_totals_only(spark):
     assert text.count("Exchange SinglePartition") == 1  # the offsets of 977 blocks
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("gen_")))
+@pytest.mark.parametrize("name", sorted(n for n in registry.all_queries() if not n.startswith("gen_")))
 def test_queries_use_no_python_and_no_pairwise_joins(spark, folder, name):
-    text = plan(entry.queries()[name](spark, folder))
+    text = plan(registry.all_queries()[name](spark, folder))
     for word in ("BatchEvalPython", "ArrowEvalPython", "MapInPandas", "CartesianProduct", "NestedLoop"):
         assert word not in text, word
 

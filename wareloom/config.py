@@ -20,8 +20,8 @@ BASE_COUNTS = {
     "logistics": {"routes": 100, "vehicles": 50, "warehouses": 10, "shipments": 5000},
 }
 
-# Skewed key draws multiply two values below n, which must stay inside a bigint.
-MAX_ENTITIES = 3_000_000_000
+# Default bound of an error rate.
+MAX_RATE = 0.5
 
 
 @dataclass(frozen=True)
@@ -30,7 +30,9 @@ class GenConfig:
 
     ``counts`` overrides single entity counts; the others follow ``scale``.
     ``as_of`` is the last calendar day. ``growth_dates`` weights dates by the
-    compound growth curve instead of drawing them uniformly.
+    compound growth curve instead of drawing them uniformly. ``max_rate`` bounds
+    ``quality_rate``. ``keys`` maps entities to one-column tables of their keys 1..n:
+    the generated rows then enrich those keys instead of a range.
     """
 
     industry: str
@@ -47,6 +49,8 @@ class GenConfig:
     generate_report: bool = True
     as_of: date = date(2025, 1, 31)
     counts: dict = field(default_factory=dict)
+    max_rate: float = MAX_RATE
+    keys: dict = field(default_factory=dict, compare=False, repr=False)
 
     def __post_init__(self):
         if self.industry not in BASE_COUNTS:
@@ -63,8 +67,10 @@ class GenConfig:
             object.__setattr__(self, "quality_rate", QUALITY_LEVELS[self.quality])
         if self.format not in FORMATS:
             raise ValueError(f"unknown format {self.format!r}, expected one of {FORMATS}")
-        object.__setattr__(self, "quality_rate", min(max(self.quality_rate, 0.0), 0.5))
-        object.__setattr__(self, "months", min(max(int(self.months), 1), 60))
+        object.__setattr__(self, "quality_rate", min(max(self.quality_rate, 0.0), self.max_rate))
+        if int(self.months) < 1:
+            raise ValueError("months must be positive")
+        object.__setattr__(self, "months", int(self.months))
         if not 0 <= self.growth_rate <= 50:
             raise ValueError("growth_rate is a monthly percentage from 0 to 50")
         unknown = set(self.counts) - set(BASE_COUNTS[self.industry])
@@ -73,8 +79,6 @@ class GenConfig:
         for name in BASE_COUNTS[self.industry]:
             if self.n(name) < 1:
                 raise ValueError(f"{name} would be empty at scale {self.scale}")
-            if name not in ("transactions", "orders", "encounters", "shipments") and self.n(name) > MAX_ENTITIES:
-                raise ValueError(f"{name} is limited to {MAX_ENTITIES:,} keys")
 
     def n(self, name: str) -> int:
         """Row count of one entity."""

@@ -45,20 +45,25 @@ def typo_text(v: str, h: str) -> str:
 
 
 def canonical_text(df: DataFrame, col: str) -> Column:
-    """A cell as text that does not depend on how an engine prints numbers."""
+    """A cell as its length and text, or ``-`` for NULL: joined cells can be told apart.
+
+    Numbers with six decimals at most do not depend on how an engine prints them; other
+    doubles keep all their digits. Timestamps keep their microseconds.
+    """
     t = df.schema[col].dataType
     if isinstance(t, (T.DoubleType, T.FloatType)):
-        c = F.col(col).cast("decimal(24,6)").cast("string")
+        short = F.col(col).try_cast("decimal(24,6)")
+        c = F.when(short.cast("double") == F.col(col), short.cast("string")).otherwise(F.col(col).cast("string"))
     elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-        c = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
+        c = F.date_format(col, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     else:
         c = F.col(col).cast("string")
-    return F.coalesce(c, F.lit("~"))
+    return F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-"))
 
 
 def fingerprint(df: DataFrame, cols: list[str]) -> Column:
-    """52-bit number of a row's content."""
+    """60-bit number of a row's content."""
     digest = F.md5(F.concat_ws("|", *[canonical_text(df, c) for c in cols]))
     # Never NULL, so joins on numbers drawn from it need no inferred null filter, which
     # Catalyst would push down by copying the whole digest expression.
-    return F.coalesce(F.conv(F.left(digest, F.lit(13)), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.conv(F.left(digest, F.lit(15)), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))

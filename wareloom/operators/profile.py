@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,28 +34,39 @@ def summary(tables: dict[str, DataFrame]) -> DataFrame:
     return each.unionByName(total)
 
 
-def numeric_columns(df: DataFrame, limit: int | None = 3) -> list[str]:
-    cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
-    return cols if limit is None else cols[:limit]
+def numeric_columns(df: DataFrame) -> list[str]:
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
-def numeric_stats(tables: dict[str, DataFrame], limit: int | None = 3) -> DataFrame:
-    """(table_name, column_name, min_value, max_value, mean_value) of the first numeric columns.
+def _number(df: DataFrame, name: str) -> Column:
+    """A numeric cell; NaN counts as missing."""
+    c = F.col(name)
+    return F.when(~F.isnan(c), c) if isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)) else c
 
-    One aggregate pass per table; sums are decimal, so the mean does not depend on
-    the order of the rows.
+
+def _mean(c: Column) -> Column:
+    """Mean from a decimal sum, which does not depend on the order of the rows.
+
+    A column with a value too large (or infinite) for that falls back to the mean of doubles.
+    """
+    exact = c.try_cast("decimal(24,6)")
+    return F.when(F.count(exact) == F.count(c), F.sum(exact).cast("double") / F.count(c)).otherwise(F.avg(c.cast("double")))
+
+
+def numeric_stats(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, column_name, min_value, max_value, mean_value) of every numeric column.
+
+    One aggregate pass per table.
     """
     parts = []
     for name, df in tables.items():
-        cols = numeric_columns(df, limit)
+        cols = numeric_columns(df)
         if not cols:
             continue
         aggs = []
         for i, c in enumerate(cols):
-            aggs += [
-                F.min(c).cast("double").alias(f"lo{i}"), F.max(c).cast("double").alias(f"hi{i}"),
-                (F.sum(F.col(c).cast("decimal(24,6)")).cast("double") / F.count(c)).alias(f"mean{i}"),
-            ]
+            v = _number(df, c)
+            aggs += [F.min(v).cast("double").alias(f"lo{i}"), F.max(v).cast("double").alias(f"hi{i}"), _mean(v).alias(f"mean{i}")]
         rows = F.array(*[
             F.struct(
                 F.lit(c).alias("column_name"), F.col(f"lo{i}").alias("min_value"),

@@ -29,14 +29,14 @@ NULL_SPELLINGS = {None: 55, "": 20, "N/A": 15, "null": 10}  # two of the five sp
 CASE_RATE, TYPO_RATE, SPACE_RATE, COUNTRY_RATE = 0.3, 0.1, 0.15, 0.2
 DUPLICATE_RATE, VALUE_RATE = 0.02, 0.03
 NULL_RATE = {True: 0.3, False: 0.5}  # dimension, fact
-NULL_CAP = 0.2
-MIN_ROWS_FOR_DUPLICATES = 10
+NULL_CAP = 0.2   # default bound of the share of missing cells in a column
+RATE_CAP = 0.5   # default bound of the error rate
 
 _COPY = "_copy_no"
 
 
-def clamp_rate(rate: float) -> float:
-    return min(max(rate, 0.0), 0.5)
+def clamp_rate(rate: float, cap: float = RATE_CAP) -> float:
+    return min(max(rate, 0.0), cap)
 
 
 def is_protected(col: str, extra: Iterable[str] = ()) -> bool:
@@ -230,17 +230,40 @@ def amount_factor(seed: int, col: str) -> float:
     return (5000 + constant_draw(seed, "quality", "amount factor", col) % 10000) / 10000
 
 
-def null_rate(col: str, rate: float, is_dimension: bool) -> float:
+def null_rate(col: str, rate: float, is_dimension: bool, cap: float = NULL_CAP) -> float:
     name, p = col.lower(), rate * NULL_RATE[is_dimension]
     if any(w in name for w in ("phone", "fax", "middle")):
         p *= 2
     elif any(w in name for w in ("name", "email", "id")):
         p *= 0.3
-    return min(p, NULL_CAP)
+    return min(p, cap)
 
 
 def duplicate_count(n_rows: int, rate: float) -> int:
-    return int(n_rows * (clamp_rate(rate) * DUPLICATE_RATE)) if n_rows >= MIN_ROWS_FOR_DUPLICATES else 0
+    return int(n_rows * (clamp_rate(rate) * DUPLICATE_RATE))
+
+
+def edit_rates(table: str, df: DataFrame, rate: float) -> dict[str, float]:
+    """Kind of edit -> expected share of the rows or cells that it touches, of the edits that apply to the table."""
+    rate = clamp_rate(rate)
+    open_ = [f for f in df.schema.fields if not is_protected(f.name)]
+    texts = [f.name for f in open_ if isinstance(f.dataType, T.StringType)]
+    numbers = [f.name for f in open_ if isinstance(f.dataType, T.NumericType)]
+    dimension = table.startswith("dim_")
+    kinds = {}
+    if dimension and texts:
+        kinds |= {"letter case": rate * CASE_RATE, "typing": rate * TYPO_RATE, "spaces": rate * SPACE_RATE}
+        if any("country" in c.lower() for c in texts):
+            kinds["country spelling"] = rate * COUNTRY_RATE
+    if not dimension:
+        kinds["repeated rows"] = rate * DUPLICATE_RATE
+        if any(is_quantity(c) for c in numbers):
+            kinds["sign of quantities"] = rate * VALUE_RATE
+        if any(is_amount(c) for c in numbers):
+            kinds["scale of amounts"] = rate * VALUE_RATE
+    if open_:
+        kinds["missing cells, largest share of a column"] = max(null_rate(f.name, rate, dimension) for f in open_)
+    return kinds
 
 
 def inject_duplicates(

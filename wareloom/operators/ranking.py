@@ -56,14 +56,16 @@ def prefix_offsets(totals: DataFrame, key: str, value: str, n_keys: int) -> Data
 
 
 def expand_with_running_id(
-    spark: SparkSession, n: int, count_of: Callable[[str], Column], block: int = BLOCK
+    spark: SparkSession, n: int, count_of: Callable[[str], Column], block: int = BLOCK, source: DataFrame | None = None
 ) -> DataFrame:
     """(position, ordinal, running_id) with ``count_of("position")`` rows per position.
 
     Running ids are 1, 2, 3, … in order of (position, ordinal). The plan starts from
     one row per block; blocks expand in place, and since the range (or the hash of
     the block) already groups a block in one task, neither the totals nor the running
-    sum inside a block shuffle the positions. Only block totals travel.
+    sum inside a block shuffle the positions. Only block totals travel. With a
+    ``source`` of the positions (a column of that name) these come from its rows; each
+    block of them then meets in one task for the running sum.
     """
     n_blocks = (n + block - 1) // block
     tasks = tasks_for(spark, n)
@@ -80,16 +82,22 @@ def expand_with_running_id(
     def blocks() -> DataFrame:
         return spark.range(0, n_blocks, 1, tasks).withColumnRenamed("id", "_block")
 
-    totals = positions(blocks()).groupBy("_block").agg(F.sum("_c").alias("_total"))
+    def given(df: DataFrame) -> DataFrame:
+        counted = df.withColumn("_block", div(F.col("position"), block)).withColumn("_c", count_of("position").cast("bigint"))
+        return counted.where(F.col("_c") > 0)
+
+    totals = (positions(blocks()) if source is None else given(source)).groupBy("_block").agg(F.sum("_c").alias("_total"))
     offsets = prefix_offsets(totals, "_block", "_total", n_blocks)
-    if n_blocks <= BROADCAST_BLOCKS:  # at most four megabytes
+    if source is not None:
+        expanded = given(source).join(F.broadcast(offsets) if n_blocks <= BROADCAST_BLOCKS else offsets, "_block")
+    elif n_blocks <= BROADCAST_BLOCKS:  # at most four megabytes
         placed = blocks().join(F.broadcast(offsets), "_block")
     else:
         placed = blocks().join(offsets, "_block").repartition(tasks, "_block")
     w = W.partitionBy("_block").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
     before = F.col("_offset") + F.sum("_c").over(w) - F.col("_c")
     return (
-        positions(placed)
+        (positions(placed) if source is None else expanded)
         .withColumn("_before", before)  # before the expansion, which one select would place below the window
         .select("position", "_before", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_c"))).alias("ordinal"))
         .select("position", "ordinal", (F.col("_before") + F.col("ordinal")).alias("running_id"))
@@ -136,17 +144,6 @@ def sample_rows(df: DataFrame, draw: str, ties: list[str], k: int, n: int) -> Da
     return hash_rank(df, draw, ties, n, keep=k)
 
 
-def evaluate_once(df: DataFrame) -> DataFrame:
-    """The same rows, as a border that filters above do not cross.
-
-    Catalyst moves a filter below a projection by copying the projected expressions
-    into the predicate. Over long chains of derived columns the copies multiply and
-    the stage grows beyond what the JVM compiles. A selection of the full range
-    [0, 1) keeps every row and costs one random number per row.
-    """
-    return df.sample(withReplacement=False, fraction=1.0, seed=0)
-
-
 def value_rank(
     df: DataFrame, value: str, ties: list[str], group: list[str] | None = None,
     kind: str = "row_number", descending: bool = True, buckets: int = 1024,

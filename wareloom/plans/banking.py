@@ -33,7 +33,7 @@ MERCHANTS = [
 
 
 def dim_customer(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_customer", cfg.n("customers"), "customer_key")
+    df, u = seeded(spark, cfg, "dim_customer", "customers", "customer_key")
     return df.select(
         "customer_key",
         padded_id("CIF", F.col("customer_key"), 8).alias("customer_id"),
@@ -52,7 +52,7 @@ def dim_customer(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def dim_account(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_account", cfg.n("accounts"), "account_key")
+    df, u = seeded(spark, cfg, "dim_account", "accounts", "account_key")
     return df.select(
         "account_key",
         padded_id("ACCT", F.col("account_key"), 10).alias("account_id"),
@@ -65,7 +65,7 @@ def dim_account(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def dim_branch(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_branch", cfg.n("branches"), "branch_key")
+    df, u = seeded(spark, cfg, "dim_branch", "branches", "branch_key")
     return df.select(
         "branch_key",
         padded_id("BR", F.col("branch_key"), 4).alias("branch_id"),
@@ -77,7 +77,7 @@ def dim_branch(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def fact_transactions(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "fact_transactions", cfg.n("transactions"), "transaction_id")
+    df, u = seeded(spark, cfg, "fact_transactions", "transactions", "transaction_id")
     amount = F.col("_amount")
     return df.select(
         "transaction_id",
@@ -111,7 +111,7 @@ def monthly_payment(principal, rate_hundredths, term):
 
 
 def fact_loans(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "fact_loans", cfg.n("customers") // 3, "loan_id")
+    df, u = seeded(spark, cfg, "fact_loans", "customers", "loan_id", cfg.n("customers") // 3)
     kind = F.col("loan_type")
     df = df.select(
         "loan_id",
@@ -147,7 +147,7 @@ def fact_loans(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def fact_cards(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "fact_cards", cfg.n("transactions") // 2, "card_txn_id")
+    df, u = seeded(spark, cfg, "fact_cards", "transactions", "card_txn_id", cfg.n("transactions") // 2)
     return df.select(
         "card_txn_id",
         date_key(u, cfg).alias("date_key"),

@@ -11,14 +11,36 @@ from wareloom.functions.draws import SPAN, Draws, growth_day_index, quarter_labe
 from wareloom.operators.ranking import tasks_for
 
 
-def keyed(spark: SparkSession, n: int, key: str) -> DataFrame:
-    """Surrogate keys 1..n; the only source of a generated table."""
-    return spark.range(1, n + 1, 1, tasks_for(spark, n)).withColumnRenamed("id", key)
-
-
-def seeded(spark: SparkSession, cfg: GenConfig, table: str, n: int, key: str) -> tuple[DataFrame, Draws]:
+def positions(spark: SparkSession, cfg: GenConfig, entity: str, n: int | None = None, name: str = "id") -> DataFrame:
+    """Positions 0..n-1, by default one an entity; the only source of a generated table.
+
+    Where the config has the entity's keys, each key expands into its own share of the
+    positions (n div count, rounded up), and the range is not used.
+    """
+    count = cfg.n(entity)
+    n = count if n is None else n
+    if entity not in cfg.keys:
+        return spark.range(0, n, 1, tasks_for(spark, n)).withColumnRenamed("id", name)
+    keys = cfg.keys[entity]
+    first = F.col(keys.columns[0]).cast("bigint") - F.lit(1)
+    times = -(-n // count)
+    if times == 1:
+        out = keys.select(first.alias(name))
+    else:
+        share = F.sequence(F.lit(0).cast("bigint"), F.lit(times - 1).cast("bigint"))
+        out = keys.select((first * F.lit(times)).alias("_first"), F.explode(share).alias("_nth")).select(
+            (F.col("_first") + F.col("_nth")).alias(name)).repartition(tasks_for(spark, n), name)  # a small table spreads out
+    return out if n == times * count else out.where(F.col(name) < F.lit(n))
+
+
+def keyed(spark: SparkSession, cfg: GenConfig, entity: str, key: str, n: int | None = None) -> DataFrame:
+    """Surrogate keys 1..n."""
+    return positions(spark, cfg, entity, n).select((F.col("id") + F.lit(1)).alias(key))
+
+
+def seeded(spark: SparkSession, cfg: GenConfig, table: str, entity: str, key: str, n: int | None = None) -> tuple[DataFrame, Draws]:
     u = Draws(cfg.seed, f"{cfg.industry}.{table}")
-    return u.attach(keyed(spark, n, key), key), u
+    return u.attach(keyed(spark, cfg, entity, key, n), key), u
 
 
 def date_key(u: Draws, cfg: GenConfig, name: str = "date_key") -> Column:
@@ -38,7 +60,7 @@ def day_of(cfg: GenConfig, key: Column) -> Column:
 def dim_date(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     d = F.col("full_date")
     return (
-        keyed(spark, cfg.n_days, "date_key")
+        spark.range(1, cfg.n_days + 1, 1, tasks_for(spark, cfg.n_days)).withColumnRenamed("id", "date_key")
         .withColumn("full_date", day_of(cfg, F.col("date_key")))
         .select(
             "date_key",

@@ -12,7 +12,7 @@ from wareloom.functions import pools
 from wareloom.functions.draws import Draws, key_draw, money, padded_id
 from wareloom.operators.ranking import expand_with_running_id
 from wareloom.plans.common import (
-    city, date_key, dim_date, first_name, int_col, keyed, last_name, product_name, seeded, state,
+    city, date_key, dim_date, first_name, int_col, keyed, last_name, positions, product_name, seeded, state,
 )
 
 # Fixed values.
@@ -35,7 +35,7 @@ EVENTS_PER_ORDER = 10
 
 
 def dim_customer(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_customer", cfg.n("customers"), "customer_key")
+    df, u = seeded(spark, cfg, "dim_customer", "customers", "customer_key")
     df = df.withColumns({"first_name": first_name(u), "last_name": last_name(u)})
     handle = F.lower(F.regexp_replace(F.concat_ws(".", "first_name", "last_name"), "[^A-Za-z.]", ""))
     return df.select(
@@ -60,7 +60,7 @@ def product_price(u: Draws) -> Column:
 
 
 def dim_product(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_product", cfg.n("products"), "product_key")
+    df, u = seeded(spark, cfg, "dim_product", "products", "product_key")
     return df.withColumn("category", u.choice("category", CATEGORIES)).select(
         "product_key",
         padded_id("PROD", F.col("product_key"), 6).alias("product_id"),
@@ -101,7 +101,7 @@ def fact_orders(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     already groups them, so the sum needs no shuffle. The header columns are drawn
     afterwards from the order key, so nothing is joined either.
     """
-    lines = keyed(spark, cfg.n("orders"), "order_id").withColumn(
+    lines = keyed(spark, cfg, "orders", "order_id").withColumn(
         "line", F.explode(F.sequence(F.lit(1).cast("bigint"), _n_items(cfg, "order_id")))
     )
     values = _lines(lines, cfg).groupBy("order_id").agg(F.sum("_total").alias("_value"))
@@ -118,7 +118,8 @@ def fact_orders(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def fact_order_items(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    items = expand_with_running_id(spark, cfg.n("orders"), lambda p: _n_items(cfg, f"{p} + 1"))
+    items = expand_with_running_id(
+        spark, cfg.n("orders"), lambda p: _n_items(cfg, f"{p} + 1"), source=positions(spark, cfg, "orders", name="position") if cfg.keys else None)
     items = items.select(
         F.col("running_id").alias("item_id"),
         (F.col("position") + F.lit(1)).alias("order_id"),
@@ -133,7 +134,7 @@ def fact_order_items(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def fact_web_events(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "fact_web_events", cfg.n("orders") * EVENTS_PER_ORDER, "event_id")
+    df, u = seeded(spark, cfg, "fact_web_events", "orders", "event_id", cfg.n("orders") * EVENTS_PER_ORDER)
     return df.select(
         "event_id",
         date_key(u, cfg).alias("date_key"),

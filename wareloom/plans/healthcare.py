@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wareloom.config import GenConfig
 from wareloom.functions.draws import Draws, key_draw, money, padded_id, pick, share
 from wareloom.operators.ranking import expand_with_running_id
-from wareloom.plans.common import city, date_key, dim_date, first_name, int_col, last_name, seeded, state
+from wareloom.plans.common import city, date_key, dim_date, first_name, int_col, last_name, positions, seeded, state
 
 # Fixed values.
 BLOOD_TYPES = ["A+", "A-", "B+", "B-", "O+", "O-", "AB+", "AB-"]
@@ -48,7 +48,7 @@ MAX_PROCEDURES = 4
 
 
 def dim_patient(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_patient", cfg.n("patients"), "patient_key")
+    df, u = seeded(spark, cfg, "dim_patient", "patients", "patient_key")
     return df.select(
         "patient_key",
         padded_id("MRN", F.col("patient_key"), 8).alias("patient_id"),
@@ -66,7 +66,7 @@ def dim_patient(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def dim_doctor(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_doctor", cfg.n("doctors"), "doctor_key")
+    df, u = seeded(spark, cfg, "dim_doctor", "doctors", "doctor_key")
     return df.select(
         "doctor_key",
         F.concat(F.lit("NPI-"), u.randint("doctor_id", 1000000000, 9999999999).cast("string")).alias("doctor_id"),
@@ -78,7 +78,7 @@ def dim_doctor(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def dim_hospital(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_hospital", cfg.n("hospitals"), "hospital_key")
+    df, u = seeded(spark, cfg, "dim_hospital", "hospitals", "hospital_key")
     return df.select(
         "hospital_key",
         padded_id("HOSP", F.col("hospital_key"), 4).alias("hospital_id"),
@@ -108,7 +108,7 @@ def _charges() -> Column:
 
 
 def fact_encounters(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "fact_encounters", cfg.n("encounters"), "encounter_id")
+    df, u = seeded(spark, cfg, "fact_encounters", "encounters", "encounter_id")
     return df.select(
         "encounter_id",
         date_key(u, cfg).alias("date_key"),
@@ -131,7 +131,8 @@ def _n_procedures(cfg: GenConfig, encounter_id: str) -> Column:
 
 
 def fact_procedures(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    rows = expand_with_running_id(spark, cfg.n("encounters"), lambda p: _n_procedures(cfg, f"{p} + 1"))
+    rows = expand_with_running_id(
+        spark, cfg.n("encounters"), lambda p: _n_procedures(cfg, f"{p} + 1"), source=positions(spark, cfg, "encounters", name="position") if cfg.keys else None)
     df = rows.select(
         F.col("running_id").alias("procedure_id"),
         (F.col("position") + F.lit(1)).alias("encounter_id"),
@@ -156,7 +157,7 @@ def fact_procedures(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 def fact_billing(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """One claim per encounter; the charges are recomputed from the encounter key."""
-    df, u = seeded(spark, cfg, "fact_billing", cfg.n("encounters"), "encounter_id")
+    df, u = seeded(spark, cfg, "fact_billing", "encounters", "encounter_id")
     e = Draws(cfg.seed, "healthcare.fact_encounters", "_e")
     df = e.attach(df, "encounter_id").withColumns(_visit(e)).withColumn("_total", _charges())
     df = df.withColumn("_allowed", share(F.col("_total"), u.randint("allowed_ratio", 3000, 8000)))

@@ -9,7 +9,7 @@ from wareloom.config import GenConfig
 from wareloom.functions import pools
 from wareloom.functions.draws import Draws, distinct_pair, div, key_draw, money, padded_id, pick, threshold
 from wareloom.operators.ranking import expand_with_running_id
-from wareloom.plans.common import city, date_key, dim_date, int_col, seeded, state
+from wareloom.plans.common import city, date_key, dim_date, int_col, positions, seeded, state
 
 # Fixed values.
 ROUTE_TYPES = ["Ground", "Air", "Ocean", "Rail"]
@@ -30,7 +30,7 @@ def _transit_days(u: Draws) -> Column:
 
 
 def dim_route(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_route", cfg.n("routes"), "route_key")
+    df, u = seeded(spark, cfg, "dim_route", "routes", "route_key")
     places = pools.CITIES[: pools.ROUTE_CITY_COUNT]
     n = len(places)
     df = df.withColumns({"_o": u.index("origin_city", n), "_d": u.index("destination_city", n - 1)})
@@ -47,7 +47,7 @@ def dim_route(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def dim_vehicle(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_vehicle", cfg.n("vehicles"), "vehicle_key")
+    df, u = seeded(spark, cfg, "dim_vehicle", "vehicles", "vehicle_key")
     return df.select(
         "vehicle_key",
         padded_id("VH", F.col("vehicle_key"), 5).alias("vehicle_id"),
@@ -74,7 +74,7 @@ def _vehicle_status(cfg: GenConfig, vehicle_key: str) -> Column:
 
 
 def dim_warehouse(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_warehouse", cfg.n("warehouses"), "warehouse_key")
+    df, u = seeded(spark, cfg, "dim_warehouse", "warehouses", "warehouse_key")
     return df.select(
         "warehouse_key",
         padded_id("WH", F.col("warehouse_key"), 4).alias("warehouse_id"),
@@ -91,7 +91,7 @@ def _route_key(u: Draws, cfg: GenConfig) -> Column:
 
 
 def fact_shipments(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "fact_shipments", cfg.n("shipments"), "shipment_id")
+    df, u = seeded(spark, cfg, "fact_shipments", "shipments", "shipment_id")
     r = Draws(cfg.seed, "logistics.dim_route", "_r")
     df = df.select(
         "shipment_id",
@@ -117,7 +117,7 @@ def fact_deliveries(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
     ``on_time`` compares the drawn transit time before it is raised to one day.
     """
-    df, u = seeded(spark, cfg, "fact_deliveries", cfg.n("shipments"), "shipment_id")
+    df, u = seeded(spark, cfg, "fact_deliveries", "shipments", "shipment_id")
     s = Draws(cfg.seed, "logistics.fact_shipments", "_h")
     r = Draws(cfg.seed, "logistics.dim_route", "_r")
     df = s.attach(df, "shipment_id").withColumn("_route", _route_key(s, cfg))
@@ -152,7 +152,9 @@ def _in_use(cfg: GenConfig, position: str) -> Column:
 def fact_fleet_usage(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """Days × active vehicles as one range of positions, with dense running ids."""
     n = cfg.n("vehicles")
-    rows = expand_with_running_id(spark, cfg.n_days * n, lambda p: _in_use(cfg, p))
+    rows = expand_with_running_id(
+        spark, cfg.n_days * n, lambda p: _in_use(cfg, p),
+        source=positions(spark, cfg, "vehicles", cfg.n_days * n, "position") if cfg.keys else None)
     u = Draws(cfg.seed, "logistics.fact_fleet_usage")
     return u.attach(rows, "position").select(
         F.col("running_id").alias("usage_id"),

@@ -12,7 +12,7 @@ from wareloom import report
 from wareloom.functions.draws import (
     Draws, distinct_pair, growth_count, key_draw, money, padded_id, quarter_label,
 )
-from wareloom.operators.ranking import evaluate_once, sample_rows
+from wareloom.operators.ranking import sample_rows
 from wareloom.plans import analyses, dataset, kpis, scaled, sqlpack
 from wareloom.plans.model import KEYS
 from wareloom.plans.scaled import load
@@ -27,15 +27,9 @@ FIXED_DIMS = {
 }
 
 
-def _config(spark, folder, industry, table):
-    if (industry, table) == ("retail", "fact_inventory"):
-        return scaled.small_stores(spark, folder)
-    return scaled.config(spark, folder, industry)
-
-
 def _generated(industry: str, table: str) -> Query:
     def query(spark, folder):
-        return dataset.table(spark, _config(spark, folder, industry, table), table)
+        return dataset.table(spark, scaled.config(spark, folder, industry), table)
 
     return query
 
@@ -57,7 +51,9 @@ def generated_queries() -> dict[str, Query]:
         for table in tables:
             if (industry, table) in FIXED_DIMS:
                 out[f"gen_{industry}_{table}"] = _fixed_dim(industry, table)
-            elif (industry, table) != ("saas", "dim_product"):  # five literal rows that no fact refers to
+            # Calendars follow from the configuration alone, and saas.dim_product is five literal rows that no
+            # fact refers to: both are library tables, not queries over given ones.
+            elif table != "dim_date" and (industry, table) != ("saas", "dim_product"):
                 out[f"gen_{industry}_{table}"] = _generated(industry, table)
     return out
 
@@ -227,7 +223,7 @@ def clean_nulls(spark, folder):
 
 
 def clean_dropna(spark, folder):
-    return clean.drop_missing(evaluate_once(q_inject_dim(spark, folder, HIGH_RATE)), ["c_name", "c_mktsegment"])
+    return clean.drop_missing(q_inject_dim(spark, folder, HIGH_RATE), ["c_name", "c_mktsegment"])
 
 
 def _dedupe(keep):
@@ -263,7 +259,7 @@ def val_fk_report(spark, folder):
 
 def val_calc(spark, folder):
     """Sales whose revenue does not follow from quantity, price and discount."""
-    df = evaluate_once(q_inject_sales(spark, folder))
+    df = q_inject_sales(spark, folder)
     expected = (F.col("unit_price") * F.col("quantity") - F.col("discount")).cast("decimal(18,2)")
     return validate.wrong_totals(df, F.col("revenue"), expected)
 
@@ -329,8 +325,6 @@ def rep_missing_dirty(spark, folder):
 def _summary(industry):
     def query(spark, folder):
         cfg = scaled.config(spark, folder, industry)
-        if industry == "retail":
-            cfg = scaled.small_stores(spark, folder)
         return profile.summary(dataset.generate(spark, cfg))
 
     return query
@@ -350,9 +344,7 @@ def _insights(industry):
 def _dirty_summary(industry):
     """Missing and spelled-out missing cells per table of a dirtied data set."""
     def query(spark, folder):
-        changes = {"quality": "heavy"}
-        small = industry == "retail"
-        cfg = scaled.small_stores(spark, folder, **changes) if small else scaled.config(spark, folder, industry, **changes)
+        cfg = scaled.config(spark, folder, industry, quality="heavy")
         return profile.missing(dataset.dirty(dataset.generate(spark, cfg), cfg))
 
     return query
@@ -414,8 +406,7 @@ def draw_primitives(spark, folder):
 
 def _on_tables(industry, needed, function):
     def query(spark, folder):
-        small = "fact_inventory" in needed
-        cfg = scaled.small_stores(spark, folder) if small else scaled.config(spark, folder, industry)
+        cfg = scaled.config(spark, folder, industry)
         return function({t: dataset.table(spark, cfg, t) for t in needed})
 
     return query

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from wareloom.config import GenConfig
 from wareloom.functions import pools
 from wareloom.functions.draws import Draws, div, money, padded_id, share
-from wareloom.operators.ranking import tasks_for
-from wareloom.plans.common import city, date_key, dim_date, first_name, int_col, last_name, product_name, seeded, state
+from wareloom.plans.common import city, date_key, dim_date, first_name, int_col, last_name, positions, product_name, seeded, state
 
 # Fixed values.
 CATEGORIES = ["Electronics", "Clothing", "Grocery", "Home", "Sports", "Beauty"]
@@ -21,7 +20,7 @@ REGIONS = ["North", "South", "East", "West"]
 
 
 def dim_customer(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_customer", cfg.n("customers"), "customer_key")
+    df, u = seeded(spark, cfg, "dim_customer", "customers", "customer_key")
     return df.select(
         "customer_key",
         padded_id("CUST", F.col("customer_key"), 6).alias("customer_id"),
@@ -41,7 +40,7 @@ def product_price(u: Draws) -> Column:
 
 
 def dim_product(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_product", cfg.n("products"), "product_key")
+    df, u = seeded(spark, cfg, "dim_product", "products", "product_key")
     return df.withColumns(
         {"category": u.choice("category", CATEGORIES), "_price": product_price(u)}
     ).select(
@@ -56,7 +55,7 @@ def dim_product(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def dim_store(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "dim_store", cfg.n("stores"), "store_key")
+    df, u = seeded(spark, cfg, "dim_store", "stores", "store_key")
     return df.select(
         "store_key",
         padded_id("STR", F.col("store_key"), 4).alias("store_id"),
@@ -75,7 +74,7 @@ def fact_sales(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
     Price draws are a function of the key, so the lookup needs no join at any size.
     """
-    df, u = seeded(spark, cfg, "fact_sales", cfg.n("transactions"), "sale_id")
+    df, u = seeded(spark, cfg, "fact_sales", "transactions", "sale_id")
     p = Draws(cfg.seed, "retail.dim_product", "_p")
     df = df.select(
         "sale_id",
@@ -102,12 +101,12 @@ def fact_inventory(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """Closing stock of every product in every store.
 
     The pair is decoded from one running position, so the product of the two
-    dimensions is a range scan and no join.
+    dimensions is a scan of the products and no join.
     """
     stores = cfg.n("stores")
     u = Draws(cfg.seed, "retail.fact_inventory")
     pairs = cfg.n("products") * stores
-    df = u.attach(spark.range(0, pairs, 1, tasks_for(spark, pairs)), "id")
+    df = u.attach(positions(spark, cfg, "products", pairs), "id")
     return df.select(
         (div(F.col("id"), stores) + F.lit(1)).alias("product_key"),
         (F.col("id") % F.lit(stores) + F.lit(1)).alias("store_key"),

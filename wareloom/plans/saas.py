@@ -36,7 +36,7 @@ SUB_STATUS = {"Active": 90, "Churned": 7, "Paused": 3}
 FEATURES = ["Dashboard", "Reports", "API", "Export", "Import", "Settings", "Users"]
 REASONS = ["Price", "Features", "Competition", "No longer needed", "Poor support", "Other"]
 CHURN_SHARE = 0.15
-KEY_DAYS = 2048  # more than the longest calendar, so (customer, day) packs into one key
+KEY_DAYS = 1 << 20  # more than any calendar, so (customer, day) packs into one key
 
 
 def _signup(u: Draws, cfg: GenConfig) -> Column:
@@ -45,7 +45,7 @@ def _signup(u: Draws, cfg: GenConfig) -> Column:
 
 def _customers(spark: SparkSession, cfg: GenConfig) -> tuple[DataFrame, Draws]:
     u = Draws(cfg.seed, "saas.dim_customer", "_c")
-    return u.attach(keyed(spark, cfg.n("customers"), "customer_key"), "customer_key"), u
+    return u.attach(keyed(spark, cfg, "customers", "customer_key"), "customer_key"), u
 
 
 def plan_price(plan_key: Column) -> Column:
@@ -81,7 +81,7 @@ def dim_product(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 def fact_subscriptions(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     """A row per customer and first day of a month from the signup on.
 
-    Each customer expands into its own months (at most 60), which replaces the
+    Each customer expands into its own months, which replaces the
     range join of months and customers.
     """
     df, c = _customers(spark, cfg)
@@ -112,7 +112,7 @@ def fact_subscriptions(spark: SparkSession, cfg: GenConfig) -> DataFrame:
 
 
 def fact_usage(spark: SparkSession, cfg: GenConfig) -> DataFrame:
-    df, u = seeded(spark, cfg, "fact_usage", cfg.n("customers") * cfg.n_days // 3, "usage_id")
+    df, u = seeded(spark, cfg, "fact_usage", "customers", "usage_id", cfg.n("customers") * cfg.n_days // 3)
     return df.select(
         "usage_id",
         date_key(u, cfg).alias("date_key"),

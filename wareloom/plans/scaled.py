@@ -1,7 +1,8 @@
 """Configurations whose sizes and dates follow a folder of Parquet tables.
 
-The registered queries generate data of the size of the tables they are given:
-row counts come from Parquet metadata, the window from the order dates.
+The registered queries generate data on the tables they are given: the keys of the
+generated rows are read from them, row counts come from Parquet metadata, the window
+from the order dates.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wareloom.config import GenConfig
+from wareloom.config import BASE_COUNTS, GenConfig
 
 COUNTED = ("customer", "part", "supplier", "nation", "orders", "lineitem")
 _cache: dict[tuple[str, str], "Extent"] = {}
@@ -44,31 +45,23 @@ def extent(spark: SparkSession, folder: str) -> Extent:
     return _cache[key]
 
 
+#: Given table and dense key (from 0) behind each entity of a generated data set.
+SPINES = {
+    "customers": ("customer", "c_custkey"), "patients": ("customer", "c_custkey"),
+    "products": ("part", "p_partkey"), "accounts": ("part", "p_partkey"), "routes": ("part", "p_partkey"),
+    "stores": ("supplier", "s_suppkey"), "branches": ("supplier", "s_suppkey"), "doctors": ("supplier", "s_suppkey"),
+    "hospitals": ("supplier", "s_suppkey"), "vehicles": ("supplier", "s_suppkey"), "warehouses": ("supplier", "s_suppkey"),
+    "orders": ("orders", "o_orderkey"), "transactions": ("orders", "o_orderkey"), "encounters": ("orders", "o_orderkey"),
+    "shipments": ("orders", "o_orderkey"),
+}
+
+
 def config(spark: SparkSession, folder: str, industry: str, **changes) -> GenConfig:
+    """The industry over the folder's tables: generated rows enrich the keys that the tables hold."""
     x = extent(spark, folder)
-    c = x.counts
-    counts = {
-        "retail": {
-            "customers": c["customer"], "products": c["part"], "stores": c["supplier"], "transactions": c["lineitem"],
-        },
-        "ecommerce": {"customers": c["customer"], "products": c["part"], "orders": c["orders"] // 5},
-        "banking": {
-            "customers": c["customer"], "accounts": c["part"], "branches": c["supplier"], "transactions": c["orders"],
-        },
-        "healthcare": {
-            "patients": c["customer"], "doctors": c["supplier"], "hospitals": c["supplier"], "encounters": c["orders"],
-        },
-        "saas": {"customers": c["customer"] // 10},
-        "logistics": {
-            "routes": c["part"], "vehicles": c["supplier"], "warehouses": c["supplier"], "shipments": c["orders"],
-        },
-    }[industry]
-    counts.update(changes.pop("counts", {}))
+    spines = {e: SPINES[e] for e in BASE_COUNTS[industry]}
+    keys = {e: load(spark, folder, t).select((F.col(k) + F.lit(1)).alias("k")) for e, (t, k) in spines.items()}
     return GenConfig(
-        industry=industry, as_of=x.last, months=max(1, (x.last - x.first).days // 30), counts=counts, **changes
+        industry=industry, as_of=x.last, months=max(1, (x.last - x.first).days // 30),
+        counts={e: x.counts[t] for e, (t, _) in spines.items()}, keys=keys, **changes
     )
-
-
-def small_stores(spark: SparkSession, folder: str, **changes) -> GenConfig:
-    """Retail with one store per nation: product × store tables then grow linearly."""
-    return config(spark, folder, "retail", counts={"stores": extent(spark, folder).counts["nation"]}, **changes)

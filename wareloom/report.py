@@ -7,14 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wareloom.config import GenConfig
-from wareloom.operators import profile
+from wareloom.operators import profile, quality
 from wareloom.operators.validate import union_all
 from wareloom.plans import kpis
 
-ISSUES = [
-    "case inconsistencies in text fields", "leading or trailing whitespace", "typing errors in names and places",
-    "missing values in non-critical fields", "duplicate rows in fact tables", "negative quantities and wrong amounts",
-]
 # KPI query -> label column of its rows; the others have a single row.
 LABELS = {
     "rep_retail_top5": ("product_key", "revenue"), "rep_ecom_status": ("status", "n"),
@@ -39,7 +35,16 @@ def _rows(df: DataFrame, section: str, table: Column, values: dict[str, str]) ->
     return df.select(F.lit(section).alias("section"), table.alias("table_name"), F.inline(pairs))
 
 
-def configuration(spark: SparkSession, cfg: GenConfig) -> DataFrame:
+def noise_rows(tables: dict[str, DataFrame], cfg: GenConfig) -> list[tuple[str, str, str, str]]:
+    """One row per kind of edit that the quality rate brings into each table, with its rate."""
+    rows = []
+    for name, df in tables.items():
+        for kind, rate in quality.edit_rates(name, df, cfg.quality_rate).items():
+            rows.append(("noise", name, kind, f"{rate:.4f}"))
+    return rows
+
+
+def configuration(spark: SparkSession, cfg: GenConfig, tables: dict[str, DataFrame]) -> DataFrame:
     rows = [
         ("industry", cfg.industry), ("size", cfg.size), ("months", str(cfg.months)),
         ("growth_rate", f"{cfg.growth_rate}%"), ("quality", f"{cfg.quality} ({int(cfg.quality_rate * 100)}%)"),
@@ -47,7 +52,7 @@ def configuration(spark: SparkSession, cfg: GenConfig) -> DataFrame:
     ]
     rows = [("configuration", "", m, v) for m, v in rows]
     if cfg.quality_rate > 0:
-        rows += [("issues", "", f"issue {i}", text) for i, text in enumerate(ISSUES, 1)]
+        rows += noise_rows(tables, cfg)
     return spark.createDataFrame(rows, "section string, table_name string, metric string, value string")
 
 
@@ -57,7 +62,7 @@ def build(spark: SparkSession, tables: dict[str, DataFrame], cfg: GenConfig) ->
     total = profile.total_rows(tables)
     stats = profile.numeric_stats(tables)
     parts = [
-        configuration(spark, cfg),
+        configuration(spark, cfg, tables),
         _rows(total, "overview", F.lit(""), {"total_rows": "total_rows"}),
         _rows(overview, "overview", F.col("table_name"), {"rows": "n_rows", "columns": "n_columns"}),
         stats.select(
@@ -100,4 +105,4 @@ def write_report(df: DataFrame, output_dir: str, fmt: str = "csv") -> str:
     """Write the report beside the data as one small file."""
     from wareloom.sources.files import write_table
 
-    return write_table(df.coalesce(1), output_dir, "analysis_report", fmt)
+    return write_table(df.repartition(1), output_dir, "analysis_report", fmt)
