@@ -38,7 +38,7 @@ THRESHOLD = 0.8
 SKETCHES = 24
 TAKE = 4
 #: A k-mer of more texts than this is not rare.
-RARE = 20
+RARE = 100
 MULTIPLIERS = scramble(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
