@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Pairs, Recent, Transducer
-from .common import col, ship
+from .common import col, ship, trim
 
 META = "▁"
 NORMAL, UNKNOWN, BYTE = 1, 2, 6
@@ -104,6 +105,13 @@ class Machine(Recent):
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.alphabet)
         self.split = re.compile(f"{META}*[^{META}{lone}]+|{META}+" + (f"|[{lone}]" if lone else "")).findall
 
+    def release(self) -> None:
+        """Forget what was compiled for inputs; the next task starts with the model alone."""
+        self.clear()
+        self.old = {}
+        self.transducer.forget()
+        self.pairs.known.clear()
+
     def make(self, segment: str) -> tuple[int, ...]:
         return tuple(self.shortest_path(segment))
 
@@ -167,14 +175,18 @@ def encoder(spark: SparkSession, path: str):
     file = _model(spark, path)
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pa.Array) -> pa.Array:
+    def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         machine = compiled(file.value)
-        flat, ends = [], [0]
-        for t in texts.to_pylist():
-            flat.append(np.array(machine.encode(t or ""), np.int32))
-            ends.append(ends[-1] + len(flat[-1]))
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        for texts in batches:
+            flat, ends = [], [0]
+            for t in texts.to_pylist():
+                flat.append(np.array(machine.encode(t or ""), np.int32))
+                ends.append(ends[-1] + len(flat[-1]))
+            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+            del flat
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+        machine.release()
+        trim()
 
     return ids
 

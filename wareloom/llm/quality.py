@@ -16,6 +16,7 @@ an empty table gives no rows; columns of other names are ignored.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .common import col, ship, trim, written
 
-MAX_TRAIN = 12_000
+MAX_TRAIN = 6_000
 PASSES = 12
 COST = 1.0
 THRESHOLD = 0.3
@@ -62,8 +63,8 @@ def dual_coordinate_descent(sets: list[np.ndarray], y: np.ndarray, ratio: np.nda
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.where(y > 0, y.mean(), 1 - y.mean())
     bound = COST * 0.5 / np.maximum(share, 1e-9)
-    x = [ratio[s] / np.sqrt(max(len(s), 1)) for s in sets]
-    norm = np.array([v @ v for v in x]) + 1.0
+    x = [(ratio[s] / np.sqrt(max(len(s), 1))).astype(np.float32) for s in sets]
+    norm = np.array([float(v @ v) for v in x]) + 1.0
     w, b, alpha, rng = np.zeros(len(ratio)), 0.0, np.zeros(len(sets)), np.random.default_rng(seed)
     for _ in range(PASSES):
         for i in rng.permutation(len(sets)):
@@ -138,11 +139,14 @@ def scorer(model: dict | None):
     """A pandas UDF from text to score."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if model is None:
-            return pd.Series(np.full(len(texts), 0.5))
-        margin = ngrams.margins(texts, model["weights"][None, :])[:, 0] + model["intercept"]
-        return pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"], -30, 30))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            if model is None:
+                yield pd.Series(np.full(len(texts), 0.5))
+                continue
+            margin = ngrams.margins(texts, model["weights"][None, :])[:, 0] + model["intercept"]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(model["slope"] * margin + model["offset"], -30, 30))))
+        trim()
 
     return score
 

@@ -11,6 +11,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text that are hashed at a time; a longer text is a batch of its own.
 BATCH_BYTES = 1 << 20
+BATCH_TEXTS = 1000
 
 #: BASE * INVERSE = 1 modulo 2^64.
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -52,7 +53,7 @@ class Rolled:
 def batches(texts: Iterable[bytes], limit: int = BATCH_BYTES) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
-        if held and size + len(t) > limit:
+        if held and (size + len(t) > limit or len(held) == BATCH_TEXTS):
             yield held
             held, size = [], 0
         held.append(t)
