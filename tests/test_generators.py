@@ -192,14 +192,14 @@ def test_running_ids_in_two_levels_and_without_broadcast(spark, monkeypatch):
 
 
 def test_config_rules():
-    assert GenConfig("retail", months=99).months == 60 and GenConfig("retail", months=0).months == 1
+    assert GenConfig("retail", months=99).n_days == 99 * 30 + 1
     assert GenConfig("retail", quality="heavy").quality_rate == 0.10
     assert GenConfig("retail", quality_rate=3).quality_rate == 0.5
     assert GenConfig("healthcare", size="small").n("hospitals") == 2
     assert GenConfig("banking", size="large").n("accounts") == 4000
     assert GenConfig("retail", as_of=date(2025, 1, 31)).start_date == date(2024, 2, 6)
     for bad in ({"industry": "mining"}, {"industry": "retail", "scale": 0.001}, {"industry": "retail", "size": "giant"},
-                {"industry": "retail", "growth_rate": 80}, {"industry": "retail", "counts": {"pets": 3}}):
+                {"industry": "retail", "months": 0}, {"industry": "retail", "growth_rate": 80}, {"industry": "retail", "counts": {"pets": 3}}):
         with pytest.raises(ValueError):
             GenConfig(**bad)
 
