@@ -9,6 +9,7 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def ship(spark: SparkSession) -> None:
     """
     sc = spark.sparkContext
     if spark.conf.get(BATCH_SETTING, "67108864b") == "67108864b":
-        spark.conf.set(BATCH_SETTING, "8m")
+        spark.conf.set(BATCH_SETTING, "4m")
     if getattr(sc, "_wareloom_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -55,6 +56,7 @@ def ship(spark: SparkSession) -> None:
 def trim() -> None:
     """Give a worker's freed memory back to the system; workers live on, beside other tasks' workers."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

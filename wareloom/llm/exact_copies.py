@@ -20,11 +20,13 @@ from .common import col, scratch, text_or_empty, wrapped, written
 
 #: Rows of one (digest, doc_id) are expanded in runs of this length.
 RUN = 4096
-#: Many small stores: no preallocated files, as the setting's own description advises.
+#: Many small stores: no preallocated files, as the setting's own description advises; a store's memory is given
+#: back with its commit, the state itself is on disk.
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 
 

@@ -22,6 +22,7 @@ rule out are met as closely as they allow; a null doc_id is hashed like a value;
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -159,13 +160,16 @@ def mixed(docs: DataFrame, labels: DataFrame, weights: dict[str, float], budget:
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def predict(texts: pd.Series) -> pd.Series:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = shared.value
-        if not own:
-            return pd.Series([[1 / k] * k] * len(texts))
-        base, _ = linear.margins(texts, np.stack([m.weights for m in own]))
-        p = np.stack([m.probability(base[:, i] + m.intercept) for i, m in enumerate(own)], axis=1) + 1e-9
-        return pd.Series(list(p / p.sum(axis=1, keepdims=True)))
+        for texts in batches:
+            if not own:
+                yield pd.Series([[1 / k] * k] * len(texts))
+                continue
+            base, _ = linear.margins(texts, np.stack([m.weights for m in own]))
+            p = np.stack([m.probability(base[:, i] + m.intercept) for i, m in enumerate(own)], axis=1) + 1e-9
+            yield pd.Series(list(p / p.sum(axis=1, keepdims=True)))
+        trim()
 
     taken = wrapped(docs, doc_id=col("doc_id"), p=predict(col("text"))).withColumn("n", copies(F.expr(rate))).where("n > 0")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -127,6 +127,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         for f in frames:
             ok = np.array([similarity(of(a), of(b)) >= THRESHOLD for a, b in zip(f["a_text"], f["b_text"])], bool)
             yield f.loc[ok, ["a", "b"]]
+        of.cache_clear()
+        trim()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "a_text", "b_text").mapInPandas(check, "a binary, b binary")
 
@@ -141,6 +143,7 @@ def kmer_rows(texts: DataFrame) -> DataFrame:
                 sizes = [len(x) for x in found]
                 yield pd.DataFrame({"node": f["node"][i : i + 256].repeat(sizes).to_numpy(),
                                     "kmer": np.concatenate(found).view(np.int64)})
+        trim()
 
     return texts.select("node", "text").mapInPandas(explode, "node binary, kmer long")
 
