@@ -144,3 +144,21 @@ def test_sentinels_are_told_from_nulls(spark):
     row = profile.missing({"t": df}).first()
     assert (row.n_missing, row.n_sentinels, row.n_cells) == (1, 3, 6)
     assert clean.sentinels_to_null(df).where("s IS NULL").count() == 5
+
+
+def test_profile_takes_odd_doubles(spark):
+    """NaN is missing; values beyond the decimal fall back to doubles; every numeric column counts."""
+    from wareloom.operators import profile
+
+    rows = [(float("nan"), 1e20, 1, 2, 3), (2.0, 1.0, 1, 2, 3), (4.0, None, 1, 2, 5)]
+    df = spark.createDataFrame(rows, "a double, b double, c int, d int, e int")
+    got = {r.column_name: (r.min_value, r.max_value, r.mean_value) for r in profile.numeric_stats({"t": df}).collect()}
+    assert got == {"a": (2.0, 4.0, 3.0), "b": (1.0, 1e20, 5e19 + 0.5), "c": (1, 1, 1), "d": (2, 2, 2), "e": (3, 5, 11 / 3)}
+
+
+def test_row_prints_do_not_collide(spark):
+    from wareloom.functions.text import fingerprint
+
+    rows = [("a|b", "c", 1.0), ("a", "b|c", 1.0), (None, "x", 1.0), ("~", "x", 1.0), ("-", "x", 1.0), ("a", "b", 1e20), ("a", "b", 1e-9), ("a", "b", 2e-9)]
+    df = spark.createDataFrame(rows, "a string, b string, x double")
+    assert df.select(fingerprint(df, df.columns).alias("p")).distinct().count() == len(rows)

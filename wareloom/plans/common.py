@@ -35,6 +35,9 @@ def positions(spark: SparkSession, cfg: GenConfig, entity: str, n: int | None =
 
 def keyed(spark: SparkSession, cfg: GenConfig, entity: str, key: str, n: int | None = None) -> DataFrame:
     """Surrogate keys 1..n."""
+    if entity not in cfg.keys:  # a range of the keys themselves: sums per key then need no shuffle
+        n = cfg.n(entity) if n is None else n
+        return spark.range(1, n + 1, 1, tasks_for(spark, n)).withColumnRenamed("id", key)
     return positions(spark, cfg, entity, n).select((F.col("id") + F.lit(1)).alias(key))
 
 
