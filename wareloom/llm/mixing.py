@@ -73,16 +73,18 @@ def posteriors(docs: DataFrame, models: list[linear.Model] | None, k: int) -> Da
     shared = docs.sparkSession.sparkContext.broadcast(models)  # fixed size
 
     @F.pandas_udf(T.StructType([T.StructField("n", T.LongType()), T.StructField("p", T.ArrayType(T.DoubleType()))]))
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = shared.value
         weights = np.stack([m.weights for m in own]) if own else np.zeros((k, linear.SIZE), np.float32)
-        base, n = linear.margins(texts, weights)
-        if own:
-            p = np.stack([m.probability(base[:, i] + m.intercept) for i, m in enumerate(own)], axis=1) + 1e-9
-            p /= p.sum(axis=1, keepdims=True)
-        else:
-            p = np.full((len(texts), k), 1 / k)
-        return pd.DataFrame({"n": n, "p": list(p)})
+        for texts in batches:
+            base, n = linear.margins(texts, weights)
+            if own:
+                p = np.stack([m.probability(base[:, i] + m.intercept) for i, m in enumerate(own)], axis=1) + 1e-9
+                p /= p.sum(axis=1, keepdims=True)
+            else:
+                p = np.full((len(texts), k), 1 / k)
+            yield pd.DataFrame({"n": n, "p": list(p)})
+        trim()
 
     found = docs.select(col("doc_id").alias("doc_id"), predict(col("text")).alias("x"))
     return found.select("doc_id", F.col("x.n").alias("n_tokens"), F.col("x.p").alias("p"))

@@ -16,6 +16,7 @@ share, 0 without labels; an empty table gives no rows; columns of other names ar
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -118,8 +119,10 @@ def score(docs: DataFrame, labels: DataFrame, chain=CHAIN, limit: int = MAX_TRAI
     names = [f"p_{c}" for c, _, _ in chain]
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in names]))
-    def predict(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(probabilities(models.value, texts), columns=names)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            yield pd.DataFrame(probabilities(models.value, texts), columns=names)
+        trim()
 
     scored = docs.select(col("doc_id").alias("doc_id"), predict(col("text")).alias("p")).select("doc_id", "p.*")
     return scored.select(
