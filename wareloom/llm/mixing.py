@@ -34,7 +34,7 @@ from . import linear, toxicity
 from .common import col, ship, trim, wrapped, written
 
 DOMAINS = ("good", "poor", "toxic")
-MAX_TRAIN = 4_000
+MAX_TRAIN = 3_000
 STEPS = 60
 #: A fit ends when no domain is off its target by a larger share of its total, or none moves by more for two steps.
 TOLERANCE = 1e-5

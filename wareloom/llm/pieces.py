@@ -105,13 +105,6 @@ class Machine(Recent):
         lone = "".join(re.escape(c) for c in "\n\t\r" if c not in self.alphabet)
         self.split = re.compile(f"{META}*[^{META}{lone}]+|{META}+" + (f"|[{lone}]" if lone else "")).findall
 
-    def release(self) -> None:
-        """Forget what was compiled for inputs; the next task starts with the model alone."""
-        self.clear()
-        self.old = {}
-        self.transducer.forget()
-        self.pairs.known.clear()
-
     def make(self, segment: str) -> tuple[int, ...]:
         return tuple(self.shortest_path(segment))
 
@@ -185,7 +178,8 @@ def encoder(spark: SparkSession, path: str):
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
             del flat
             yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        machine.release()
+        del machine
+        _compiled.clear()  # a worker outlives its tasks, and what it holds is missing elsewhere
         trim()
 
     return ids
