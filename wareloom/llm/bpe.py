@@ -10,7 +10,7 @@ whose transitions carry the change in the number of emitted tokens.
 from __future__ import annotations
 
 #: Pairs and words are kept up to KEEP, compiled states up to STATES; beyond it they are forgotten and compiled again.
-KEEP, STATES = 100_000, 120_000
+KEEP, STATES = 400_000, 400_000
 SYMBOLS = 0x110000
 
 
