@@ -2,6 +2,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+import corpus_pipeline
 from wareloom.llm import linear, mixing, ngrams, quality, toxicity
 from wareloom.llm.words import BATCH_BYTES
 
@@ -131,3 +132,23 @@ def test_mixture_edges(spark, tables):
     out = mixing.mixed(clash, tables[1], weights, low=1.0, high=2.0)
     assert out.columns == clash.columns and out.count() >= 6
     assert mixing.mix(docs.limit(0), tables[1], weights).collect() == []
+
+
+def test_pipeline_mixture_meets_its_weights(spark, tables, caplog):
+    """With the production weights, budget and bounds, on what the quality stage keeps."""
+    docs, labels = quality.keep_good(*tables), tables[1]
+    got = mixing.mix(docs, labels, corpus_pipeline.MIXTURE, corpus_pipeline.BUDGET, corpus_pipeline.LOW, corpus_pipeline.HIGH).toPandas()
+    reached = {d: (got.rate * got.n_tokens * got[f"p_{d}"]).sum() for d in mixing.DOMAINS}
+    total = sum(reached.values())
+    assert abs(total / got.n_tokens.sum() / corpus_pipeline.BUDGET - 1) < 0.005
+    for domain, weight in corpus_pipeline.MIXTURE.items():
+        assert abs(reached[domain] / total - weight) < 0.001
+    taken = {d: (got.copies * got.n_tokens * got[f"p_{d}"]).sum() for d in mixing.DOMAINS}
+    assert taken["toxic"] / sum(taken.values()) < 0.04
+    assert "mixture off its target" not in caplog.text
+
+
+def test_a_missed_mixture_is_reported(spark, caplog):
+    mass = spark.createDataFrame([(100, [0.5, 0.5]), (100, [0.9, 0.1])], "n_tokens long, p array<double>")
+    mixing.fit_rates(mass, [0.98, 0.02], 1.05, 1.0, 2.0)
+    assert "mixture off its target" in caplog.text
