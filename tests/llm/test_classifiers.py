@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -152,3 +154,30 @@ def test_a_missed_mixture_is_reported(spark, caplog):
     mass = spark.createDataFrame([(100, [0.5, 0.5]), (100, [0.9, 0.1])], "n_tokens long, p array<double>")
     mixing.fit_rates(mass, [0.98, 0.02], 1.05, 1.0, 2.0)
     assert "mixture off its target" in caplog.text
+
+
+def test_training_bounds_are_the_first_ones():
+    assert (quality.MAX_TRAIN, toxicity.MAX_TRAIN, mixing.MAX_TRAIN) == (12_000, 8_000, 6_000)
+
+
+def test_fit_holds_no_second_copy_of_the_rows():
+    """Peak of a fit beside its rows: less than half of what they take."""
+    rng = np.random.default_rng(5)
+    rows = [(np.sort(rng.choice(linear.SIZE, 4000, False)).astype(np.int32), rng.random(4000, np.float32)) for _ in range(1500)]
+    sets = [f for f, _ in rows]
+    y = np.arange(1500) % 2
+    size = sum(f.nbytes + v.nbytes for f, v in rows)
+    for fit, most in ((lambda: linear._fit(rows, np.zeros((1500, 0)), y), size / 2),
+                      (lambda: quality.dual_coordinate_descent(sets, y, quality.log_ratio(sets, y)), size / 2)):
+        tracemalloc.start()
+        fit()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+
+
+def test_flat_rows_keep_their_features():
+    frames = [pd.DataFrame({"doc_id": [3, 1], "y": [0, 1], "f": [np.arange(2, dtype=np.int32).tobytes(), b""]}),
+              pd.DataFrame({"doc_id": [2], "y": [1], "f": [np.arange(5, dtype=np.int32).tobytes()]})]
+    held, rows = ngrams.flat(iter(frames), {"f": np.int32}, ["doc_id", "y"])
+    assert held.doc_id.tolist() == [1, 2, 3] and [r[0].tolist() for r in rows] == [[], [0, 1, 2, 3, 4], [0, 1]]

@@ -87,29 +87,28 @@ class Model:
 
 def _fit(rows, extra: np.ndarray, y: np.ndarray) -> Model:
     seen = np.zeros((2, SIZE))
-    for c in (0, 1):
-        own = [f for (f, _), k in zip(rows, y) if k == c]
-        if own:
-            seen[c] = np.bincount(np.concatenate(own), minlength=SIZE)
+    for (f, _), k in zip(rows, y):
+        seen[int(k > 0)][f] += 1  # a text's features are distinct
     share = np.log(seen + 0.5) - np.log((seen + 0.5).sum(axis=1, keepdims=True))
     ratio = np.where(seen.any(axis=0), share[1] - share[0], 0.0)
     sign = np.where(y > 0, 1.0, -1.0)
     bound = 0.5 / np.maximum(np.where(y > 0, y.mean(), 1 - y.mean()), 1e-9)
-    x = [v * ratio[f].astype(np.float32) for f, v in rows]
-    norm = np.array([float(v @ v) for v in x]) + (extra * extra).sum(axis=1) + 1.0
+    # Scaled rows are not kept: w stands for the weights times the ratios.
+    square = ratio * ratio
+    norm = np.array([float((v * v) @ square[f]) for f, v in rows]) + (extra * extra).sum(axis=1) + 1.0
     w, more, b = np.zeros(SIZE), np.zeros(extra.shape[1]), 0.0
     alpha, rng = np.zeros(len(rows)), np.random.default_rng(1)
     for _ in range(PASSES):
         for i in rng.permutation(len(rows)):
-            f = rows[i][0]
-            new = min(max(alpha[i] - (sign[i] * (w[f] @ x[i] + extra[i] @ more + b) - 1) / norm[i], 0.0), bound[i])
+            f, v = rows[i]
+            new = min(max(alpha[i] - (sign[i] * (w[f] @ v + extra[i] @ more + b) - 1) / norm[i], 0.0), bound[i])
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[f] += step * x[i]
+                w[f] += step * (square[f] * v)
                 more += step * extra[i]
                 b += step
                 alpha[i] = new
-    return Model((w * ratio).astype(np.float32), more, b)
+    return Model(w.astype(np.float32), more, b)
 
 
 def out_of_fold(rows, extra: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tuple[Model, np.ndarray]:

@@ -36,7 +36,7 @@ from . import linear, toxicity
 from .common import col, ship, trim, wrapped, written
 
 DOMAINS = ("good", "poor", "toxic")
-MAX_TRAIN = 3_000
+MAX_TRAIN = 6_000
 STEPS = 150
 #: Steps after which the fit writes down where each row stands, so that a step costs the same however many came before.
 NOTED = 25
@@ -61,13 +61,12 @@ def fit_posteriors(docs: DataFrame, domains: DataFrame, k: int, limit: int = MAX
     data = toxicity.training_features(docs, sample, ["domain"])
 
     def learn(frames):
-        frames = list(frames)
-        if not frames:
-            return
         rows, y, folds = toxicity.training_rows(frames, ["domain"])
+        if not len(rows):
+            return
         own = np.stack([(y[:, 0] == c).astype(int) for c in range(k)], axis=1)
         models = pickle.dumps([toxicity.fit_chain(rows, own[:, [c]], folds)[0] for c in range(k)])
-        del rows, frames
+        del rows
         trim()
         yield pd.DataFrame({"models": [models]})
 

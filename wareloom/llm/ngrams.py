@@ -70,6 +70,21 @@ def sets(texts: pd.Series) -> list[np.ndarray]:
     return out
 
 
+def flat(frames, columns: dict[str, type], by: list[str]) -> tuple[pd.DataFrame, list[tuple[np.ndarray, ...]]]:
+    """(other columns, rows of views into flat arrays), ordered by columns; no frame outlives its turn."""
+    rest, rows = [], []
+    for f in frames:
+        data = [np.frombuffer(b"".join(f[c]), kind) for c, kind in columns.items()]
+        cut = np.cumsum(f[next(iter(columns))].str.len().to_numpy(np.int64) // np.dtype(next(iter(columns.values()))).itemsize)
+        rows += zip(*[np.split(x, cut[:-1]) for x in data]) if len(f) else []
+        rest.append(f.drop(columns=list(columns)))
+        del data
+    if not rest:
+        return pd.DataFrame(columns=by), []
+    held = pd.concat(rest, ignore_index=True).sort_values(by, kind="stable")
+    return held, [rows[i] for i in held.index]
+
+
 def margins(texts: pd.Series, weights: np.ndarray, unit: bool = True) -> np.ndarray:
     """texts x models: sums of the weights (models x DIMENSIONS) over a text's features, divided by the set's norm."""
     out = []

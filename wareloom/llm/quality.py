@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import ngrams
 from .common import col, ship, trim, written
 
-MAX_TRAIN = 6_000
+MAX_TRAIN = 12_000
 PASSES = 12
 COST = 1.0
 THRESHOLD = 0.3
@@ -52,27 +52,29 @@ def sample_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
 def log_ratio(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Log of the classes' smoothed feature shares; 0 for features that no training row has."""
     n = np.zeros((2, ngrams.DIMENSIONS))
-    for c in (0, 1):
-        n[c] = np.bincount(np.concatenate([s for s, own in zip(sets, y) if own == c]), minlength=ngrams.DIMENSIONS)
+    for s, own in zip(sets, y):
+        n[int(own)][s] += 1  # a set's features are distinct
     share = np.log(n + 1) - np.log((n + 1).sum(axis=1, keepdims=True))
     return np.where(n.any(axis=0), share[1] - share[0], 0.0)
 
 
 def dual_coordinate_descent(sets: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, seed: int = 1) -> tuple[np.ndarray, float]:
-    """Weights and intercept of the L1-loss support vector machine; classes weigh the same in total."""
+    """Weights times ratios and intercept of the L1-loss support vector machine; classes weigh the same in total."""
     sign = np.where(y > 0, 1.0, -1.0)
     share = np.where(y > 0, y.mean(), 1 - y.mean())
     bound = COST * 0.5 / np.maximum(share, 1e-9)
-    x = [(ratio[s] / np.sqrt(max(len(s), 1))).astype(np.float32) for s in sets]
-    norm = np.array([float(v @ v) for v in x]) + 1.0
+    # Scaled rows are not kept beside the sets: w stands for the weights times the ratios.
+    square = ratio * ratio
+    unit = np.array([1 / np.sqrt(max(len(s), 1)) for s in sets])
+    norm = np.array([square[s].sum() for s in sets]) * unit * unit + 1.0
     w, b, alpha, rng = np.zeros(len(ratio)), 0.0, np.zeros(len(sets)), np.random.default_rng(seed)
     for _ in range(PASSES):
         for i in rng.permutation(len(sets)):
-            gradient = sign[i] * (w[sets[i]] @ x[i] + b) - 1
+            gradient = sign[i] * (w[sets[i]].sum() * unit[i] + b) - 1
             new = min(max(alpha[i] - gradient / norm[i], 0.0), bound[i])
             step = (new - alpha[i]) * sign[i]
             if step:
-                w[sets[i]] += step * x[i]
+                w[sets[i]] += step * unit[i] * square[sets[i]]
                 b += step
                 alpha[i] = new
     return w, b
@@ -106,22 +108,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
                                 "features": [s.astype(np.int32).tobytes() for s in ngrams.sets(f["text"])]})
 
     def learn(frames):
-        frames = list(frames)
-        if not frames:
+        rows, sets = ngrams.flat(frames, {"features": np.int32}, ["doc_id", "y"])
+        if not len(rows):
             return
-        rows = pd.concat(frames).sort_values(["doc_id", "y"])
-        sets = [np.frombuffer(b, np.int32) for b in rows["features"]]
+        sets = [s for s, in sets]
         y, curve = rows["y"].to_numpy(), rows["curve"].to_numpy()
         own = np.flatnonzero(~curve)
         if len(set(y[own])) < 2:
             return
         ratio = log_ratio([sets[i] for i in own], y[own])
-        w, b = dual_coordinate_descent([sets[i] for i in own], y[own], ratio)
-        scaled = w * ratio
+        scaled, b = dual_coordinate_descent([sets[i] for i in own], y[own], ratio)
         held = np.flatnonzero(curve) if len(set(y[curve])) == 2 else own
         margin = np.array([scaled[sets[i]].sum() / np.sqrt(max(len(sets[i]), 1)) for i in held]) + b
         slope, offset = logistic_curve(margin, y[held])
-        del rows, sets, frames
+        del rows, sets
         trim()
         yield pd.DataFrame({"model": [json.dumps([b, slope, offset])], "weights": [scaled.astype(np.float32).tobytes()]})
 

@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import linear
+from . import linear, ngrams
 from .common import col, ship, trim, written
 from .quality import fold
 
 #: (category, column of labels, value that means the category)
 CHAIN = (("poor", "quality", 0), ("toxic", "toxic", 1))
-MAX_TRAIN = 4_000
+MAX_TRAIN = 8_000
 THRESHOLD = 0.5
 
 
@@ -79,8 +79,9 @@ def training_features(docs: DataFrame, sample: DataFrame, labels: list[str]) ->
 
 def training_rows(frames, labels: list[str]):
     """(rows, labels, folds) in an order of their own."""
-    f = pd.concat(list(frames)).sort_values(["doc_id", *labels])
-    rows = [(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in zip(f["feature"], f["value"])]
+    f, rows = ngrams.flat(frames, {"feature": np.int32, "value": np.float32}, ["doc_id", *labels])
+    if not rows:
+        return [], np.zeros((0, len(labels)), int), np.zeros(0, np.uint64)
     folds = pd.util.hash_array(f["doc_id"].to_numpy().astype(np.int64)) % np.uint64(linear.FOLDS)
     return rows, f[labels].to_numpy(), folds
 
@@ -91,10 +92,10 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN, limit: int = MAX_TRAIN)
     data = training_features(docs, labelled(labels, chain, limit), names)
 
     def learn(frames):
-        frames = list(frames)
-        if frames:
-            models = pickle.dumps(fit_chain(*training_rows(frames, names)))
-            del frames
+        data = training_rows(frames, names)
+        if len(data[0]):
+            models = pickle.dumps(fit_chain(*data))
+            del data
             trim()
             yield pd.DataFrame({"models": [models]})
 
