@@ -79,3 +79,23 @@ def test_hashes_do_not_depend_on_the_batch():
 
 def test_empty(spark):
     assert passages.dedup(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_a_frequent_phrase_is_spread_over_groups(spark, monkeypatch):
+    """A phrase of 18 words among different words: as if of very many contents, against brute force."""
+    monkeypatch.setattr(passages, "SPLIT", 20)
+    rng, phrase = random.Random(8), " ".join(f"p{i}" for i in range(18))
+    around = lambda: " ".join(f"x{rng.randint(0, 10**6)}" for _ in range(25))
+    rows = [(i, f"{around()} {phrase} {around()}", "x", 1) for i in range(150)]
+    rows += [(500 + i, r[1] + " " + around(), "x", 1) for i, r in enumerate(rows[:60])] + [(900 + i, *r[1:]) for i, r in enumerate(corpus(3, words=40))]
+    assert got(passages.dedup(spark.createDataFrame(rows, SCHEMA).repartition(3))) == brute(rows)
+    with np.errstate(over="ignore"):
+        words = Words([r[1].encode() for r in rows])
+        _, _, _, h, u = passages.blocks(words, Rolled(words.hash), 20)
+        often = passages.contents(h, u)
+        hot = often.h[often.n >= 20].to_numpy().view(np.uint64)
+        mine = np.isin(h, hot)
+        assert len(hot) and len(set(passages.dealt(h[mine], u[mine], 64, hot))) > 16
+        assert (passages.dealt(h, u, 64, hot)[~mine] == h[~mine] % np.uint64(64)).all()
+        same = np.full(1000, h[0])  # windows of one gram
+        assert len(set(passages.dealt(same, np.arange(1000).astype(np.uint64), 64, None))) == 64

@@ -10,7 +10,9 @@ already a sequence of blocks, and each block that the index holds earlier extend
 where the next block is new. There, at factor boundaries, single windows may still be repeated; they all share their gram
 with a different block, so exactly the windows of grams with more than one content are looked up one by one.
 
-Spark deals blocks by gram. Each task first settles the repetitions among the documents it has read and sends on
+Spark deals blocks by gram, and those of a gram with very many contents (``SPLIT``; a first pass over the texts counts
+them) by gram and content: such a gram is known to have several contents, so its blocks need not meet. Single windows
+are dealt by their own hash, as only equal ones must meet. Each task first settles the repetitions among the documents it has read and sends on
 only the earliest of equal blocks, so that a passage found in a third of all documents costs its group one row a
 batch. Contents are compared by 64-bit hashes within one gram only (itself 64 bits).
 
@@ -38,6 +40,11 @@ GRAM = 8
 GROUP_BYTES = 24 << 20
 #: Blocks of one task that are settled and packed together.
 PACK = 2_000_000
+#: A gram of so many contents is dealt by content. Counted are those of each pack with OFTEN contents or more, so a gram that
+#: stays whole has less than SPLIT + OFTEN * packs.
+SPLIT, OFTEN = 1 << 14, 8
+#: Windows of one group in the second pass, about.
+GROUP_WINDOWS = 1 << 20
 
 
 def sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -83,11 +90,27 @@ def later(h, u, did, a) -> tuple[np.ndarray, np.ndarray]:
     return order, (did != did[lead]) | (a != a[lead])
 
 
-def packed(did, th, doc, a, e, h, u, groups: int) -> pd.DataFrame:
-    """(pid, payload): repetitions within the batch are settled, the rest is packed by group of grams."""
+def dealt(h: np.ndarray, u: np.ndarray, groups: int, hot: np.ndarray | None) -> np.ndarray:
+    """Group of each block: by gram, those of hot grams (or all, without hot) by gram and content."""
+    own = scramble(h * np.uint64(3) + u)
+    return ((own if hot is None else np.where(np.isin(h, hot), own, h)) % np.uint64(groups)).astype(np.int64)
+
+
+def contents(h: np.ndarray, u: np.ndarray) -> pd.DataFrame:
+    """(h, n): grams of a pack with OFTEN contents or more."""
+    order = np.lexsort((u, h))
+    h, u = h[order], u[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (u[1:] != u[:-1])
+    gram, n = np.unique(h[new], return_counts=True)
+    return pd.DataFrame({"h": gram[n >= OFTEN].view(np.int64), "n": n[n >= OFTEN]})
+
+
+def packed(did, th, doc, a, e, h, u, groups: int, hot: np.ndarray | None) -> pd.DataFrame:
+    """(pid, payload): repetitions within the batch are settled, the rest is packed by group."""
     order, dup = later(h, u, did[doc], a)
     doc, a, e, h, u = doc[order], a[order], e[order], h[order], u[order]
-    pid = (h % np.uint64(groups)).astype(np.int64)
+    pid = dealt(h, u, groups, hot)
     order = np.lexsort((dup, pid))
     doc, a, e, h, u, pid, dup = (x[order] for x in (doc, a, e, h, u, pid, dup))
     edges = np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1]))) if len(pid) else []
@@ -102,18 +125,18 @@ def packed(did, th, doc, a, e, h, u, groups: int) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["pid", "payload"])
 
 
-def gathered(parts, groups: int):
+def gathered(parts, pack):
     """Batches' blocks, packed some PACK at a time."""
     held, docs, size = [], 0, 0
     for did, th, doc, a, e, h, u in parts:
         if size and size + len(a) > PACK:
-            yield packed(*map(np.concatenate, zip(*held)), groups)
+            yield pack(*map(np.concatenate, zip(*held)))
             held, docs, size = [], 0, 0
         held.append((did, th, doc + docs, a, e, h, u))
         docs += len(did)
         size += len(a)
     if held:
-        yield packed(*map(np.concatenate, zip(*held)), groups)
+        yield pack(*map(np.concatenate, zip(*held)))
 
 
 def unpacked(payload: bytes):
@@ -134,8 +157,11 @@ def unpacked(payload: bytes):
 SPANS = "did long, th long, a int, e int, h long"
 
 
-def settle(frame: pd.DataFrame) -> pd.DataFrame:
-    """Spans that stand earlier elsewhere (h null), and the earliest blocks of grams with several contents."""
+def settle(frame: pd.DataFrame, hot: np.ndarray | None = None) -> pd.DataFrame:
+    """Spans that stand earlier elsewhere (h null), and the earliest blocks of grams with several contents.
+
+    Hot grams have several. Without hot (single windows) the earliest are not listed.
+    """
     parts = [unpacked(p) for p in frame["payload"]]
     fresh = [(d[: len(h)], t[: len(h)], a[: len(h)], e[: len(h)], h, u) for d, t, a, e, h, u in parts]
     known = [(d[len(h) :], t[len(h) :], a[len(h) :], e[len(h) :]) for d, t, a, e, h, u in parts]
@@ -149,7 +175,7 @@ def settle(frame: pd.DataFrame) -> pd.DataFrame:
     content = np.ones(len(h), bool)
     content[1:] = new[1:] | (u[1:] != u[:-1])
     np.add.at(same, gram[content], 1)
-    edge = ~dup & (same[gram] > 1)
+    edge = ~dup & ((same[gram] > 1) | np.isin(h, hot)) if hot is not None else np.zeros(len(h), bool)
     columns = [np.concatenate([x[dup], *[k[i] for k in known], x[edge]]) for i, x in enumerate((did, th, a, e))]
     plain = len(columns[0]) - int(edge.sum())
     out = pd.DataFrame({"did": columns[0], "th": columns[1], "a": columns[2].astype(np.int32), "e": columns[3].astype(np.int32)})
@@ -181,16 +207,24 @@ def spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     size = docs.agg(F.sum(F.octet_length(col("text")).cast("long"))).first()[0] or 0
     groups = max(4 * partitions(spark), -(-size // GROUP_BYTES))
 
-    def parse(frames):
-        def parts():
-            for frame in frames:
-                frame = frame.drop_duplicates(["did", "th"])
-                for did, th, words, rolled, _ in _texts(frame):
-                    doc, a, e, h, u = blocks(words, rolled, width)
-                    yield did, th, doc, a - words.first[doc], e - words.first[doc], h, u
+    def parsed(frames):
+        for frame in frames:
+            frame = frame.drop_duplicates(["did", "th"])
+            for did, th, words, rolled, _ in _texts(frame):
+                doc, a, e, h, u = blocks(words, rolled, width)
+                yield did, th, doc, a - words.first[doc], e - words.first[doc], h, u
+
+    def count(frames):
+        with np.errstate(over="ignore"):
+            yield from gathered(parsed(frames), lambda did, th, doc, a, e, h, u: contents(h, u))
 
+    often = texts.mapInPandas(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(f"n >= {SPLIT}")
+    # Bounded by the number of blocks divided by SPLIT.
+    shared = spark.sparkContext.broadcast(np.array([r.h for r in often.select("h").collect()], np.int64).view(np.uint64))
+
+    def parse(frames):
         with np.errstate(over="ignore"):
-            yield from gathered(parts(), groups)
+            yield from gathered(parsed(frames), lambda *x: packed(*x, groups, shared.value))
 
     def boundaries(frames):
         def parts():
@@ -209,13 +243,21 @@ def spans(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
                     yield did, th, doc, a, a + width, h.view(np.uint64), u
 
         with np.errstate(over="ignore"):
-            yield from gathered(parts(), groups)
+            yield from gathered(parts(), lambda *x: packed(*x, many, None))
+
+    def first(frame: pd.DataFrame) -> pd.DataFrame:
+        return settle(frame, shared.value)
+
+    def second(frame: pd.DataFrame) -> pd.DataFrame:
+        return settle(frame)
 
-    deal = lambda df: df.groupBy("pid").applyInPandas(settle, SPANS)
-    found = written(deal(texts.mapInPandas(parse, "pid int, payload binary")), "passages")
+    payload = "pid int, payload binary"
+    found = written(texts.mapInPandas(parse, payload).groupBy("pid").applyInPandas(first, SPANS), "passages")
+    windows = found.where("h IS NOT NULL").agg(F.sum(F.expr(f"cast(e - a - {width - 1} AS bigint)"))).first()[0] or 0
+    many = max(4 * partitions(spark), -(-windows // GROUP_WINDOWS))
     edges = found.where("h IS NOT NULL").groupBy("did", "th").agg(
         F.collect_list("a").alias("a"), F.collect_list("e").alias("e"), F.collect_list("h").alias("h"))
-    again = deal(edges.join(texts, ["did", "th"]).mapInPandas(boundaries, "pid int, payload binary"))
+    again = edges.join(texts, ["did", "th"]).mapInPandas(boundaries, payload).groupBy("pid").applyInPandas(second, SPANS)
     whole = found.where("h IS NULL").drop("h").unionByName(again.where("h IS NULL").drop("h"))
     return texts, whole
 
