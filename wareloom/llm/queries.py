@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_copies, mixing, near_copies, passages, pieces, quality, sharding, token_counts, toxicity, vector_search
+from . import (
+    exact_copies, lines, mixing, near_copies, passages, pieces, quality, repair, sharding, spelling, token_counts, toxicity, vector_search,
+)
 from .common import read
 
 
@@ -62,5 +64,17 @@ def op10_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_range_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(read(spark, sf_dir, "documents"))
+
+
+def op12_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
+def op13_composed_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read(spark, sf_dir, "documents"))
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .sql_text import OP11, OP12, OP13, crc_table
+
 #: op1: quadratic rounds modulo 2^31-1; coefficients follow from the seed by x -> 48271 x, every fifth value.
 _PRIME = 2147483647
 
@@ -26,16 +28,6 @@ def _feistel(source: str, value: str) -> str:
     return f"SELECT n, a, b, id, l6 * b + r6 AS q FROM ({q})"
 
 
-def _crc_table() -> list[int]:
-    """The byte table of the reflected polynomial 0xEDB88320."""
-    table = []
-    for v in range(256):
-        for _ in range(8):
-            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
-        table.append(v)
-    return table
-
-
 OP1 = f"""
 WITH RECURSIVE docs AS (
   SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
@@ -43,7 +35,7 @@ WITH RECURSIVE docs AS (
   SELECT doc_id, length(h) // 2 + 1 AS size,
     xor(list_reduce([4294967295] || list_transform(range(length(h) // 2),
       lambda i: ('0x' || substr(h, 2 * i::BIGINT + 1, 2))::BIGINT),
-      lambda c, x: xor(c // 256, {_crc_table()}[1 + xor(c % 256, x)])), 4294967295) AS text_crc32
+      lambda c, x: xor(c // 256, {crc_table()}[1 + xor(c % 256, x)])), 4294967295) AS text_crc32
   FROM docs
 ), placed AS (
   SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS id FROM slim
@@ -102,4 +94,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def all_sql() -> dict[str, str]:
-    return {"op1_feistel_shards": OP1, "op4_block_join_neighbours": OP4, "op6_rlz_substring_dedup": OP6, "op7_stream_exact_dedup": OP7}
+    return {
+        "op1_feistel_shards": OP1, "op4_block_join_neighbours": OP4, "op6_rlz_substring_dedup": OP6, "op7_stream_exact_dedup": OP7,
+        "op11_range_line_dedup": OP11, "op12_four_russians_repair": OP12, "op13_composed_spelling": OP13,
+    }
