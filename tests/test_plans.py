@@ -83,16 +83,58 @@ def test_exact_quantiles_with_a_hot_value(spark):
     assert got == {0.25: 5.0, 0.75: 2249.0}
 
 
-@pytest.mark.parametrize("kind,function", [("row_number", F.row_number), ("rank", F.rank), ("dense_rank", F.dense_rank)])
-def test_value_rank_equals_a_window(spark, kind, function):
+KINDS = [("row_number", F.row_number), ("rank", F.rank), ("dense_rank", F.dense_rank)]
+
+
+def _skewed(spark, case):
+    """9,000 rows whose values would fill one equal-width step: ties, an outlier, one large group, none of it, null groups."""
+    i = F.col("id")
+    value = {
+        "even": i * 37 % 101, "ties": F.when(i % 10 == 0, i).otherwise(7), "extreme": F.when(i == 3, 10**15).otherwise(i * 7919 % 9000),
+        "large_group": i * 31 % 6007, "null_group": i % 997, "decimal": (i * 37 % 1009).cast("decimal(38,2)") / 4, "double": F.sqrt(i.cast("double")),
+    }[case]
+    group = {"large_group": F.when(i % 20 == 0, i % 40).otherwise(0), "null_group": F.when(i % 3 == 0, i % 2)}.get(case, i % 3)
+    return spark.range(9000).select("id", group.alias("g"), value.alias("v"), F.lit("x").alias("other"))
+
+
+@pytest.mark.parametrize("kind,function", KINDS)
+@pytest.mark.parametrize("case", ["even", "ties", "extreme", "large_group", "null_group", "decimal", "double"])
+def test_value_rank_equals_a_window(spark, kind, function, case):
+    from pyspark.sql import Window as W
+
+    df, descending = _skewed(spark, case), case != "decimal"
+    order = [F.desc("v") if descending else F.asc("v"), *(["id"] if kind == "row_number" else [])]
+    w = W.partitionBy("g")
+    size = F.size(F.collect_set("v").over(w)) if kind == "dense_rank" else F.count(F.lit(1)).over(w)
+    want = {r.id: (r.w, r.n) for r in df.select("id", function().over(w.orderBy(*order)).alias("w"), size.alias("n")).collect()}
+    got = ranking.value_rank(df, "v", ["id"], ["g"], kind=kind, descending=descending, steps=16)
+    assert got.columns == ["id", "g", "v", "other", "_rank", "_n"]
+    rows = got.collect()
+    assert len(rows) == 9000 and {r.id: (r._rank, r._n) for r in rows} == want
+
+
+@pytest.mark.parametrize("kind,function", KINDS)
+def test_value_rank_without_groups(spark, kind, function):
     from pyspark.sql import Window as W
 
-    df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"), (F.col("id") * 37 % 101).alias("v"))
-    order = [F.desc("v"), "id"] if kind == "row_number" else [F.desc("v")]
-    want = df.withColumn("w", function().over(W.partitionBy("g").orderBy(*order)))
-    got = ranking.value_rank(df, "v", ["id"], ["g"], kind=kind, buckets=16)
-    assert got.join(want.select("id", "w"), "id").where("w <> _rank").count() == 0
-    assert got.count() == 5000
+    df = _skewed(spark, "ties").drop("g")
+    order = [F.desc("v"), *(["id"] if kind == "row_number" else [])]
+    want = {r.id: r.w for r in df.select("id", function().over(W.orderBy(*order)).alias("w")).collect()}
+    assert {r.id: r._rank for r in ranking.value_rank(df, "v", ["id"], kind=kind, steps=16).collect()} == want
+    assert ranking.value_rank(df.limit(0), "v", ["id"], kind=kind).count() == 0
+
+
+@pytest.mark.parametrize("case", ["ties", "extreme", "large_group"])
+def test_no_step_is_twice_the_median(spark, case):
+    """Nine tenths of the rows equal, one value far off, nearly all rows in one group: window tasks stay even."""
+    keyed = _skewed(spark, case).withColumn("_key", F.struct("v", "id"))
+    if case != "large_group":
+        keyed = keyed.withColumn("g", F.lit(1))
+    sizes = sorted(r["count"] for r in ranking.stepped(keyed, ["g"], "_key", 16).where("g IN (0, 1)").groupBy("g", "_step").count().collect())
+    assert len(sizes) >= 13 and sizes[-1] < 2 * sizes[len(sizes) // 2]
+    counts = _skewed(spark, case).groupBy("g", F.col("v").alias("_key")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = sorted(r["count"] for r in ranking.stepped(counts, ["g"], "_key", 16).groupBy("g", "_step").count().collect())
+    assert sizes[-1] < 1.5 * counts.count() / 16 + 64
 
 
 def test_hash_rank_is_dense_over_many_buckets(spark, monkeypatch):

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wareloom.functions.draws import div
 
@@ -23,6 +24,8 @@ SMALL_TASK_ROWS = 50_000
 BROADCAST_BLOCKS = 262_144
 BUCKET_ROWS = 16_384    # aim of rows per hash bucket
 MAX_BUCKETS = 65_536
+STEPS = 256             # parts of a ranked table
+PER_STEP = 64           # sampled keys a part: sizes vary by an eighth
 
 
 def tasks_for(spark: SparkSession, n: int) -> int:
@@ -144,57 +147,110 @@ def sample_rows(df: DataFrame, draw: str, ties: list[str], k: int, n: int) -> Da
     return hash_rank(df, draw, ties, n, keep=k)
 
 
-def value_rank(
-    df: DataFrame, value: str, ties: list[str], group: list[str] | None = None,
-    kind: str = "row_number", descending: bool = True, buckets: int = 1024,
-) -> DataFrame:
-    """Add ``_rank`` of ``value`` and the group's size ``_n`` without one task per group.
+def stepped(df: DataFrame, group: list[str], key: str, steps: int = STEPS) -> DataFrame:
+    """Add ``_step``: groups with a large share of the rows are cut, in order of ``key``, into steps of about n / steps rows.
 
-    The value range of a group is cut into equal steps, rows are ranked inside a
-    step and shifted by what lies in the steps before. ``kind`` is row_number (ties
-    broken by ``ties``), rank or dense_rank (``_n`` then counts distinct values).
-    Values must not be NULL.
+    The cuts are every ``PER_STEP``-th of the keys of a sample that holds PER_STEP * steps rows on average, taken by hash of group
+    and key, so a step's size follows the rows and not the values. A group that is small beside all rows has no
+    cut and is one step. Equal rows share a step: rows that should part need distinct keys.
     """
-    group = group or []
-    v = F.col(value).cast("double")
-    bounds = df.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]).agg(
-        F.min(v).alias("_lo"), F.max(v).alias("_hi")
+    n = df.select(F.count(F.lit(1)).alias("n"))
+    hashed = F.pmod(F.xxhash64(*[F.col(g) for g in group], F.col(key), F.lit("step")), n.scalar())
+    ends = (
+        df.where(hashed < F.lit(PER_STEP * steps))
+        .groupBy(*[F.col(g).alias(f"_c{i}") for i, g in enumerate(group)])
+        .agg(F.sort_array(F.collect_list(key)).alias("_all"))
+        .withColumn("_cuts", F.filter("_all", lambda x, i: i % PER_STEP == PER_STEP - 1)).where(F.size("_cuts") > 0).drop("_all")
+        # Every sixteenth cut leads to the sixteen at most that are compared one by one.
+        .withColumn("_coarse", F.filter("_cuts", lambda x, i: i % 16 == 15))
     )
+    # At most ``steps`` cuts on average over all groups together, whatever the number of rows.
     if group:
-        keyed = df.join(bounds, _same(group))
+        joined = df.join(F.broadcast(ends), _same(group, "_c"), "left")
     else:
-        keyed = df.withColumns({"_lo": bounds.select("_lo").scalar(), "_hi": bounds.select("_hi").scalar()})
-    position = (F.col("_hi") - v if descending else v - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    step = F.least(F.floor(position * F.lit(buckets)), F.lit(buckets - 1))
-    keyed = keyed.withColumn("_step", F.when(F.col("_hi") > F.col("_lo"), step).otherwise(F.lit(0)).cast("int"))
-    keyed = keyed.drop("_lo", "_hi", *[f"_g{i}" for i in range(len(group))])
-    amount = F.countDistinct(value) if kind == "dense_rank" else F.count(F.lit(1))
-    sizes = keyed.groupBy(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_step").alias("_s")).agg(
-        amount.alias("_size")
-    )
-    # One row per group and step; the window of a group holds at most ``buckets`` rows.
-    before = W.partitionBy(*[f"_g{i}" for i in range(len(group))]).orderBy("_s").rowsBetween(
-        W.unboundedPreceding, W.currentRow
+        joined = df.withColumns({c: ends.select(c).scalar() for c in ("_cuts", "_coarse")})
+    below = lambda cuts: F.size(F.filter(cuts, lambda x: x < F.col(key)))
+    near = F.col("_near") * F.lit(16)
+    return (
+        joined.withColumn("_near", F.when(F.col("_cuts").isNotNull(), below(F.col("_coarse"))))
+        .withColumn("_step", F.when(
+            F.col("_near").isNotNull(), near + below(F.slice("_cuts", near + F.lit(1), F.lit(16)))).otherwise(F.lit(0)))
+        .drop("_cuts", "_coarse", "_near", *[f"_c{i}" for i in range(len(group))])
     )
+
+
+def _placed(things: DataFrame, group: list[str], key: str, weight: Column, steps: int) -> DataFrame:
+    """Add ``_first`` (1 + the weight of what has a smaller key), ``_dense`` and the group's ``_rows`` and ``_keys``; keys are distinct."""
+    parts = stepped(things.withColumn("_w", weight), group, key, steps)
+    w = W.partitionBy(*group, "_step").orderBy(key)
+    inner = parts.withColumns({
+        "_first": F.coalesce(F.sum("_w").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_dense": F.row_number().over(w).cast("bigint"),
+    })
+    # One row a group and step; a group's window holds its steps only.
+    names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    sizes = parts.groupBy(*names, F.col("_step").alias("_s")).agg(F.sum("_w").alias("_size"), F.count(F.lit(1)).alias("_count"))
     whole = W.partitionBy(*[f"_g{i}" for i in range(len(group))])
+    before = whole.orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.withColumns({
-        "_before": F.sum("_size").over(before) - F.col("_size"), "_n": F.sum("_size").over(whole)
-    }).drop("_size")
-    joined = keyed.join(offsets, _same(group) & (F.col("_step") == F.col("_s")) if group else F.col("_step") == F.col("_s"))
-    order = F.desc(value) if descending else F.asc(value)
-    if kind == "row_number":
-        inner = F.row_number().over(W.partitionBy(*group, "_step").orderBy(order, *ties))
-    else:
-        function = F.rank if kind == "rank" else F.dense_rank
-        inner = function().over(W.partitionBy(*group, "_step").orderBy(order))
-    out = joined.withColumn("_rank", F.col("_before") + inner)
-    return out.drop("_step", "_s", "_before", *[f"_g{i}" for i in range(len(group))])
+        "_before": F.coalesce(F.sum("_size").over(before), F.lit(0)), "_before_keys": F.coalesce(F.sum("_count").over(before), F.lit(0)),
+        "_rows": F.sum("_size").over(whole), "_keys": F.sum("_count").over(whole),
+    }).drop("_size", "_count")
+    out = inner.join(offsets, _same(group) & (F.col("_step") == F.col("_s")))
+    return out.withColumns({
+        "_first": F.col("_first") + F.col("_before") + F.lit(1), "_dense": F.col("_dense") + F.col("_before_keys"),
+    }).drop("_w", "_s", "_step", "_before", "_before_keys", *[f"_g{i}" for i in range(len(group))])
 
 
-def _same(group: list[str]) -> Column:
+def _ascending(df: DataFrame, value: str, descending: bool) -> Column:
+    """A key that grows as the rank does; the complement of a whole number cannot overflow."""
+    if not descending:
+        return F.col(value)
+    return F.bitwise_not(value) if isinstance(df.schema[value].dataType, T.IntegralType) else F.negative(value)
+
+
+def value_rank(
+    df: DataFrame, value: str, ties: list[str], group: list[str] | None = None,
+    kind: str = "row_number", descending: bool = True, steps: int = STEPS,
+) -> DataFrame:
+    """Add ``_rank`` of ``value`` and the group's size ``_n`` without one task per group.
+
+    ``kind`` is row_number (ties broken by ``ties``, which tell the rows of a group apart), rank or dense_rank (``_n`` then counts
+    distinct values). Groups are cut into steps of even size (see ``stepped``), ranked inside a step and shifted by what the
+    steps before hold. row_number cuts between rows, so equal values part by their ties. The others rank the distinct values,
+    each with its number of rows, and give the ranks back to the rows; a value that holds more than its share of them is dealt by a hash of
+    the ties. So neither one value in most rows nor an extreme one fills a task.
+    Values are numbers or dates and must not be NULL or NaN; a date ranks ascending.
+    """
+    group = group or []
+    if kind == "row_number":
+        keyed = df.withColumn("_key", F.struct(_ascending(df, value, descending).alias("v"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)]))
+        placed = _placed(keyed, group, "_key", F.lit(1).cast("bigint"), steps)
+        return placed.withColumnsRenamed({"_dense": "_rank", "_rows": "_n"}).drop("_key", "_first", "_keys")
+    names = [f"_v{i}" for i in range(len(group))]
+    counts = df.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)], _ascending(df, value, descending).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    placed = _placed(counts, names, "_key", F.col("_c"), steps)
+    ranks = placed.select(
+        *names, F.col("_key").alias("_value"), "_c",
+        *([F.col("_first").alias("_rank"), F.col("_rows").alias("_n")] if kind == "rank" else [F.col("_dense").alias("_rank"), F.col("_keys").alias("_n")]))
+    # Fewer than ``steps`` values can hold more than their share of all rows each.
+    total = counts.select(F.sum("_c").alias("n")).scalar()
+    large = F.col("_c") * F.lit(steps) > total
+    hot = counts.where(large).select(*[F.col(n).alias(f"_h{i}") for i, n in enumerate(names)], F.col("_key").alias("_hot"))
+    mine = df.withColumn("_key", _ascending(df, value, descending))
+    same_hot = _same(group, "_h") & (F.col("_key") == F.col("_hot"))
+    dealt = mine.join(F.broadcast(hot), same_hot, "left").withColumn(
+        "_deal", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*ties), F.lit(steps))).otherwise(F.lit(0)).cast("int")
+    ).drop("_hot", *[f"_h{i}" for i in range(len(group))])
+    copies = ranks.withColumn("_d", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(steps - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, _same(group, "_v") & (F.col("_key") == F.col("_value")) & (F.col("_deal") == F.col("_d"))).drop(
+        "_key", "_deal", "_value", "_c", "_d", *names)
+
+
+def _same(group: list[str], prefix: str = "_g") -> Column:
     cond = F.lit(True)
     for i, g in enumerate(group):
-        cond = cond & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+        cond = cond & F.col(g).eqNullSafe(F.col(f"{prefix}{i}"))
     return cond
 
 
