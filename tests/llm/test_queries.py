@@ -53,10 +53,20 @@ def test_pipeline_stage_by_stage(spark, folder):
     kept = {r.doc_id for r in near_copies.dedup(seen[2][1]).where("kept").collect()}
     assert after == [r for r in before if r[0] in kept] and len(after) < len(before)
     before, after = rows["mixture"]
-    assert set(before) == set(after) and len(after) >= len(before)
+    assert set(after) <= set(before)
+    rates = mixing.fit_rates(
+        mixing.posteriors(seen[3][1], mixing.fit_posteriors(spark.read.parquet(f"{folder}/documents.parquet"), mixing.label_domains(labels), 3), 3),
+        [corpus_pipeline.MIXTURE[d] for d in mixing.DOMAINS], corpus_pipeline.BUDGET).rate
+    models = mixing.fit_posteriors(spark.read.parquet(f"{folder}/documents.parquet"), mixing.label_domains(labels), 3)
+    rate = {r.doc_id: r.r for r in mixing.posteriors(seen[3][1], models, 3).selectExpr("doc_id", f"{rates} AS r").collect()}
+    taken = {i: 0 for i in rate}
+    for r in after:
+        taken[r[0]] += 1
+    assert all(abs(taken[i] - rate[i]) < 1 for i in rate)
     machine = pieces.compiled(open(vocabulary("piece_bpe_32k.model"), "rb").read())
     text = {r[0]: r[1] for r in after}
     final = seen[4][2].collect()
+    assert after and sorted(r.doc_id for r in final) == sorted(r[0] for r in after)
     assert len(final) == len(after)
     assert all(machine.decode(r.token_ids) == text[r.doc_id] and r.n_tokens == len(r.token_ids) for r in final)
 

@@ -2,7 +2,8 @@
 
 Features of a text: its words, lower-cased and without punctuation, their first 5, 6 and 7 bytes, what stands between a word and
 the next, and whether a word repeats the one before, all hashed; a feature's value is its occurrences per (words + 20) words times 50, so that long and short texts compare. Values are scaled by the classes'
-log-count ratio; weights come from dual coordinate descent on the hinge loss; margins of rows that a fold's model
+log-count ratio, which counts as far as the classes' shares of texts with the feature differ by more than ``NOISE`` standard errors: among
+many features of few labelled texts most ratios are chance. Weights come from dual coordinate descent on the hinge loss; margins of rows that a fold's model
 has not seen give the logistic curve that turns margins into probabilities.
 """
 
@@ -13,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 
-from .ngrams import PUNCTUATION, as_bytes
+from .ngrams import PUNCTUATION, SCORED, as_bytes
 from .quality import logistic_curve
 from .words import Rolled, Words, batches
 
@@ -22,6 +23,8 @@ SIZE = 1 << BITS
 BEGINNINGS = (5, 6, 7, 1 << 30)
 FOLDS = 5
 PASSES = 10
+#: A ratio counts in full from NOISE + 1 standard errors on, and not at all below NOISE.
+NOISE = 2.0
 
 
 def _hashed(group: list[bytes]):
@@ -45,7 +48,7 @@ def _hashed(group: list[bytes]):
 def densities(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
     """(features, values) of each text."""
     out = []
-    for group in batches(as_bytes(texts)):
+    for group in batches(as_bytes(texts), SCORED):
         words, kinds = _hashed(group)
         owner = words.text.astype(np.uint64) << np.uint64(BITS)
         key, times = np.unique(np.concatenate([owner | f for f in kinds]), return_counts=True)
@@ -59,7 +62,7 @@ def densities(texts: pd.Series) -> list[tuple[np.ndarray, np.ndarray]]:
 def margins(texts: pd.Series, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(texts x models margins without intercepts, words of each text); linear, so occurrences need not be counted."""
     out, sizes = [], []
-    for group in batches(as_bytes(texts)):
+    for group in batches(as_bytes(texts), SCORED):
         words, kinds = _hashed(group)
         kinds = [f.astype(np.int64) for f in kinds]
         rows = [np.bincount(words.text, weights=sum(w[f] for f in kinds), minlength=len(group)) for w in weights]
@@ -90,7 +93,11 @@ def _fit(rows, extra: np.ndarray, y: np.ndarray) -> Model:
     for (f, _), k in zip(rows, y):
         seen[int(k > 0)][f] += 1  # a text's features are distinct
     share = np.log(seen + 0.5) - np.log((seen + 0.5).sum(axis=1, keepdims=True))
-    ratio = np.where(seen.any(axis=0), share[1] - share[0], 0.0)
+    n1, n0 = (y > 0).sum(), (y <= 0).sum()
+    both = (seen.sum(axis=0) + 1) / (n1 + n0 + 2)
+    errors = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(both * (1 - both) * (1 / n1 + 1 / n0))
+    ratio = np.where(seen.any(axis=0), share[1] - share[0], 0.0) * np.clip(errors - NOISE, 0, 1)
+    rows = [(f[own], v[own]) for f, v in rows for own in (ratio[f] != 0,)]
     sign = np.where(y > 0, 1.0, -1.0)
     bound = 0.5 / np.maximum(np.where(y > 0, y.mean(), 1 - y.mean()), 1e-9)
     # Scaled rows are not kept: w stands for the weights times the ratios.
@@ -118,6 +125,9 @@ def out_of_fold(rows, extra: np.ndarray, y: np.ndarray, fold: np.ndarray) -> tup
         own, rest = np.flatnonzero(fold == k), np.flatnonzero(fold != k)
         if not len(own) or not len(rest):
             continue
+        if len(set(y[rest])) < 2:
+            margin[own] = 1.0 if y[rest[0]] > 0 else -1.0
+            continue
         margin[own] = _fit([rows[i] for i in rest], extra[rest], y[rest]).margin([rows[i] for i in own], extra[own])
     model = _fit(rows, extra, y)
     model.slope, model.offset = logistic_curve(margin, y)

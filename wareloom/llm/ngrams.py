@@ -14,6 +14,8 @@ from .words import Rolled, Words, batches, scramble
 
 WORD_BITS, GRAM_BITS = 18, 14
 REPEATS = 16
+#: Bytes of text that are taken apart at a time: each byte costs some two hundred for a moment.
+SCORED = 1 << 18
 DIMENSIONS = (1 << WORD_BITS) + (1 << GRAM_BITS) + REPEATS
 
 #: Words end at ASCII bytes that are no letters or digits.
@@ -64,7 +66,7 @@ def as_bytes(texts: pd.Series) -> list[bytes]:
 def sets(texts: pd.Series) -> list[np.ndarray]:
     """The features of each text."""
     out = []
-    for group in batches(as_bytes(texts)):
+    for group in batches(as_bytes(texts), SCORED):
         text, feature = indicators(group)
         out += np.split(feature, np.searchsorted(text, np.arange(1, len(group))))
     return out
@@ -88,7 +90,7 @@ def flat(frames, columns: dict[str, type], by: list[str]) -> tuple[pd.DataFrame,
 def margins(texts: pd.Series, weights: np.ndarray, unit: bool = True) -> np.ndarray:
     """texts x models: sums of the weights (models x DIMENSIONS) over a text's features, divided by the set's norm."""
     out = []
-    for group in batches(as_bytes(texts)):
+    for group in batches(as_bytes(texts), SCORED):
         text, feature = indicators(group)
         size = np.maximum(np.bincount(text, minlength=len(group)), 1)
         rows = [np.bincount(text, weights=w[feature], minlength=len(group)) for w in weights]
