@@ -13,10 +13,9 @@ from wareloom.llm import exact_copies, mixing, near_copies, pieces, quality
 from wareloom.llm.common import read, written
 from wareloom.llm.queries import vocabulary
 
-#: Wanted shares of tokens by domain, of BUDGET times the tokens that came in. Rates may fall to 0, as in op3, or else
-#: toxic and poor texts could not become fewer; a share that stays out of reach is logged.
+#: Wanted shares of tokens by domain, of BUDGET times the tokens that came in; a share that stays out of reach is logged.
 MIXTURE = {"good": 0.97, "poor": 0.01, "toxic": 0.02}
-BUDGET, LOW, HIGH = 1.05, 0.0, 4.0
+BUDGET = 1.05
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +34,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are left out, kept or repeated as their fitted rates say."""
-    return mixing.mixed(docs, read(spark, sf_dir, "labels"), MIXTURE, BUDGET, LOW, HIGH)
+    """Documents are left out, kept or repeated as their fitted rates say.
+
+    Domains are learned from all labelled documents: the stages before have removed most poor ones.
+    """
+    return mixing.mixed(docs, read(spark, sf_dir, "labels"), MIXTURE, BUDGET, taught=read(spark, sf_dir, "documents"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
