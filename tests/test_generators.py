@@ -209,3 +209,39 @@ def test_known_rows_match(spark, base):
         for name, df in tables.items():
             n = dataset.known_rows(GenConfig(industry), name)
             assert n is None or n == df.count(), name
+
+
+def test_gaps_between_given_keys_change_nothing(spark, folder, tmp_path):
+    """Keys times 7, shifted and shuffled, generate what dense keys do: rows follow the rank of the key."""
+    from wareloom.plans import scaled
+
+    for t, key in scaled.COUNTED.items():
+        df = spark.read.parquet(f"{folder}/{t}.parquet")
+        df.withColumn(key, F.col(key) * 7 - 1000).orderBy(F.rand(3)).write.parquet(f"{tmp_path}/{t}.parquet")
+    for industry in ("retail", "ecommerce", "logistics"):
+        dense, sparse = (dataset.generate(spark, scaled.config(spark, str(d), industry)) for d in (folder, tmp_path))
+        for name in dense:
+            assert dense[name].exceptAll(sparse[name]).isEmpty() and sparse[name].count() == dense[name].count(), name
+    assert dense.keys() == sparse.keys()
+    lines = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    assert dataset.table(spark, scaled.config(spark, folder, "retail"), "fact_sales").count() == lines
+
+
+def test_dense_index(spark):
+    from wareloom.operators.ranking import dense_index
+
+    keys = sorted({(-1) ** i * i**5 for i in range(3000)} | set(range(5000, 9000)))
+    df = spark.createDataFrame([(k,) for k in keys], "k long").orderBy(F.rand(1))
+    got = {r.key: r["index"] for r in dense_index(spark, df, keys[0], keys[-1]).collect()}
+    assert got == {k: i + 1 for i, k in enumerate(keys)}
+
+
+def test_sizes_follow_the_files(spark, folder, tmp_path):
+    """A folder that changes within a session is measured again."""
+    from wareloom.plans import scaled
+
+    for t in scaled.COUNTED:
+        spark.read.parquet(f"{folder}/{t}.parquet").limit(50).write.parquet(f"{tmp_path}/{t}.parquet")
+    assert scaled.extent(spark, str(tmp_path)).counts["part"] == 50
+    spark.read.parquet(f"{folder}/part.parquet").limit(70).write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
+    assert scaled.extent(spark, str(tmp_path)).counts["part"] == 70

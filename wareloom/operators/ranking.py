@@ -107,6 +107,16 @@ def expand_with_running_id(
     )
 
 
+def dense_index(spark: SparkSession, keys: DataFrame, low: int, high: int) -> DataFrame:
+    """(key, index) of distinct whole numbers in [low, high]: their place in ascending order, from 1.
+
+    Keys are counted per block of neighbouring values, so any gaps between them cost nothing and no sort spans the table.
+    """
+    shifted = keys.select((F.col(keys.columns[0]).cast("bigint") - F.lit(low)).alias("position"))
+    ranked = expand_with_running_id(spark, high - low + 1, lambda _: F.lit(1), source=shifted)
+    return ranked.select((F.col("position") + F.lit(low)).alias("key"), F.col("running_id").alias("index"))
+
+
 def _bucket_bits(n: int) -> int:
     bits = 0
     while (1 << bits) < MAX_BUCKETS and (n >> bits) > BUCKET_ROWS:
@@ -223,28 +233,28 @@ def value_rank(
     """
     group = group or []
     if kind == "row_number":
-        keyed = df.withColumn("_key", F.struct(_ascending(df, value, descending).alias("v"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)]))
-        placed = _placed(keyed, group, "_key", F.lit(1).cast("bigint"), steps)
-        return placed.withColumnsRenamed({"_dense": "_rank", "_rows": "_n"}).drop("_key", "_first", "_keys")
+        keyed = df.withColumn("_rank_key", F.struct(_ascending(df, value, descending).alias("v"), *[F.col(t).alias(f"t{i}") for i, t in enumerate(ties)]))
+        placed = _placed(keyed, group, "_rank_key", F.lit(1).cast("bigint"), steps)
+        return placed.withColumnsRenamed({"_dense": "_rank", "_rows": "_n"}).drop("_rank_key", "_first", "_keys")
     names = [f"_v{i}" for i in range(len(group))]
-    counts = df.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)], _ascending(df, value, descending).alias("_key")).agg(
+    counts = df.groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)], _ascending(df, value, descending).alias("_rank_key")).agg(
         F.count(F.lit(1)).alias("_c"))
-    placed = _placed(counts, names, "_key", F.col("_c"), steps)
+    placed = _placed(counts, names, "_rank_key", F.col("_c"), steps)
     ranks = placed.select(
-        *names, F.col("_key").alias("_value"), "_c",
+        *names, F.col("_rank_key").alias("_rank_value"), "_c",
         *([F.col("_first").alias("_rank"), F.col("_rows").alias("_n")] if kind == "rank" else [F.col("_dense").alias("_rank"), F.col("_keys").alias("_n")]))
     # Fewer than ``steps`` values can hold more than their share of all rows each.
     total = counts.select(F.sum("_c").alias("n")).scalar()
     large = F.col("_c") * F.lit(steps) > total
-    hot = counts.where(large).select(*[F.col(n).alias(f"_h{i}") for i, n in enumerate(names)], F.col("_key").alias("_hot"))
-    mine = df.withColumn("_key", _ascending(df, value, descending))
-    same_hot = _same(group, "_h") & (F.col("_key") == F.col("_hot"))
+    hot = counts.where(large).select(*[F.col(n).alias(f"_h{i}") for i, n in enumerate(names)], F.col("_rank_key").alias("_hot"))
+    mine = df.withColumn("_rank_key", _ascending(df, value, descending))
+    same_hot = _same(group, "_h") & (F.col("_rank_key") == F.col("_hot"))
     dealt = mine.join(F.broadcast(hot), same_hot, "left").withColumn(
         "_deal", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*ties), F.lit(steps))).otherwise(F.lit(0)).cast("int")
     ).drop("_hot", *[f"_h{i}" for i in range(len(group))])
     copies = ranks.withColumn("_d", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(steps - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copies, _same(group, "_v") & (F.col("_key") == F.col("_value")) & (F.col("_deal") == F.col("_d"))).drop(
-        "_key", "_deal", "_value", "_c", "_d", *names)
+    return dealt.join(copies, _same(group, "_v") & (F.col("_rank_key") == F.col("_rank_value")) & (F.col("_deal") == F.col("_d"))).drop(
+        "_rank_key", "_deal", "_rank_value", "_c", "_d", *names)
 
 
 def _same(group: list[str], prefix: str = "_g") -> Column:
