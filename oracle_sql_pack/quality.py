@@ -214,6 +214,49 @@ def iqr(table: str, col: str, k: float) -> str:
         FROM (SELECT {col}, row_number() OVER (ORDER BY {col}) AS r, count(*) OVER () AS n FROM {table}))"""
 
 
+def group_iqr(source: str, col: str, group: list[str], k: float) -> str:
+    g = ", ".join(group)
+    return f"""SELECT {g}, n AS n_rows, q1, q3, q1 - (q3 - q1) * {k}::DOUBLE AS low, q3 + (q3 - q1) * {k}::DOUBLE AS high FROM (
+        SELECT {g}, max(n) AS n, max({col}) FILTER (r = greatest(1, ceil(0.25 * n))) AS q1, max({col}) FILTER (r = greatest(1, ceil(0.75 * n))) AS q3
+        FROM (SELECT {g}, {col}, row_number() OVER (PARTITION BY {g} ORDER BY {col}) AS r, count(*) OVER (PARTITION BY {g}) AS n
+              FROM {source} WHERE {col} IS NOT NULL) GROUP BY {g})"""
+
+
+def share_check(name: str, table: str, value: str, weights: dict) -> str:
+    """Chi-square of the declared weights; its limit is the quantile of the normal deviate 3.29 by Wilson and Hilferty."""
+    total, free = sum(weights.values()), len(weights) - 1
+    listed = ", ".join(f"({quote(v)}, {w}::DOUBLE / {total})" for v, w in weights.items())
+    return f"""SELECT '{name}' AS check_name, 'chi-square' AS kind, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (share IS NULL), 0)::BIGINT AS n_outside,
+        round(sum(n::DOUBLE * n / (inside * share)) - max(inside), 6) AS statistic,
+        round({free} * pow(1 - 2 / (9.0::DOUBLE * {free}) + 3.29::DOUBLE * sqrt(2 / (9.0::DOUBLE * {free})), 3), 6) AS limit_value
+        FROM (SELECT n, share, sum(n) FILTER (share IS NOT NULL) OVER () AS inside
+              FROM (SELECT {value} AS v, count(*) AS n FROM {table} GROUP BY 1) LEFT JOIN (VALUES {listed}) AS d(w, share) ON v = w)"""
+
+
+def curve_check(name: str, table: str, curve: str) -> str:
+    """Distance of the cumulative counts from the declared ones at the edges of 64 equally likely bins."""
+    return f"""SELECT '{name}' AS check_name, 'distance' AS kind, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (b < 0), 0)::BIGINT AS n_outside,
+        round(max(greatest(abs(below / inside - (b + 1) / 64.0::DOUBLE), abs((below - n) / inside - b / 64.0::DOUBLE))) FILTER (b >= 0), 6) AS statistic,
+        round(2.04::DOUBLE / sqrt(max(inside)), 6) AS limit_value
+        FROM (SELECT b, n, sum(n) FILTER (b >= 0) OVER (ORDER BY b) AS below, (sum(n) FILTER (b >= 0) OVER ())::DOUBLE AS inside
+              FROM (SELECT CASE WHEN u BETWEEN 0 AND 1 THEN least(floor(u * 64), 63)::INTEGER ELSE -1 END AS b, count(*) AS n
+                    FROM (SELECT {curve} AS u FROM {table}) GROUP BY 1))"""
+
+
+DISTRIBUTIONS = [
+    share_check("return flag", "lineitem", "l_returnflag", {"A": 1, "N": 1, "R": 1}),
+    share_check("line status", "lineitem", "l_linestatus", {"F": 1, "O": 1}),
+    share_check("line number", "lineitem", "l_linenumber", {i: 1 for i in range(1, 8)}),
+    share_check("quantity", "lineitem", "l_quantity::INTEGER", {i: 1 for i in range(1, 51)}),
+    share_check("discount, half at both ends", "lineitem", "round(l_discount * 100)::INTEGER", {i: 1 if i in (0, 10) else 2 for i in range(11)}),
+    share_check("discount, all alike", "lineitem", "round(l_discount * 100)::INTEGER", {i: 1 for i in range(11)}),
+    curve_check("price, even from 900 to 105000", "lineitem", "(l_extendedprice - 900) / 104100::DOUBLE"),
+    share_check("event type", "events", "event_type", {e: 1 for e in ("click", "error", "purchase", "signup", "view")}),
+    curve_check("value, exponential around 50", "events", "1 - exp(value / -50::DOUBLE)"),
+    curve_check("value, even to 500", "events", "value / 500::DOUBLE"),
+]
+
+
 GIVEN_NUMERIC = {
     "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"],
     "customer": ["c_custkey", "c_nationkey", "c_acctbal"], "supplier": ["s_suppkey", "s_nationkey", "s_acctbal"],
@@ -330,8 +373,13 @@ def quality_sql() -> dict[str, str]:
         "val_calc": with_tables("retail", ["fact_sales"], f"""
             SELECT *, (unit_price * quantity - discount)::DECIMAL(18,2) AS expected FROM ({sales_body()})
             WHERE abs(revenue - (unit_price * quantity - discount)) > 0.01"""),
-        "val_outliers": f"""WITH f AS ({iqr('lineitem', 'l_extendedprice', 0.5)})
+        "val_outliers": f"""WITH f AS ({iqr('lineitem', 'l_extendedprice', 0.45)})
             SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem, f WHERE l_extendedprice < low OR l_extendedprice > high""",
+        "val_outliers_by_supplier": f"""WITH f AS ({group_iqr('lineitem', 'l_extendedprice', ['l_suppkey'], 0.4)})
+            SELECT l_orderkey, l_linenumber, l_suppkey, l_extendedprice, low, high FROM lineitem JOIN f USING (l_suppkey)
+            WHERE l_extendedprice < low OR l_extendedprice > high""",
+        "val_fences_by_status": group_iqr("lineitem", "l_extendedprice", ["l_returnflag", "l_linestatus"], 1.5),
+        "val_distribution": "SELECT *, n_outside = 0 AND statistic <= limit_value AS ok FROM (" + " UNION ALL ".join(DISTRIBUTIONS) + ")",
         "val_iqr": iqr("orders", "o_totalprice", 1.5),
         "val_rules": " UNION ALL ".join(
             f"SELECT '{n}' AS rule, count(*) FILTER ({p}) AS n_violations, count(*) AS n_rows FROM {joined}" for n, p in rules.items()),

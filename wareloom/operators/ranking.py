@@ -243,18 +243,44 @@ def value_rank(
     ranks = placed.select(
         *names, F.col("_rank_key").alias("_rank_value"), "_c",
         *([F.col("_first").alias("_rank"), F.col("_rows").alias("_n")] if kind == "rank" else [F.col("_dense").alias("_rank"), F.col("_keys").alias("_n")]))
-    # Fewer than ``steps`` values can hold more than their share of all rows each.
-    total = counts.select(F.sum("_c").alias("n")).scalar()
-    large = F.col("_c") * F.lit(steps) > total
-    hot = counts.where(large).select(*[F.col(n).alias(f"_h{i}") for i, n in enumerate(names)], F.col("_rank_key").alias("_hot"))
     mine = df.withColumn("_rank_key", _ascending(df, value, descending))
-    same_hot = _same(group, "_h") & (F.col("_rank_key") == F.col("_hot"))
-    dealt = mine.join(F.broadcast(hot), same_hot, "left").withColumn(
-        "_deal", F.when(F.col("_hot").isNotNull(), F.pmod(F.xxhash64(*ties), F.lit(steps))).otherwise(F.lit(0)).cast("int")
-    ).drop("_hot", *[f"_h{i}" for i in range(len(group))])
-    copies = ranks.withColumn("_d", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(steps - 1))).otherwise(F.array(F.lit(0)))))
-    return dealt.join(copies, _same(group, "_v") & (F.col("_rank_key") == F.col("_rank_value")) & (F.col("_deal") == F.col("_d"))).drop(
-        "_rank_key", "_deal", "_rank_value", "_c", "_d", *names)
+    return dealt_join(mine, ranks, list(zip([*group, "_rank_key"], [*names, "_rank_value"])), "_c", F.xxhash64(*ties), steps).drop("_rank_key")
+
+
+def dealt_join(df: DataFrame, lookup: DataFrame, on: list[tuple[str, str]], size: str, deal: Column, steps: int = STEPS) -> DataFrame:
+    """Rows with the further columns of the one row that ``lookup`` has for their key; ``size`` is how many rows share the key.
+
+    ``on`` pairs the rows' key columns with the lookup's, which are dropped, as ``size`` is. Fewer than ``steps`` keys can hold more
+    than their share of all rows each: these are dealt by ``deal`` over ``steps`` copies of their lookup row, so no key fills a task.
+    """
+    total = lookup.select(F.sum(size)).scalar()
+    large = F.col(size) * F.lit(steps) > total
+    hot = lookup.where(large).select(*[F.col(c).alias(f"_h{i}") for i, (_, c) in enumerate(on)], F.lit(True).alias("_hot"))
+    is_hot, same = F.lit(True), F.lit(True)
+    for i, (own, other) in enumerate(on):
+        is_hot = is_hot & F.col(own).eqNullSafe(F.col(f"_h{i}"))
+        same = same & F.col(own).eqNullSafe(F.col(other))
+    dealt = df.join(F.broadcast(hot), is_hot, "left").withColumn(
+        "_deal", F.when(F.col("_hot"), F.pmod(deal, F.lit(steps))).otherwise(F.lit(0)).cast("int")
+    ).drop("_hot", *[f"_h{i}" for i in range(len(on))])
+    copies = lookup.withColumn("_d", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(steps - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, same & (F.col("_deal") == F.col("_d"))).drop("_deal", "_d", size, *[c for _, c in on])
+
+
+def group_quantiles(df: DataFrame, col: str, probs: list[float], group: list[str], steps: int = STEPS) -> DataFrame:
+    """(group columns, _rows, q0, q1, …): exact nearest-rank quantiles of every group; NULL values do not count.
+
+    Equal values are counted before the shuffle, and large groups are cut into steps (see ``value_rank``).
+    """
+    names = [f"_v{i}" for i in range(len(group))]
+    counts = df.where(F.col(col).isNotNull()).groupBy(*[F.col(g).alias(n) for g, n in zip(group, names)], F.col(col).alias("_rank_key")).agg(
+        F.count(F.lit(1)).alias("_c"))
+    placed = _placed(counts, names, "_rank_key", F.col("_c"), steps)
+    hits = []
+    for i, p in enumerate(probs):
+        wanted = F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * F.col("_rows")))
+        hits.append(F.max(F.when((F.col("_first") <= wanted) & (wanted < F.col("_first") + F.col("_c")), F.col("_rank_key"))).alias(f"q{i}"))
+    return placed.groupBy(*[F.col(n).alias(g) for g, n in zip(group, names)]).agg(F.max("_rows").alias("_rows"), *hits)
 
 
 def _same(group: list[str], prefix: str = "_g") -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from wareloom.operators.ranking import dealt_join, group_quantiles
 
 SKETCH = 100_000  # 1 / relative rank error of the quantile sketch
 
@@ -28,19 +31,31 @@ def orphan_keys(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataF
 
 
 def reference_report(tables: dict[str, DataFrame], keys: dict) -> DataFrame:
-    """One row per declared foreign key: orphaned key values and rows."""
-    parts = []
-    for child, (_, fks) in keys.items():
-        for fk, (parent, key) in fks.items():
-            if child not in tables or parent not in tables:
-                continue
-            found = orphan_keys(tables[child], fk, tables[parent], key).agg(
-                F.count(F.lit(1)).alias("orphan_keys"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("orphan_rows")
-            )
-            parts.append(found.select(
-                F.lit(child).alias("table_name"), F.lit(fk).alias("fk"), "orphan_keys", "orphan_rows"
-            ))
-    return union_all(parts)
+    """One row per declared foreign key: orphaned key values and rows.
+
+    Every table is scanned once. A row gives a pair (foreign key, value) for each reference it makes and for each that may
+    lead to it; pairs are counted before the shuffle, so hot keys cost a row a task, and one aggregate finds the values that
+    are used and not known.
+    """
+    refs = [(child, fk, parent, key) for child, (_, fks) in keys.items() for fk, (parent, key) in fks.items()
+            if child in tables and parent in tables]
+    kinds = {tables[t].schema[c].dataType for child, fk, parent, key in refs for t, c in ((child, fk), (parent, key))}
+    kind = "bigint" if all(isinstance(k, T.IntegralType) for k in kinds) else "string"
+    # One row a reference, so that those without any row are listed too.
+    names = tables[refs[0][0]].sparkSession.range(1).select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_ref"), F.lit(None).cast(kind).alias("_key"), F.lit(False).alias("_used")) for i in range(len(refs))])))
+    parts = [names]
+    for name in {t: None for child, _, parent, _ in refs for t in (child, parent)}:
+        pairs = [F.struct(F.lit(i).alias("_ref"), F.col(c).cast(kind).alias("_key"), F.lit(used).alias("_used"))
+                 for i, (child, fk, parent, key) in enumerate(refs) for t, c, used in ((child, fk, True), (parent, key, False)) if t == name]
+        parts.append(tables[name].select(F.inline(F.array(*pairs))).where(F.col("_key").isNotNull()))
+    values = union_all(parts).groupBy("_ref", "_key").agg(
+        F.count_if("_used").alias("n_rows"), F.count_if(~F.col("_used")).alias("n_known"))
+    orphan = (F.col("n_rows") > 0) & (F.col("n_known") == 0)
+    of = lambda at: F.element_at(F.array(*[F.lit(r[at]) for r in refs]), F.col("_ref") + F.lit(1))
+    return values.groupBy("_ref").agg(
+        F.count_if(orphan).alias("orphan_keys"), F.sum(F.when(orphan, F.col("n_rows")).otherwise(F.lit(0))).alias("orphan_rows")
+    ).select(of(0).alias("table_name"), of(1).alias("fk"), "orphan_keys", "orphan_rows")
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -96,13 +111,76 @@ def iqr_bounds(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
     return q.select("q1", "q3", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
 
 
-def outliers(df: DataFrame, col: str, k: float = 1.5) -> DataFrame:
-    """Rows outside the interquartile fences of a column."""
+def group_fences(df: DataFrame, col: str, group: list[str], k: float = 1.5) -> DataFrame:
+    """(group columns, n_rows, q1, q3, low, high) of every group with a value."""
+    q = group_quantiles(df, col, [0.25, 0.75], group)
+    spread = (F.col("q1") - F.col("q0")) * F.lit(k)
+    return q.select(*group, F.col("_rows").alias("n_rows"), F.col("q0").alias("q1"), F.col("q1").alias("q3"),
+                    (F.col("q0") - spread).alias("low"), (F.col("q1") + spread).alias("high"))
+
+
+def outliers(df: DataFrame, col: str, k: float = 1.5, group: list[str] | None = None) -> DataFrame:
+    """Rows outside the interquartile fences of a column, or of their group's part of it (then with ``low`` and ``high``)."""
+    if group:
+        fences = group_fences(df, col, group, k).select(*[F.col(g).alias(f"_f{i}") for i, g in enumerate(group)], "n_rows", "low", "high")
+        fenced = dealt_join(df.where(F.col(col).isNotNull()), fences, [(g, f"_f{i}") for i, g in enumerate(group)], "n_rows", F.xxhash64(*df.columns))
+        return fenced.where((F.col(col) < F.col("low")) | (F.col(col) > F.col("high")))
     fences = iqr_bounds(df, col, k)
     low, high = fences.select("low").scalar(), fences.select("high").scalar()
     return df.where((F.col(col) < low) | (F.col(col) > high))
 
 
+#: A sample of the declared distribution fails a check about once in two thousand times: normal deviate, factor of 1 / sqrt(n).
+DEVIATE, DISTANCE = 3.29, 2.04
+BINS = 64
+
+
+def check_distributions(df: DataFrame, shares: dict[str, tuple[Column, dict]], curves: dict[str, Column], bins: int = BINS) -> DataFrame:
+    """(check_name, kind, n_rows, n_outside, statistic, limit_value, ok): do columns follow declared distributions? One pass over the rows.
+
+    ``shares`` names a column and the weights of its values; the statistic is chi-square, its limit the Wilson-Hilferty quantile.
+    ``curves`` names the declared distribution function of a value, an expression from 0 to 1; the statistic is the Kolmogorov-Smirnov
+    distance at the edges of ``bins`` equally likely bins, which is at most the distance itself. Rows become (check, cell) pairs that are
+    counted before the shuffle; a value that is NULL, not declared or beyond the curve is outside and fails its check, and
+    all such values share one cell, so there are no more cells than declared.
+    """
+    names = [*shares, *curves]
+    cells, weights, limits = [], [], []
+    for c, declared in shares.values():
+        cells.append(F.coalesce(F.array_position(F.array(*[F.lit(v) for v in declared]), c) - F.lit(1), F.lit(-1)))
+        weights.append([w / sum(declared.values()) for w in declared.values()])
+        free = len(declared) - 1
+        limits.append(free * (1 - 2 / (9 * free) + DEVIATE * (2 / (9 * free)) ** 0.5) ** 3 if free else 0.0)
+    for u in curves.values():
+        cells.append(F.when(u.between(0, 1), F.least(F.floor(u * F.lit(bins)), F.lit(bins - 1))).otherwise(F.lit(-1)))
+        weights.append([1 / bins] * bins)
+    seen = df.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("_check"), c.cast("int").alias("_cell"), F.lit(1).cast("bigint").alias("_n")) for i, c in enumerate(cells)])))
+    none = df.sparkSession.range(len(names)).select(F.col("id").cast("int").alias("_check"), F.lit(-1).alias("_cell"), F.lit(0).cast("bigint").alias("_n"))
+    counts = seen.unionByName(none).groupBy("_check", "_cell").agg(F.sum("_n").alias("_n"))
+    # As many rows as declared cells from here on.
+    inside = F.when(F.col("_cell") >= 0, F.col("_n")).otherwise(F.lit(0))
+    whole = W.partitionBy("_check")
+    so_far = F.sum(inside).over(whole.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow))
+    placed = counts.withColumns({"_in": F.sum(inside).over(whole).cast("double"), "_below": so_far})
+    share = F.element_at(F.element_at(F.array(*[F.array(*[F.lit(float(w)) for w in ws]) for ws in weights]), F.col("_check") + 1), F.col("_cell") + 1)
+    n, cell, below = F.col("_n").cast("double"), F.col("_cell"), F.col("_below")
+    chi = F.sum(F.when(cell >= 0, n * n / (F.col("_in") * share))) - F.max("_in")
+    gap = F.max(F.when((cell >= 0) & (F.col("_in") > 0), F.greatest(
+        F.abs(below / F.col("_in") - (cell + 1) / F.lit(float(bins))), F.abs((below - n) / F.col("_in") - cell / F.lit(float(bins))))))
+    is_curve = F.col("_check") >= len(shares)
+    out = placed.groupBy("_check").agg(
+        F.sum("_n").alias("n_rows"), F.sum(F.when(cell < 0, F.col("_n")).otherwise(F.lit(0))).alias("n_outside"),
+        chi.alias("_chi"), gap.alias("_gap"), F.max("_in").alias("_in"))
+    limit = F.element_at(F.array(*[F.lit(x) for x in [*limits, *[0.0] * len(curves)]]), F.col("_check") + 1)
+    out = out.select(
+        F.element_at(F.array(*[F.lit(x) for x in names]), F.col("_check") + 1).alias("check_name"),
+        F.when(is_curve, "distance").otherwise("chi-square").alias("kind"), "n_rows", "n_outside",
+        F.round(F.coalesce(F.when(is_curve, F.col("_gap")).otherwise(F.col("_chi")), F.lit(0.0)), 6).alias("statistic"),
+        F.round(F.when(is_curve, F.lit(DISTANCE) / F.sqrt(F.greatest(F.col("_in"), F.lit(1.0)))).otherwise(limit), 6).alias("limit_value"))
+    return out.withColumn("ok", (F.col("n_outside") == 0) & (F.col("statistic") <= F.col("limit_value")))
+
+
 def check_rules(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """(rule, n_violations, n_rows): all rules of a table in one pass.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wareloom.config import GenConfig
@@ -92,7 +92,11 @@ def run(spark: SparkSession, cfg: GenConfig) -> dict[str, DataFrame]:
     from wareloom import report
     from wareloom.sources import files
 
-    written = files.write_dataset(spark, dirty(generate(spark, cfg), cfg), cfg)
-    if cfg.generate_report:
-        report.write_report(report.build(spark, written, cfg), cfg.output_dir)
+    tables = dirty(generate(spark, cfg), cfg)
+    if not cfg.generate_report:
+        return files.write_dataset(spark, tables, cfg)
+    # The profile is observed while the tables are written: it costs no scan of its own.
+    found = {name: Observation(f"profile {name}") for name in tables}
+    written = files.write_dataset(spark, {name: df.observe(found[name], *profile.metrics(df)) for name, df in tables.items()}, cfg)
+    report.write_report(report.build(spark, written, cfg, profile.observed(spark, written, found)), cfg.output_dir)
     return written

@@ -265,8 +265,40 @@ def val_calc(spark, folder):
 
 
 def val_outliers(spark, folder):
+    """Prices are spread evenly, so fences at 0.45 times the quartiles' distance leave out some 2.5 % at both ends."""
     lines = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    return validate.outliers(lines, "l_extendedprice", k=0.5)
+    return validate.outliers(lines, "l_extendedprice", k=0.45)
+
+
+def val_outliers_by_supplier(spark, folder):
+    """Lines priced outside the fences of their own supplier."""
+    lines = load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
+    return validate.outliers(lines, "l_extendedprice", k=0.4, group=["l_suppkey"])
+
+
+def val_fences_by_status(spark, folder):
+    """Quartiles and fences of few, large groups."""
+    lines = load(spark, folder, "lineitem")
+    return validate.group_fences(lines, "l_extendedprice", ["l_returnflag", "l_linestatus"])
+
+
+def val_distribution(spark, folder):
+    """Line items and events against declared distributions; two of the declarations do not hold."""
+    lines, events = load(spark, folder, "lineitem"), load(spark, folder, "events")
+    discount = F.round(F.col("l_discount") * 100).cast("int")
+    of_lines = validate.check_distributions(lines, {
+        "return flag": (F.col("l_returnflag"), {"A": 1, "N": 1, "R": 1}),
+        "line status": (F.col("l_linestatus"), {"F": 1, "O": 1}),
+        "line number": (F.col("l_linenumber").cast("int"), {i: 1 for i in range(1, 8)}),
+        "quantity": (F.col("l_quantity").cast("int"), {i: 1 for i in range(1, 51)}),
+        "discount, half at both ends": (discount, {i: 1 if i in (0, 10) else 2 for i in range(11)}),
+        "discount, all alike": (discount, {i: 1 for i in range(11)}),
+    }, {"price, even from 900 to 105000": (F.col("l_extendedprice") - 900.0) / 104100.0})
+    of_events = validate.check_distributions(
+        events, {"event type": (F.col("event_type"), {"click": 1, "error": 1, "purchase": 1, "signup": 1, "view": 1})}, {
+            "value, exponential around 50": F.lit(1.0) - F.exp(F.col("value") / -50.0), "value, even to 500": F.col("value") / 500.0,
+        })
+    return of_lines.unionByName(of_events)
 
 
 def val_iqr(spark, folder):
@@ -428,7 +460,8 @@ def quality_queries() -> dict[str, Query]:
         q_amount_error, q_nulls, q_nulls_fact, q_inject_dim, q_inject_fact, q_inject_fact_keyless, q_inject_sales,
         q_date_formats, l_time_travel, l_orphans,
         clean_text, clean_country, clean_nulls, clean_dropna, clean_negative_qty,
-        val_pk, val_fk, val_fk_report, val_calc, val_outliers, val_iqr, val_rules,
+        val_pk, val_fk, val_fk_report, val_calc, val_outliers, val_outliers_by_supplier, val_fences_by_status, val_iqr, val_rules,
+        val_distribution,
         rep_total_rows, rep_overview, rep_numeric_stats, rep_missing, rep_missing_dirty,
     ]
     out = {q.__name__: q for q in named}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,30 +57,35 @@ def configuration(spark: SparkSession, cfg: GenConfig, tables: dict[str, DataFra
     return spark.createDataFrame(rows, "section string, table_name string, metric string, value string")
 
 
-def build(spark: SparkSession, tables: dict[str, DataFrame], cfg: GenConfig) -> DataFrame:
-    """All report numbers of a data set; nothing runs before the result is used."""
-    overview, missing = profile.overview(tables), profile.missing(tables)
-    total = profile.total_rows(tables)
-    stats = profile.numeric_stats(tables)
-    parts = [
-        configuration(spark, cfg, tables),
-        _rows(total, "overview", F.lit(""), {"total_rows": "total_rows"}),
-        _rows(overview, "overview", F.col("table_name"), {"rows": "n_rows", "columns": "n_columns"}),
-        stats.select(
-            F.lit("statistics").alias("section"), "table_name", F.inline(F.array(*[
-                F.struct(
-                    F.concat_ws(" ", F.lit(name), "column_name").alias("metric"),
-                    F.coalesce(_text(stats, col), F.lit("")).alias("value"),
-                )
-                for name, col in (("min", "min_value"), ("max", "max_value"), ("mean", "mean_value"))
-            ])),
-        ),
-        _rows(missing, "missing", F.col("table_name"), {
-            "missing": "n_missing", "sentinels": "n_sentinels", "cells": "n_cells", "percent": "pct_missing",
-        }),
-        *insights(tables, cfg),
-    ]
-    return union_all(parts)
+def profile_rows(measured: DataFrame) -> DataFrame:
+    """The overview, statistics and missing sections of ``profile.measure``'s rows; these are read once."""
+    def row(section: str, table: Column, metric: Column, value: Column) -> Column:
+        return F.struct(
+            F.lit(section).alias("section"), table.alias("table_name"), metric.alias("metric"),
+            F.coalesce(value.cast("string"), F.lit("")).alias("value"))
+
+    table, shown = F.col("table_name"), lambda c: c.cast("decimal(38,2)")
+    # As many rows as tables: the window is small, and spares a second reading for the sum.
+    first = F.row_number().over(W.orderBy("table_name")) == 1
+    total = F.array(row("overview", F.lit(""), F.lit("total_rows"), F.sum("n_rows").over(W.partitionBy())))
+    plain = F.array(
+        row("overview", table, F.lit("rows"), F.col("n_rows")), row("overview", table, F.lit("columns"), F.col("n_columns")),
+        row("missing", table, F.lit("missing"), F.col("n_missing")), row("missing", table, F.lit("sentinels"), F.col("n_sentinels")),
+        row("missing", table, F.lit("cells"), F.col("n_cells")), row("missing", table, F.lit("percent"), shown(F.col("pct_missing"))))
+    stats = F.flatten(F.transform("stats", lambda x: F.array(*[
+        row("statistics", table, F.concat_ws(" ", F.lit(n), x["column_name"]), shown(x[c]))
+        for n, c in (("min", "min_value"), ("max", "max_value"), ("mean", "mean_value"))])))
+    rows = measured.select(F.concat(F.when(first, total).otherwise(F.filter(total, lambda _: F.lit(False))), plain, stats).alias("_rows"))
+    return rows.select(F.inline("_rows"))
+
+
+def build(spark: SparkSession, tables: dict[str, DataFrame], cfg: GenConfig, measured: DataFrame | None = None) -> DataFrame:
+    """All report numbers of a data set; nothing runs before the result is used.
+
+    The profile comes from one aggregate a table, or from ``measured`` numbers (see ``profile.observed``).
+    """
+    measured = profile.measure(tables) if measured is None else measured
+    return union_all([configuration(spark, cfg, tables), profile_rows(measured), *insights(tables, cfg)])
 
 
 def insights(tables: dict[str, DataFrame], cfg: GenConfig) -> list[DataFrame]:
