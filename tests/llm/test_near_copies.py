@@ -121,6 +121,41 @@ def test_meeting_probability():
         assert (near_copies.sketches(x) == near_copies.sketches(y)).any()
 
 
+@pytest.mark.parametrize("n", range(1, 14))
+def test_short_texts_meet_for_sure(n):
+    """Every pair of similarity 0.8 or more of which neither has more than SHORT k-mers shares a bucket, whichever k-mers differ."""
+    rng, hashes = random.Random(n), np.random.default_rng(n)
+    for _ in range(300):
+        common = hashes.integers(0, 2**63, n, dtype=np.uint64)
+        sides = []
+        for _ in range(2):
+            own = list(common)
+            for _ in range(rng.randrange(4)):
+                own.insert(rng.randrange(len(own) + 1), hashes.integers(0, 2**63, dtype=np.uint64))
+            sides.append(np.array(own, np.uint64))
+        x, y = sides
+        if max(len(x), len(y)) <= near_copies.SHORT and near_copies.similarity(x, y) >= 0.8:
+            assert set(near_copies.chains(x)) & set(near_copies.chains(y))
+        assert bool(near_copies.chains(x)) == (len(x) <= near_copies.SHORT)
+
+
+def test_short_texts_are_linked(spark):
+    """Eight and nine words, one word put in at the end: similarity 4 / 5, which sketches alone miss once in two hundred times."""
+    rows = []
+    for i in range(400):
+        words = [f"w{i}x{j}" for j in range(9)]
+        rows += [(2 * i, " ".join(words[:8])), (2 * i + 1, " ".join(words))]
+    got = {r.doc_id: r.class_id for r in near_copies.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * i] == got[2 * i + 1] == 2 * i for i in range(400))
+
+
+def test_a_large_star_has_one_label(spark):
+    """The centre of most edges, as a frequent text's class has it."""
+    links = spark.range(1, 3000).selectExpr("lpad(id, 5, '0') AS a", "lpad(IF(id % 10 = 0, id - 1, 0), 5, '0') AS b")
+    labels = {r.node: r.label for r in components(links).collect()}
+    assert len(labels) == 3000 and set(labels.values()) == {"00000"}
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(200)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(150)] + [(900, 901)]

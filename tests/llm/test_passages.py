@@ -99,3 +99,16 @@ def test_a_frequent_phrase_is_spread_over_groups(spark, monkeypatch):
         assert (passages.dealt(h, u, 64, hot)[~mine] == h[~mine] % np.uint64(64)).all()
         same = np.full(1000, h[0])  # windows of one gram
         assert len(set(passages.dealt(same, np.arange(1000).astype(np.uint64), 64, None))) == 64
+
+
+def test_copies_of_a_block_leave_its_group(spark):
+    """However many documents hold a passage, its group gets one block of each batch; what is known goes by document."""
+    rng = np.random.default_rng(1)
+    for n in (1000, 20_000):
+        did, th = np.arange(n), rng.integers(-(2**62), 2**62, n)
+        one = np.full(n, 12345, np.uint64)
+        with np.errstate(over="ignore"):
+            frame = passages.packed(did, th, np.arange(n), np.zeros(n, np.int64), np.full(n, 30), one, one, 16, None)
+        fresh = [np.frombuffer(p, np.int64, 3)[1] for p in frame["payload"]]
+        sizes = frame["payload"].str.len()
+        assert sum(fresh) == 1 and len(frame) == 16 and sizes.max() < 1.5 * sizes.median()

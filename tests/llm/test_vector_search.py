@@ -53,3 +53,20 @@ def test_edges(spark):
     rows = [(i, v and [x if x is None else float(np.float32(x)) for x in v], *rest) for i, v, *rest in rows]
     assert search(spark, rows) == brute(rows, 10)
     assert search(spark, []) == []
+
+
+def test_huge_and_tiny_components(spark):
+    """Squares beyond the range of doubles: compared with distances of the same vectors scaled by a power of two."""
+    rng = random.Random(6)
+    rows = [(i, [rng.uniform(-1, 1) * 2.0**540 for _ in range(3)]) for i in range(40)] + [(100 + i, [rng.uniform(-1, 1) for _ in range(3)]) for i in range(20)]
+    schema = "vec_id long, embedding array<double>"
+    got = sorted(tuple(r) for r in vector_search.search(spark.createDataFrame(rows, schema), F.col("vec_id") % 10 == 0, 10).collect())
+    want = brute([(i, [x * 2.0**-540 for x in v]) for i, v in rows], 10)
+    assert [r[:3] for r in got if r[0] < 100] == [r[:3] for r in want if r[0] < 100]
+    assert all(math.isclose(g[3], w[3] * 2.0**540, rel_tol=1e-12) for g, w in zip(got, want) if g[0] < 100)
+    assert len([r for r in got if r[0] >= 100]) == 20 and all(math.isfinite(r[3]) for r in got)
+
+
+def test_one_id_in_most_rows(spark):
+    rows = [(10, [float(1 + i % 7), 2.0], "i", "v", 1) for i in range(3000)] + [(i, [float(i), 1.0], "i", "v", 1) for i in range(30) if i != 10]
+    assert search(spark, rows) == brute(rows, 10)

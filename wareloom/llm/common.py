@@ -19,13 +19,15 @@ BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); an own one only where none is set."""
+    """The folder that driver and executors share (spark.checkpoint.dir); an own one only in local mode, where all is one machine."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="wareloom-")
     spark.sparkContext.setCheckpointDir(own)
     return own

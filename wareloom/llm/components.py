@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import dealt_join
 from .common import written
 
 
 def _stars(edges: DataFrame, node: str, other: str) -> DataFrame:
     """u, v, m: each edge with the least of u and its neighbours. Minima are pre-aggregated before the shuffle."""
     e = edges.select(F.col(node).alias("u"), F.col(other).alias("v"))
-    least = e.groupBy("u").agg(F.min("v").alias("m"))
-    return e.join(least, "u").withColumn("m", F.least("u", "m"))
+    least = e.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"), F.count("*").alias("_degree"))
+    # The centre of a large star is dealt over many tasks.
+    return dealt_join(e, least, [("u", "_u")], "_degree", F.xxhash64("v")).withColumn("m", F.least("u", "m"))
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranking import dealt_join
 from .common import col, scratch, text_or_empty, wrapped, written
 
 #: Rows of one (digest, doc_id) are expanded in runs of this length.
@@ -105,7 +106,12 @@ def dedup(docs: DataFrame, digest=sha256, files_per_trigger: int = 1000) -> Data
     """doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     rows, groups = classes(docs, digest, files_per_trigger)
     per_id = rows.groupBy("digest", "text_sha256", "doc_id").agg(F.sum("c").alias("c"))
-    runs = per_id.join(groups, ["digest", "text_sha256"]).withColumn("run", F.expr(f"explode(sequence(0L, (c - 1) div {RUN}))"))
+    own = per_id.groupBy("digest", "text_sha256").agg(F.count("*").alias("_ids"))
+    lookup = groups.join(own, ["digest", "text_sha256"]).select(
+        F.col("digest").alias("_digest"), F.col("text_sha256").alias("_sha"), "n", "keep_id", "_ids")
+    # A text that a large share of the rows hold is dealt over many tasks.
+    named = dealt_join(per_id, lookup, [("digest", "_digest"), ("text_sha256", "_sha")], "_ids", F.xxhash64("doc_id"))
+    runs = named.withColumn("run", F.expr(f"explode(sequence(0L, (c - 1) div {RUN}))"))
     each = runs.withColumn("i", F.expr(f"explode(sequence(run * {RUN}, least(c, (run + 1) * {RUN}) - 1))"))
     return each.select(
         "doc_id", "keep_id", F.col("n").alias("group_size"),

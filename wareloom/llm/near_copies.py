@@ -10,8 +10,9 @@ Equal texts are one node. A bucket's members are first compared with its pivot,
 components of the links so far are formed; then, in buckets that still hold several components, each member outside
 the largest is compared with the members of other components, but for pairs whose rare k-mers prove that the
 similarity stays below the threshold (see ``remaining``). So no pair of a bucket is left out unless it is in one class already or
-cannot be linked, and no large class is expanded into pairs. Two texts with similarity 0.8 meet in a bucket with probability above
-1 - 1e-5 (0.8 ** 4 a sketch, 24 sketches).
+cannot be linked, and no large class is expanded into pairs. Two texts with similarity 0.8 meet in a bucket for sure if neither has more than
+``SHORT`` k-mers: such a text also has a bucket for each set of k-mers that a linked text may share with it. Longer ones meet with probability
+above 1 - 3e-5 (24 sketches, each alike with some 0.8 ** 4, less for few k-mers as they are drawn without putting back).
 
 Result: a row a document with class_id, the least doc_id of its class, class_size and kept (one document of each class: the
 least doc_id). Edge cases: words are ``[^\\x20\\x09-\\x0D]+``; a text under K words has one k-mer, all its words; null and
@@ -23,12 +24,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ranking import dealt_join
 from .common import col, ship, trim, wrapped, written
 from .components import components
 from .words import Rolled, Words, batches, scramble
@@ -37,6 +40,8 @@ K = 5
 THRESHOLD = 0.8
 SKETCHES = 24
 TAKE = 4
+#: Texts of so many k-mers also have a bucket for each common chain that a link allows.
+SHORT = 12
 #: A k-mer of more texts than this is not rare.
 RARE = 100
 MULTIPLIERS = scramble(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -88,6 +93,28 @@ def sketches(labels: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def chains(labels: np.ndarray) -> list[int]:
+    """Hashes of what a linked text may share with a short one: all its k-mers but r, in order, where THRESHOLD allows r to be missing."""
+    n, out = len(labels), []
+    if not 0 < n <= SHORT:
+        return out
+    for r in range(n):
+        if (n - r) / n < THRESHOLD:
+            break
+        keep = np.array(list(combinations(range(n), n - r)), np.int64).reshape(-1, n - r)
+        h = np.full(len(keep), n - r, np.uint64)
+        for j in range(n - r):
+            h = scramble(h * np.uint64(0x9FB21C651E98DF25) + labels[keep[:, j]])
+        out += h.view(np.int64).tolist()
+    return out
+
+
+def buckets(labels: np.ndarray) -> np.ndarray:
+    """Keys of the buckets: the sketches by place, then a short text's chains."""
+    with np.errstate(over="ignore"):
+        return np.concatenate([sketches(labels), np.array(chains(labels), np.int64)])
+
+
 def similarity(x: np.ndarray, y: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Alignment similarity of two sequences of distinct labels, exact from the threshold on, else some value below it."""
     n = len(x) + len(y)
@@ -198,7 +225,7 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def sketch(frames):
         for f in frames:
-            found = [sketches(x) for x in kmers([t.encode() for t in f["text"]])]
+            found = [buckets(x) for x in kmers([t.encode() for t in f["text"]])]
             yield pd.DataFrame({"doc_id": f["doc_id"].astype("Int64"), "node": f["node"], "keys": found})
             del found
         trim()
@@ -206,16 +233,18 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(keyed.mapInPandas(sketch, "doc_id long, node binary, keys array<long>"), "near-rows")
     # Equal texts are one node before anything is expanded.
     nodes = rows.groupBy("node").agg(F.first("keys").alias("keys"))
-    member = nodes.select("node", F.posexplode("keys").alias("band", "key"))
+    member = nodes.select("node", F.posexplode("keys").alias("band", "key")).withColumn("band", F.least("band", F.lit(SKETCHES)))
     shared = member.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     member = written(member.join(shared, ["band", "key"]), "near-buckets")
     # The pivot of a bucket is the member that meets most others in all of its buckets: of a family of edited
     # copies that is the text they were made from, which each of them resembles more than they do each other.
     fame = member.groupBy("node").agg(F.sum("n").alias("fame"))
-    pivots = member.join(fame, "node").groupBy("band", "key").agg(F.max(F.struct("fame", "node")).alias("p")).select(
-        "band", "key", F.col("p.node").alias("pivot"))
+    pivots = member.join(fame, "node").groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(
+        F.max(F.struct("fame", "node")).alias("p"), F.count("*").alias("_size")).select("_band", "_key", F.col("p.node").alias("pivot"), "_size")
     ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    first = written(member.join(pivots, ["band", "key"]).where("node <> pivot").select(*ends("pivot", "node")).distinct(), "near-pairs")
+    # Buckets, classes and texts with a large share of the rows are dealt over many tasks in each of these joins.
+    bucket = [("band", "_band"), ("key", "_key")]
+    first = written(dealt_join(member, pivots, bucket, "_size", F.xxhash64("node")).where("node <> pivot").select(*ends("pivot", "node")).distinct(), "near-pairs")
     involved = member.select("node").distinct()
     texts = written(keyed.groupBy("node").agg(F.min("text").alias("text")).join(involved, "node"), "near-texts")
     links = written(verified(first, texts), "near-links")
@@ -225,9 +254,10 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = member.select("band", "key", "node").join(labels, "node", "left").select(
         "band", "key", "node", F.coalesce("label", "node").alias("label"))
     sizes = known.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("band", "key").agg(F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts")).where(
-        "parts > 1").select("band", "key", F.col("top.label").alias("largest"))
-    open_ = written(known.join(largest, ["band", "key"]), "near-open")
+    largest = sizes.groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(
+        F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("_size")).where(
+        "parts > 1").select("_band", "_key", F.col("top.label").alias("largest"), "_size")
+    open_ = written(dealt_join(known, largest, bucket, "_size", F.xxhash64("node")), "near-open")
     rest = remaining(open_, texts)
     rest = rest.join(first, ["a", "b"], "left_anti")
     more = written(verified(rest, texts), "near-links")
@@ -240,10 +270,13 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept of every row."""
     rows, labels = classes(docs)
     counted = rows.groupBy("node", "doc_id").agg(F.count("*").alias("c"))
-    named = counted.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    sums = named.groupBy("label").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"), F.sum("c").alias("class_size"))
-    out = named.join(sums, "label")
+    nodes = counted.groupBy("node").agg(F.count("*").alias("_ids")).join(labels, "node", "left").select(
+        F.col("node").alias("_node"), F.coalesce("label", "node").alias("label"), "_ids")
+    named = written(dealt_join(counted, nodes, [("node", "_node")], "_ids", F.xxhash64("doc_id")), "near-named")
+    sums = named.groupBy(F.col("label").alias("_label")).agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"), F.sum("c").alias("class_size"),
+        F.count("*").alias("_ids"))
+    out = dealt_join(named, sums, [("label", "_label")], "_ids", F.xxhash64("doc_id"))
     # Rows equal in doc_id and text: one of them stays; the others are listed too.
     out = out.withColumn("run", F.expr("explode(sequence(0L, (c - 1) div 4096))")).withColumn(
         "i", F.expr("explode(sequence(run * 4096, least(c, (run + 1) * 4096) - 1))"))

@@ -13,8 +13,8 @@ with a different block, so exactly the windows of grams with more than one conte
 Spark deals blocks by gram, and those of a gram with very many contents (``SPLIT``; a first pass over the texts counts
 them) by gram and content: such a gram is known to have several contents, so its blocks need not meet. Single windows
 are dealt by their own hash, as only equal ones must meet. Each task first settles the repetitions among the documents it has read and sends on
-only the earliest of equal blocks, so that a passage found in a third of all documents costs its group one row a
-batch. Contents are compared by 64-bit hashes within one gram only (itself 64 bits).
+only the earliest of equal blocks; the others are known by then and are dealt by document. So a passage found in a third of all documents costs
+its group one block a batch, however many copies there are. Contents are compared by 64-bit hashes within one gram only (itself 64 bits).
 
 Edge cases: words are ``[^\\x20\\x09-\\x0D]+``; a null text has none; texts under ``width`` words keep all; rows equal
 in doc_id and text are treated alike, and rows with equal doc_id and start count as equally early; a null doc_id is the
@@ -110,7 +110,8 @@ def packed(did, th, doc, a, e, h, u, groups: int, hot: np.ndarray | None) -> pd.
     """(pid, payload): repetitions within the batch are settled, the rest is packed by group."""
     order, dup = later(h, u, did[doc], a)
     doc, a, e, h, u = doc[order], a[order], e[order], h[order], u[order]
-    pid = dealt(h, u, groups, hot)
+    # A span that stands earlier is settled: it only has to be handed on, and is dealt by its document.
+    pid = np.where(dup, (scramble(th[doc].view(np.uint64)) % np.uint64(groups)).astype(np.int64), dealt(h, u, groups, hot))
     order = np.lexsort((dup, pid))
     doc, a, e, h, u, pid, dup = (x[order] for x in (doc, a, e, h, u, pid, dup))
     edges = np.flatnonzero(np.concatenate(([True], pid[1:] != pid[:-1]))) if len(pid) else []

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, written
@@ -58,9 +58,10 @@ def numbered(df: DataFrame, keys: list[str]) -> DataFrame:
             "_in_part": F.monotonically_increasing_id().bitwiseAND(2**33 - 1),
         }), "numbered")
     counts = placed.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = counts.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("_all")).selectExpr(
-        "inline(transform(_all, x -> named_struct('_part', x._part, '_before', aggregate(filter(_all, "
-        "y -> y._part < x._part), 0L, (s, y) -> s + y._n), 'total', aggregate(_all, 0L, (s, y) -> s + y._n))))")
+    ordered = Window.orderBy("_part")
+    offsets = counts.select(
+        "_part", F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy()).alias("total"))
     # One row a partition of a written table: bounded by the number of its files.
     return placed.join(F.broadcast(offsets), "_part").withColumn("row", F.col("_before") + F.col("_in_part")).drop(
         "_part", "_in_part", "_before")

@@ -8,8 +8,11 @@ upper bound; survivors' distances are computed from the original vectors in doub
 short lists are merged by Spark's top-k window, which keeps k rows a query before it shuffles. Nothing is
 approximate in the end: every candidate that could be among the k nearest is recomputed.
 
+Where squares leave the range of doubles (components beyond some 1e150) the bounds say nothing, so all such pairs are recomputed, scaled by
+a power of two.
+
 Edge cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an id; of
-rows with one id the lexicographically least vector counts; vectors of different lengths are not compared; ties go to the
+rows with one id the lexicographically least vector counts (they are reduced before they meet in a task); vectors of different lengths are not compared; ties go to the
 smaller vec_id; a query without candidates has no rows; an empty table gives no rows; other columns are ignored.
 """
 
@@ -22,19 +25,22 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import col, ship
+from .common import col, ship, written
 
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 2048
 TILE = 1024
+#: Power of two that brings any double into the range whose squares are doubles, for up to 2^40 components.
+SHRINK = -540
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id, v of the vectors that take part."""
     rows = vectors.select(col("vec_id").cast("long").alias("vec_id"), col("embedding").cast("array<double>").alias("v"))
-    return rows.where(
+    valid = rows.where(
         "vec_id IS NOT NULL AND v IS NOT NULL AND exists(v, x -> x <> 0) AND "
         "forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))")
+    return valid.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 class Block:
@@ -52,15 +58,9 @@ class Block:
 
 
 def blocks(frame: pd.DataFrame) -> dict[int, Block]:
-    """By length; one vector an id."""
-    best: dict[int, np.ndarray] = {}
-    for i, v in zip(frame["vec_id"].tolist(), frame["v"]):
-        if i not in best or tuple(v) < tuple(best[i]):
-            best[i] = v
-    by: dict[int, list[int]] = {}
-    for i, v in best.items():
-        by.setdefault(len(v), []).append(i)
-    return {n: Block(np.array(ids, np.int64), np.stack([best[i] for i in ids])) for n, ids in by.items()}
+    """By length."""
+    size = frame["v"].str.len().to_numpy()
+    return {int(n): Block(frame["vec_id"].to_numpy(np.int64)[size == n], np.stack(frame["v"].to_numpy()[size == n])) for n in np.unique(size)}
 
 
 def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -69,7 +69,11 @@ def exact(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for j in range(x.shape[1]):
         d = x[:, j] - y[:, j]
         total += d * d
-    return np.sqrt(total)
+    out = np.sqrt(total)
+    huge = np.flatnonzero(~np.isfinite(total))
+    if len(huge):
+        out[huge] = np.ldexp(exact(np.ldexp(x[huge], SHRINK), np.ldexp(y[huge], SHRINK)), -SHRINK)
+    return out
 
 
 def nearest(q: Block, c: Block, k: int) -> list[tuple[int, int, float]]:
@@ -85,11 +89,14 @@ def nearest(q: Block, c: Block, k: int) -> list[tuple[int, int, float]]:
         near = np.sqrt(np.maximum(square, 0))
         slack = q.left[:, None] + c.left[None, t] + 1e-6 * (np.sqrt(q.square)[:, None] + np.sqrt(c.square)[None, t])
         same = q.ids[:, None] == c.ids[None, t]
-        upper = np.where(same, np.inf, near + slack)
+        lower = near - slack
+        lower[~np.isfinite(lower)] = 0.0
+        upper = near + slack
+        upper[same | ~np.isfinite(upper)] = np.inf
         both = np.concatenate([uppers, upper], axis=1)
         uppers = np.partition(both, k - 1, axis=1)[:, :k]
         reach = uppers.max(axis=1)
-        rows, cols = np.nonzero((near - slack <= reach[:, None]) & ~same)
+        rows, cols = np.nonzero((lower <= reach[:, None]) & ~same)
         distance = exact(q.x[rows], c.x[t][cols])
         for r, i, d in zip(rows.tolist(), c.ids[t][cols].tolist(), distance.tolist()):
             entry, heap = (-d, -i), heaps[r]
@@ -104,7 +111,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest candidates of each vector that is_query(vec_id) holds for."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = usable(vectors)
+    rows = written(usable(vectors), "vectors")
     queries = rows.where(is_query)
     n, m = rows.count(), queries.count()
     g, h = max(-(-n // CANDIDATE_BLOCK), 1), max(-(-m // QUERY_BLOCK), 1)
@@ -115,8 +122,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10) -> DataFrame:
     cell = (F.col("i") * h + F.col("j")).alias("cell")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        mine, theirs = blocks(left), blocks(right)
-        found = [x for size in theirs if size in mine for x in nearest(theirs[size], mine[size], k)]
+        with np.errstate(over="ignore", invalid="ignore"):
+            mine, theirs = blocks(left), blocks(right)
+            found = [x for size in theirs if size in mine for x in nearest(theirs[size], mine[size], k)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
     short = c.select(cell, "vec_id", "v").groupBy("cell").cogroup(q.select(cell, "vec_id", "v").groupBy("cell")).applyInPandas(
