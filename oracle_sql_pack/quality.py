@@ -306,6 +306,10 @@ def quality_sql() -> dict[str, str]:
     cc_known = " ".join(
         f"WHEN upper(trim(country, ' ')) IN ({', '.join(sorted({quote(s.upper()) for s in names}))}) THEN '{std}'" for std, names in COUNTRY)
     imputed = f"SELECT c_custkey, c_nationkey, {clean_missing('c_name')} AS c_name, c_acctbal, {clean_missing('c_mktsegment')} AS c_mktsegment FROM ({inject_customer(HIGH)})"
+    noisy_orders = single_noise("orders", "o_orderkey", {
+        c: (f"null:{c}", null_text if c in ("o_orderstatus", "o_orderpriority") else null_value, r) for c, r in o_rates.items()})
+    gappy_orders = (f"SELECT * REPLACE ({clean_missing('o_orderstatus')} AS o_orderstatus, {clean_missing('o_orderpriority')} AS o_orderpriority) "
+                    f"FROM ({noisy_orders})")
     ecom = N["ecommerce"]
     orphan_shift = 1000 + constant_draw(SEED, "orphan", "customer_key") % 9000
     orphaned_orders = (f"SELECT * REPLACE (CASE WHEN {chance('h', 0.02)} THEN {ecom['customers']} + {orphan_shift} ELSE customer_key END AS customer_key) "
@@ -347,8 +351,7 @@ def quality_sql() -> dict[str, str]:
         "q_nulls": single_noise("customer", "c_custkey", {
             "c_name": ("null:c_name", null_text, c_rates["c_name"]), "c_acctbal": ("null:c_acctbal", null_value, c_rates["c_acctbal"]),
             "c_mktsegment": ("null:c_mktsegment", null_text, c_rates["c_mktsegment"])}),
-        "q_nulls_fact": single_noise("orders", "o_orderkey", {
-            c: (f"null:{c}", null_text if c in ("o_orderstatus", "o_orderpriority") else null_value, r) for c, r in o_rates.items()}),
+        "q_nulls_fact": noisy_orders,
         "q_inject_dim": inject_customer(RATE),
         "q_inject_fact": inject_orders(RATE),
         "q_inject_fact_keyless": keyless_lines(),
@@ -363,6 +366,28 @@ def quality_sql() -> dict[str, str]:
                    coalesce(c_acctbal, (SELECT sum(c_acctbal::DECIMAL(38,6))::DOUBLE / count(c_acctbal) FROM d)) AS c_acctbal,
                    coalesce(c_mktsegment, (SELECT c_mktsegment FROM d WHERE c_mktsegment IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS c_mktsegment
             FROM d""",
+        "clean_nulls_by_group": f"""WITH d AS ({gappy_orders}), status AS (
+              SELECT o_custkey, o_orderstatus AS v FROM d WHERE o_orderstatus IS NOT NULL GROUP BY o_custkey, o_orderstatus
+              QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderstatus) = 1
+            ), price AS (
+              SELECT o_custkey, max(o_totalprice) FILTER (r = greatest(1, ceil(0.5 * n))) AS v FROM (
+                SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) AS r,
+                       count(*) OVER (PARTITION BY o_custkey) AS n FROM d WHERE o_totalprice IS NOT NULL) GROUP BY 1
+            ), priority AS (
+              SELECT o_custkey, o_orderpriority AS v FROM d WHERE o_orderpriority IS NOT NULL GROUP BY o_custkey, o_orderpriority
+              QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) = 1
+            )
+            SELECT d.* REPLACE (coalesce(o_orderstatus, status.v) AS o_orderstatus, coalesce(o_totalprice, price.v) AS o_totalprice,
+              coalesce(o_orderpriority, priority.v) AS o_orderpriority,
+              last_value(o_orderdate IGNORE NULLS) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS o_orderdate)
+            FROM d LEFT JOIN status ON d.o_custkey = status.o_custkey LEFT JOIN price ON d.o_custkey = price.o_custkey
+              LEFT JOIN priority ON d.o_custkey = priority.o_custkey""",
+        "clean_nulls_last_known": f"""WITH d AS (SELECT * REPLACE ({clean_missing('o_orderstatus')} AS o_orderstatus) FROM ({noisy_orders}))
+            SELECT * REPLACE (
+              last_value(o_orderstatus IGNORE NULLS) OVER before AS o_orderstatus, last_value(o_totalprice IGNORE NULLS) OVER before AS o_totalprice,
+              coalesce(o_orderdate, (SELECT o_orderdate FROM d WHERE o_orderdate IS NOT NULL ORDER BY 1 LIMIT 1
+                OFFSET (SELECT greatest(1, ceil(0.5 * count(o_orderdate))) - 1 FROM d))) AS o_orderdate)
+            FROM d WINDOW before AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
         "clean_dropna": f"SELECT * FROM ({imputed}) WHERE c_name IS NOT NULL AND c_mktsegment IS NOT NULL",
         "clean_negative_qty": f"SELECT * REPLACE (abs(l_quantity) AS l_quantity) FROM ({negative_lines(HIGH)})",
         "clean_dedupe": dedupe("first"), "clean_dedupe_last": dedupe("last"), "clean_dedupe_merge": dedupe("merge"),

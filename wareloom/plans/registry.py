@@ -222,6 +222,22 @@ def clean_nulls(spark, folder):
     )
 
 
+def clean_nulls_by_group(spark, folder):
+    """Gaps of dirtied orders from the customer's other orders, and dates from the order before."""
+    return clean.impute(q_nulls_fact(spark, folder), {
+        "o_orderstatus": clean.By("mode", ("o_custkey",)), "o_totalprice": clean.By("median", ("o_custkey",)),
+        "o_orderpriority": clean.By("mode", ("o_custkey",)), "o_orderdate": clean.Last(("o_orderkey",)),
+    })
+
+
+def clean_nulls_last_known(spark, folder):
+    """The customer's last known status and total, by order key."""
+    return clean.impute(q_nulls_fact(spark, folder), {
+        "o_orderstatus": clean.Last(("o_orderkey",), ("o_custkey",)), "o_totalprice": clean.Last(("o_orderkey",), ("o_custkey",)),
+        "o_orderdate": "median",
+    })
+
+
 def clean_dropna(spark, folder):
     return clean.drop_missing(q_inject_dim(spark, folder, HIGH_RATE), ["c_name", "c_mktsegment"])
 
@@ -459,7 +475,7 @@ def quality_queries() -> dict[str, Query]:
         q_case, q_typo, q_whitespace, q_country, q_duplicates, q_duplicates_sparse_key, q_negative_qty,
         q_amount_error, q_nulls, q_nulls_fact, q_inject_dim, q_inject_fact, q_inject_fact_keyless, q_inject_sales,
         q_date_formats, l_time_travel, l_orphans,
-        clean_text, clean_country, clean_nulls, clean_dropna, clean_negative_qty,
+        clean_text, clean_country, clean_nulls, clean_nulls_by_group, clean_nulls_last_known, clean_dropna, clean_negative_qty,
         val_pk, val_fk, val_fk_report, val_calc, val_outliers, val_outliers_by_supplier, val_fences_by_status, val_iqr, val_rules,
         val_distribution,
         rep_total_rows, rep_overview, rep_numeric_stats, rep_missing, rep_missing_dirty,
