@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oracle_sql_pack.analyses import analysis_sql
+from oracle_sql_pack.dirty import dirty_sql
 from oracle_sql_pack.generated import CTES, with_tables
 from oracle_sql_pack.quality import quality_sql
 from oracle_sql_pack.reports import report_sql
@@ -33,4 +34,4 @@ def generated_sql() -> dict[str, str]:
 
 
 def all_sql() -> dict[str, str]:
-    return {**report_sql(), **analysis_sql(), **generated_sql(), **quality_sql()}
+    return {**report_sql(), **analysis_sql(), **generated_sql(), **quality_sql(), **dirty_sql()}

@@ -16,7 +16,7 @@ def test_query_equals_sql(spark, duck, folder, name):
 
 
 def test_registries_match():
-    assert set(SQL) <= set(QUERIES)
+    assert set(SQL) == set(QUERIES)
 
 
 def test_entry_runs(spark):
