@@ -245,3 +245,54 @@ def test_sizes_follow_the_files(spark, folder, tmp_path):
     assert scaled.extent(spark, str(tmp_path)).counts["part"] == 50
     spark.read.parquet(f"{folder}/part.parquet").limit(70).write.mode("overwrite").parquet(f"{tmp_path}/part.parquet")
     assert scaled.extent(spark, str(tmp_path)).counts["part"] == 70
+
+
+def _given(spark, industry, n=40, **counts):
+    """A configuration over given keys that all lie in one task."""
+    keys = spark.range(1, n + 1, 1, 1).withColumnRenamed("id", "k")
+    cfg = GenConfig(industry, months=3, quality="heavy")
+    entities = {"retail": ("products",), "saas": ("customers",)}[industry]
+    return cfg.with_(counts={e: n for e in entities} | counts, keys={e: keys for e in entities})
+
+
+def _text(df):
+    jvm = df.sparkSession._jvm
+    return df._jdf.queryExecution().explainString(jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_shares_of_keys_expand_after_the_shuffle(spark, monkeypatch):
+    """Only chunks of the keys are shuffled; their positions never are."""
+    from wareloom.operators import ranking
+    from wareloom.plans import common
+
+    monkeypatch.setattr(ranking, "SMALL_TASK_ROWS", 10)
+    cfg = _given(spark, "retail", stores=30)
+    for chunk in (common.CHUNK, 7):
+        monkeypatch.setattr(common, "CHUNK", chunk)
+        stock = dataset.table(spark, cfg, "fact_inventory")
+        lines = _text(stock).splitlines()
+        at = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(_first" in x]
+        assert len(at) == 1 and "Exchange" not in "".join(lines[:at[0]]) and any("Generate explode(sequence" in x for x in lines[:at[0]])
+        pairs = sorted((r.product_key, r.store_key) for r in stock.collect())
+        assert pairs == [(p, s) for p in range(1, 41) for s in range(1, 31)]
+
+
+def test_snapshots_of_given_customers_spread_before_they_expand(spark, monkeypatch):
+    from wareloom.operators import ranking
+
+    monkeypatch.setattr(ranking, "SMALL_TASK_ROWS", 10)
+    plain = GenConfig("saas", months=3, counts={"customers": 40})
+    given = dataset.table(spark, _given(spark, "saas").with_(quality="clean"), "fact_subscriptions")
+    lines = _text(given).splitlines()
+    explode, exchange = (next(i for i, x in enumerate(lines) if w in x) for w in ("Generate explode", "Exchange hashpartitioning(customer_key"))
+    assert explode < exchange
+    assert sorted(given.collect()) == sorted(dataset.table(spark, plain, "fact_subscriptions").collect())
+
+
+def test_usage_is_not_filtered_by_the_signup_of_its_customer(spark):
+    """No condition on the drawn signup day crosses the join of snapshots and usage; the copied draws made a method too large to compile."""
+    from wareloom.plans import analyses
+
+    cfg = _given(spark, "saas").with_(quality="clean")
+    df = analyses.usage_vs_upgrades({t: dataset.table(spark, cfg, t) for t in ("fact_subscriptions", "fact_usage")})
+    assert max(len(x) for x in _text(df).splitlines() if " Filter " in x) < 500
