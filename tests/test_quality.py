@@ -162,3 +162,20 @@ def test_row_prints_do_not_collide(spark):
     rows = [("a|b", "c", 1.0), ("a", "b|c", 1.0), (None, "x", 1.0), ("~", "x", 1.0), ("-", "x", 1.0), ("a", "b", 1e20), ("a", "b", 1e-9), ("a", "b", 2e-9)]
     df = spark.createDataFrame(rows, "a string, b string, x double")
     assert df.select(fingerprint(df, df.columns).alias("p")).distinct().count() == len(rows)
+
+
+def test_copies_never_broadcast_the_table(spark, monkeypatch):
+    """A table that the planner takes for small is streamed; few and many picks give the same copies."""
+    keys = spark.range(0, 50, 1, 1)
+    df = keys.select(F.explode(F.sequence(F.col("id") * 100 + 1, F.col("id") * 100 + 100)).alias("k")).withColumn("v", F.col("k") * 3)
+    df = df.unionByName(spark.createDataFrame([(None, 7), (17, 51)], "k bigint, v bigint"))  # a null and a repeated key
+    few = quality.inject_duplicates(df, 0.5, 3, "k", 5000)
+    want = sorted((r.k, r.v, r._copy_no) for r in few.where("_copy_no > 0").collect())
+    assert len(want) >= 50
+    monkeypatch.setattr(quality, "FEW_PICKS", 4)
+    many = quality.inject_duplicates(df, 0.5, 3, "k", 5000)
+    assert sorted((r.k, r.v, r._copy_no) for r in many.where("_copy_no > 0").collect()) == want
+    for plan in (few, many):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "BuildLeft" not in text
+    assert "SortMergeJoin" in text
