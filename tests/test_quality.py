@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wareloom import GenConfig, dirty, generate
-from wareloom.functions.text import title_case, typo_text
+from wareloom.functions.text import fingerprint, title_case, typo_text
 from wareloom.operators import clean, identity, quality
 
 
@@ -86,6 +86,19 @@ def test_numbered_copies_with_a_hot_row(spark):
     assert bad.where("lo <> 1 OR hi <> n OR d <> n").count() == 0
 
 
+def test_fingerprints_are_computed_below_the_shuffle(spark):
+    """However often the identity is read, its readers share the shuffle and none repeats the digest; draws need no null checks."""
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (None, None), (None, None)], "a int, b string")
+    out = identity.identify(df, 7)
+    above, found = out._jdf.queryExecution().optimizedPlan().toString().split("Aggregate")[0], out.collect()
+    assert "md5" not in above
+    assert not out.schema["_row_key"].nullable
+    prints = df.select("*", fingerprint(df, df.columns).alias("p")).collect()
+    assert {(r.a, r.b, r._print) for r in found} == {tuple(r) for r in prints}
+    assert sorted((r.a or 0, r._dup_no) for r in found) == [(0, 1), (0, 2), (1, 1), (1, 2), (2, 1)]
+    assert len({r._row_key for r in found}) == 5
+
+
 def test_clean_level_returns_the_tables(spark):
     cfg = GenConfig("retail", scale=0.2, months=1)
     tables = generate(spark, cfg)
