@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from wareloom.llm import near_copies
+from wareloom.llm.common import written
 from wareloom.llm.components import components
 
 SCHEMA = "doc_id long, text string, node string, label string, row int"
@@ -156,6 +157,20 @@ def test_a_large_star_has_one_label(spark):
     assert len(labels) == 3000 and set(labels.values()) == {"00000"}
 
 
+def test_plans_of_rounds_stay_small(spark, monkeypatch):
+    """The driver keeps every plan it ran: what a join reads several times is written before, and finished stars need no round."""
+    from wareloom.llm import components as module
+
+    plans = []
+    monkeypatch.setattr(module, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    path = spark.createDataFrame([(f"{i:03}", f"{i + 1:03}") for i in range(20)], "a string, b string")
+    assert {r.label for r in components(path).collect()} == {"000"}
+    assert max(p.count("Exchange") for p in plans) < 12
+    plans.clear()
+    star = spark.createDataFrame([("000", f"{i:03}") for i in range(1, 20)], "a string, b string")
+    assert {r.label for r in components(star).collect()} == {"000"} and len(plans) == 1
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(i, i + 1) for i in range(200)] + [(rng.randrange(300, 500), rng.randrange(300, 500)) for _ in range(150)] + [(900, 901)]

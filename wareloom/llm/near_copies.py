@@ -241,6 +241,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fame = member.groupBy("node").agg(F.sum("n").alias("fame"))
     pivots = member.join(fame, "node").groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(
         F.max(F.struct("fame", "node")).alias("p"), F.count("*").alias("_size")).select("_band", "_key", F.col("p.node").alias("pivot"), "_size")
+    # What a dealt join looks up is written before: it is read three times, and the driver keeps every plan with all its branches.
+    pivots = written(pivots, "near-pivots")
     ends = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
     # Buckets, classes and texts with a large share of the rows are dealt over many tasks in each of these joins.
     bucket = [("band", "_band"), ("key", "_key")]
@@ -251,12 +253,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     labels = written(components(links), "near-labels")
 
     # Buckets that still hold several components: members outside the largest against the others.
-    known = member.select("band", "key", "node").join(labels, "node", "left").select(
-        "band", "key", "node", F.coalesce("label", "node").alias("label"))
+    known = written(member.select("band", "key", "node").join(labels, "node", "left").select(
+        "band", "key", "node", F.coalesce("label", "node").alias("label")), "near-known")
     sizes = known.groupBy("band", "key", "label").agg(F.count("*").alias("n"))
     largest = sizes.groupBy(F.col("band").alias("_band"), F.col("key").alias("_key")).agg(
         F.max(F.struct("n", "label")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("_size")).where(
         "parts > 1").select("_band", "_key", F.col("top.label").alias("largest"), "_size")
+    largest = written(largest, "near-largest")
     open_ = written(dealt_join(known, largest, bucket, "_size", F.xxhash64("node")), "near-open")
     rest = remaining(open_, texts)
     rest = rest.join(first, ["a", "b"], "left_anti")
@@ -270,12 +273,12 @@ def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept of every row."""
     rows, labels = classes(docs)
     counted = rows.groupBy("node", "doc_id").agg(F.count("*").alias("c"))
-    nodes = counted.groupBy("node").agg(F.count("*").alias("_ids")).join(labels, "node", "left").select(
-        F.col("node").alias("_node"), F.coalesce("label", "node").alias("label"), "_ids")
+    nodes = written(counted.groupBy("node").agg(F.count("*").alias("_ids")).join(labels, "node", "left").select(
+        F.col("node").alias("_node"), F.coalesce("label", "node").alias("label"), "_ids"), "near-nodes")
     named = written(dealt_join(counted, nodes, [("node", "_node")], "_ids", F.xxhash64("doc_id")), "near-named")
-    sums = named.groupBy(F.col("label").alias("_label")).agg(
+    sums = written(named.groupBy(F.col("label").alias("_label")).agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("least"), F.sum("c").alias("class_size"),
-        F.count("*").alias("_ids"))
+        F.count("*").alias("_ids")), "near-sums")
     out = dealt_join(named, sums, [("label", "_label")], "_ids", F.xxhash64("doc_id"))
     # Rows equal in doc_id and text: one of them stays; the others are listed too.
     out = out.withColumn("run", F.expr("explode(sequence(0L, (c - 1) div 4096))")).withColumn(
