@@ -296,3 +296,21 @@ def test_usage_is_not_filtered_by_the_signup_of_its_customer(spark):
     cfg = _given(spark, "saas").with_(quality="clean")
     df = analyses.usage_vs_upgrades({t: dataset.table(spark, cfg, t) for t in ("fact_subscriptions", "fact_usage")})
     assert max(len(x) for x in _text(df).splitlines() if " Filter " in x) < 500
+
+
+def test_long_shares_expand_by_blocks(spark, monkeypatch):
+    """Shares of many positions, whole and cut into pieces; keys that occur twice or are missing."""
+    from wareloom.operators import ranking
+    from wareloom.plans import common
+
+    monkeypatch.setattr(ranking, "SMALL_TASK_ROWS", 10)
+    keys = spark.createDataFrame([(1,), (1,), (None,), (4,)], "k bigint")
+    cfg = GenConfig("retail", counts={"products": 4}, keys={"products": keys})
+    for chunk, n in ((common.CHUNK, 4 * 1500), (1100, 4 * 1500), (common.CHUNK, 4 * 1500 - 3)):
+        monkeypatch.setattr(common, "CHUNK", chunk)
+        df = common.positions(spark, cfg, "products", n, split=True)
+        assert _text(df).count("Generate explode(sequence") == 1 and "slice" in _text(df)
+        got = sorted((r.id, r._share, r._place) for r in df.collect())
+        assert got == sorted((1500 * s + p, s, p) for s in (0, 0, 3) for p in range(1500) if 1500 * s + p < n)
+    plain = common.positions(spark, cfg.with_(keys={}), "products", 4 * 30, split=True)
+    assert sorted((r.id, r._share, r._place) for r in plain.collect()) == [(i, i // 30, i % 30) for i in range(120)]

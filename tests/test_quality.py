@@ -192,3 +192,30 @@ def test_copies_never_broadcast_the_table(spark, monkeypatch):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "BuildLeft" not in text
     assert "SortMergeJoin" in text
+
+
+@pytest.mark.parametrize("given", [False, True])
+def test_repeated_stock_rows_are_looked_up(spark, monkeypatch, given):
+    """The stock table is generated once; its repeated rows come from the drawn positions and equal those found in the table."""
+    from wareloom.plans import dataset
+
+    keys = spark.createDataFrame([(1,), (1,), (None,)] + [(i,) for i in range(4, 41)], "k bigint")  # a repeated and a missing key
+    cfg = GenConfig("retail", quality="heavy", counts={"products": 40, "stores": 300}, keys={"products": keys} if given else {})
+    monkeypatch.setattr(quality, "FEW_PICKS", 4)
+    stock = dataset.table(spark, cfg, "fact_inventory")
+    noisy = dirty({"fact_inventory": stock}, cfg)["fact_inventory"]
+    text = noisy._jdf.queryExecution().executedPlan().toString()
+    assert text.count("explode(sequence((_first" if given else "Range (0, 12000") == 1
+    key, _ = dataset._row_key(cfg, "fact_inventory")
+    found = quality.inject_fact(stock.withColumn("_row_key", key), cfg.quality_rate, cfg.seed, "_row_key", 12_000).drop("_row_key")
+    got = sorted(noisy.collect(), key=str)
+    assert got == sorted(found.collect(), key=str) and len(got) >= (12_000 if not given else 11_700) + 20
+
+
+def test_repeated_rows_of_a_derived_table_come_from_it(spark):
+    from wareloom.plans import dataset
+
+    cfg = GenConfig("retail", quality="heavy", counts={"products": 40, "stores": 300})
+    half = dataset.table(spark, cfg, "fact_inventory").where("store_key <= 150")
+    noisy = dirty({"fact_inventory": half}, cfg)["fact_inventory"]
+    assert noisy.where("store_key > 150").count() == 0 and noisy.count() > 6000
