@@ -314,3 +314,11 @@ def test_long_shares_expand_by_blocks(spark, monkeypatch):
         assert got == sorted((1500 * s + p, s, p) for s in (0, 0, 3) for p in range(1500) if 1500 * s + p < n)
     plain = common.positions(spark, cfg.with_(keys={}), "products", 4 * 30, split=True)
     assert sorted((r.id, r._share, r._place) for r in plain.collect()) == [(i, i // 30, i % 30) for i in range(120)]
+
+
+def test_huge_tables_have_a_bounded_number_of_tasks(spark):
+    from wareloom.operators import ranking
+
+    assert ranking.tasks_for(spark, 72_000_000_000) == 9000
+    assert ranking.tasks_for(spark, 2_592_000_000_000) == ranking.MOST_TASKS
+    assert ranking.tasks_for(spark, 72_000_000_000, ranking.WIDE_TASK_ROWS) == 72_000
